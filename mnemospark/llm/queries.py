@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import near_duplicates, neighbours, overlap, percentiles
+from mnemospark.llm import mixing, near_duplicates, neighbours, overlap, packing, percentiles, unwanted
 
 
 def p2_found(spark, sf_dir):
@@ -33,5 +33,33 @@ def p6_groups(spark, sf_dir):
     return near_duplicates.memory_groups(spark, sf_dir).selectExpr("key AS mem_id", "`group` AS group_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_percentiles, p3_daily_digests, p5_found, p6_found, p6_groups)}
+def p7_packing(spark, sf_dir):
+    return packing.document_packing(spark, sf_dir).select("pack_name", "container", "doc_id", "piece", "tokens")
+
+
+def p7_summary(spark, sf_dir):
+    return packing.summary(packing.document_packing(spark, sf_dir))
+
+
+def p8_mixture(spark, sf_dir):
+    return mixing.document_mixture(spark, sf_dir)
+
+
+def p8_shares(spark, sf_dir):
+    return mixing.document_shares(spark, sf_dir)
+
+
+def p9_found(spark, sf_dir):
+    return unwanted.found(unwanted.document_scores(spark, sf_dir))
+
+
+def p9_scores(spark, sf_dir):
+    return unwanted.document_scores(spark, sf_dir)
+
+
+def p9_rates(spark, sf_dir):
+    return unwanted.rates(unwanted.document_scores(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_percentiles, p3_daily_digests, p5_found, p6_found, p6_groups, p7_packing, p7_summary, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
