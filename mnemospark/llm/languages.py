@@ -45,7 +45,7 @@ D = 2048
 SAMPLE = 4000
 SHORT = 4
 WHOLE = 6
-SURE = 0.9
+SURE = 0.95
 TEMPERATURE = 0.02
 PASSES = 5
 LABELS = 10_000

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import mixing, near_duplicates, neighbours, overlap, packing, percentiles, unwanted
+from mnemospark.llm import languages, mixing, near_duplicates, neighbours, overlap, packing, percentiles, personal, unwanted
+
+
+def p1_found(spark, sf_dir):
+    return languages.found(spark, sf_dir)
+
+
+def p1_segments(spark, sf_dir):
+    return languages.segment_languages(spark, sf_dir)
+
+
+def p4_found(spark, sf_dir):
+    return personal.found(spark, sf_dir)
+
+
+def p4_redacted(spark, sf_dir):
+    return personal.redacted(spark, sf_dir)
 
 
 def p2_found(spark, sf_dir):
@@ -61,5 +77,11 @@ def p9_rates(spark, sf_dir):
     return unwanted.rates(unwanted.document_scores(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_percentiles, p3_daily_digests, p5_found, p6_found, p6_groups, p7_packing, p7_summary, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_segments, p2_found, p2_report, p3_percentiles, p3_daily_digests, p4_found, p4_redacted, p5_found, p6_found, p6_groups,
+        p7_packing, p7_summary, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates,
+    )
+}
 SQL: dict[str, str] = {}
