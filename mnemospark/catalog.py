@@ -1,4 +1,6 @@
-"""Registry of the core queries and their SQL."""
+"""All core queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from mnemospark.plans import text_queries  # noqa: F401  (registers its queries)
+from mnemospark.plans.registry import QUERIES, SQL  # noqa: F401
