@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import text_queries  # noqa: F401  (registers its queries)
+from mnemospark.plans import retrieval_queries, text_queries  # noqa: F401  (they register their queries)
 from mnemospark.plans.registry import QUERIES, SQL  # noqa: F401
