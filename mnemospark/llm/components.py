@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +24,34 @@ def _small_star(e: DataFrame) -> DataFrame:
     return joined.select("b", F.col("m").alias("a")).unionByName(joined.select(F.col("a").alias("b"), F.col("m").alias("a"))).where("a <> b").distinct()
 
 
+def _contracted(frames):
+    """Links of one partition to stars around the smallest node of each local component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    rows = [(find(x), x) for x in root]
+    yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the component is its smallest node; nodes without links do not appear.
 
-    Each round is a pair of aggregations and joins over the links; only a row count
+    Each partition first contracts its own links to stars. Each round is then a pair of aggregations and joins over the links; only a row count
     and a checksum come to the driver. Rounds grow with the logarithm of the longest chain.
     """
-    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc")
-    before = None
+    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    e = written(links.mapInPandas(_contracted, "a bigint, b bigint"), "cc")
+    before = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(MOST_ROUNDS):
         e = written(_small_star(_large_star(e)), "cc")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

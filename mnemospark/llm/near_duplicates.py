@@ -28,11 +28,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
-from mnemospark.llm.words import STEP, ElementHasher, digest
+from mnemospark.llm.words import STEP, ElementHasher
 from mnemospark.plans.lineage import written
 
 THRESHOLD = 0.75
@@ -48,30 +50,43 @@ BATCH = 15
 FLOOR = 0.20
 
 _rng = np.random.default_rng(20240601)
-A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+A = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
-def _named(frames):
-    """Raw rows to (key, version, cls, short): 128-bit class name and 32-bit elements for the signatures."""
+def _named(batches):
+    """Raw rows to (key, version, hi, lo, short): 128-bit class name and 32-bit elements for the signatures."""
     hasher = ElementHasher()
-    for f in frames:
-        rows = [hasher(t) for t in f["text"]]
-        short = [np.sort((r.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for r in rows]
-        yield pd.DataFrame({"key": f["key"], "version": f["version"], "cls": [digest(r) for r in rows], "short": short})
+    for b in batches:
+        h, ends = hasher.batch(b.column("text").to_pylist())
+        low = h.astype("<u8").tobytes()
+        short = (h >> np.uint64(32)).astype(np.uint32).tobytes()
+        starts = [0, *ends.tolist()]
+        names = b"".join(xxhash.xxh128_digest(low[8 * i : 8 * j]) for i, j in zip(starts, starts[1:]))
+        hi_lo = np.frombuffer(names, ">i8").reshape(-1, 2).astype(np.int64)
+        offsets = pa.py_buffer((np.array(starts, np.int64) * 4).astype(np.int32).tobytes())
+        packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(short)])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("version"), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), packed], ["key", "version", "hi", "lo", "short"])
 
 
 def _sets(frames):
     """Texts of candidate classes to (cid, sig, elements), full 64-bit elements."""
     hasher = ElementHasher()
     for f in frames:
-        yield pd.DataFrame({"cid": f["cid"], "elements": [hasher(t) for t in f["text"]]})
+        yield pd.DataFrame({"cid": f["cid"], "elements": hasher.rows(f["text"].tolist())})
+
+
+EMPTY = np.frombuffer(xxhash.xxh128_digest(b""), ">i8").tolist()  # the class without words
 
 
 def _flat(rows) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if len(rows) else np.zeros(0, np.int32)
-    return flat, lengths
+    """Short elements of rows stored as bytes, end to end, and their counts."""
+    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows)) // 4
+    return np.frombuffer(b"".join(rows), np.uint32), lengths
+
+
+def _short(elements: np.ndarray) -> bytes:
+    return (elements.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def _locally_heavy(frames):
@@ -102,12 +117,12 @@ def heavy_elements(rows: DataFrame) -> np.ndarray:
     list holds at most (mean words / HEAVY) entries a batch and comes to the driver.
     """
     total = rows.count()
-    local = rows.select("short").mapInPandas(_locally_heavy, "e int").distinct()
-    wanted = np.sort(np.array([r[0] for r in local.collect()], np.int32))
+    local = rows.select("short").mapInPandas(_locally_heavy, "e bigint").distinct()
+    wanted = np.sort(np.array([r[0] for r in local.collect()], np.int64))
     if not len(wanted):
         return wanted
-    counts = rows.select("short").mapInPandas(_counted(wanted), "e int, df bigint").groupBy("e").agg(F.sum("df").alias("df"))
-    return np.sort(np.array([r[0] for r in counts.where(F.col("df") >= HEAVY * total).select("e").collect()], np.int32))
+    counts = rows.select("short").mapInPandas(_counted(wanted), "e bigint, df bigint").groupBy("e").agg(F.sum("df").alias("df"))
+    return np.sort(np.array([r[0] for r in counts.where(F.col("df") >= HEAVY * total).select("e").collect()], np.int64))
 
 
 def signatures(flat: np.ndarray, lengths: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -115,13 +130,18 @@ def signatures(flat: np.ndarray, lengths: np.ndarray, heavy: np.ndarray) -> np.n
     at = np.searchsorted(heavy, flat)
     is_heavy = (heavy[np.minimum(at, len(heavy) - 1)] == flat) if len(heavy) else np.zeros(len(flat), bool)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    x = flat.view(np.uint32).astype(np.uint64) * np.uint64(STEP)
-    x ^= x >> np.uint64(29)
-    damp = np.where(is_heavy, np.uint64(DAMP), np.uint64(1))
+    x = flat * np.uint32(STEP & 0xFFFFFFFF)
+    x ^= x >> np.uint32(15)
+    # a rare element's values are 1/DAMP of a frequent one's: it is the least DAMP times as often
+    shift = np.where(is_heavy, 0, DAMP.bit_length() - 1).astype(np.uint32)
     out = np.empty((len(lengths), HASHES), np.uint32)
+    h = np.empty_like(x)
     for k in range(HASHES):
-        h = ((x * A[k] + B[k]) >> np.uint64(32)) * damp
-        out[:, k] = np.minimum(np.minimum.reduceat(h, starts), np.uint64(0xFFFFFFFF))
+        np.multiply(x, A[k], out=h)
+        h += B[k]
+        h ^= h >> np.uint32(16)
+        h >>= shift
+        out[:, k] = np.minimum.reduceat(h, starts)
     return out
 
 
@@ -138,12 +158,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _banded(heavy):
+    """(c, band) rows: the buckets of each class, c being half of its name."""
+
     def run(frames):
         for f in frames:
-            f = f[f["short"].str.len() > 0]
-            if len(f):
-                flat, lengths = _flat(f["short"])
-                yield pd.DataFrame({"cls": f["cls"].str[:16], "bands": list(band_keys(signatures(flat, lengths, heavy)))})
+            # copies within the batch fill a bucket once
+            f = f[f["short"].str.len() > 0].drop_duplicates(["hi", "lo"])
+            keys = band_keys(signatures(*_flat(f["short"]), heavy)) if len(f) else np.zeros((0, BANDS), np.int64)
+            yield pd.DataFrame({"c": np.repeat(f["hi"].to_numpy(np.int64), BANDS), "band": keys.ravel()})
 
     return run
 
@@ -151,8 +173,9 @@ def _banded(heavy):
 def _signed(heavy):
     def run(frames):
         for f in _sets(frames):
-            flat, lengths = _flat([(r.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32) for r in f["elements"]])
+            flat, lengths = _flat([_short(r) for r in f["elements"]])
             f["sig"] = [s.tobytes() for s in signatures(flat, lengths, heavy)] if len(f) else []
+            f["elements"] = [r.tobytes() for r in f["elements"]]
             yield f[["cid", "sig", "elements"]]
 
     return run
@@ -172,20 +195,52 @@ def needed_matches() -> np.ndarray:
     return np.array(need)
 
 
-def _survivors(frames):
-    need = needed_matches()
-    for f in frames:
-        if not len(f):
+def _verified(threshold):
+    """Candidate pairs with both signatures and element sets to verified links."""
+
+    def run(frames):
+        need = needed_matches()
+        for f in frames:
+            a = np.frombuffer(b"".join(f["sig_a"]), np.uint32).reshape(len(f), HASHES)
+            b = np.frombuffer(b"".join(f["sig_b"]), np.uint32).reshape(len(f), HASHES)
+            alive = np.arange(len(f))
+            matches = np.zeros(len(f), np.int64)
+            for i, least in enumerate(need):
+                s = slice(i * BATCH, (i + 1) * BATCH)
+                matches[alive] += (a[alive, s] == b[alive, s]).sum(1)
+                alive = alive[matches[alive] >= least]
+            left, right = f["el_a"].to_numpy(), f["el_b"].to_numpy()
+            good = [k for k in alive if overlap(np.frombuffer(left[k], np.int64), np.frombuffer(right[k], np.int64)) >= threshold]
+            yield f.iloc[good][["a", "b"]]
+
+    return run
+
+
+def _shared_runs(batches):
+    """Rows sorted by band and class to the rows of bands with two classes or more, each once; holds one row between batches."""
+    held = None
+    sent = False  # whether the held row was emitted
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, c = batch.column("band").to_numpy(), batch.column("c").to_numpy()
+        fresh = np.ones(len(band), bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (c[1:] != c[:-1])
+        fresh[0] = held is None or held != (band[0], c[0])
+        band, c = band[fresh], c[fresh]
+        if not len(band):
             continue
-        a = np.frombuffer(b"".join(f["sig_a"]), np.uint32).reshape(len(f), HASHES)
-        b = np.frombuffer(b"".join(f["sig_b"]), np.uint32).reshape(len(f), HASHES)
-        alive = np.arange(len(f))
-        matches = np.zeros(len(f), np.int64)
-        for i, least in enumerate(need):
-            s = slice(i * BATCH, (i + 1) * BATCH)
-            matches[alive] += (a[alive, s] == b[alive, s]).sum(1)
-            alive = alive[matches[alive] >= least]
-        yield f.iloc[alive][["a", "b"]]
+        same = band[1:] == band[:-1]
+        keep = np.zeros(len(band), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        joins = held is not None and held[0] == band[0]
+        keep[0] |= joins
+        out_band, out_c = band[keep], c[keep]
+        if joins and not sent:
+            out_band, out_c = np.append(out_band, held[0]), np.append(out_c, held[1])
+        held, sent = (band[-1], c[-1]), bool(keep[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out_band, pa.int64()), pa.array(out_c, pa.int64())], ["band", "c"])
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
@@ -195,7 +250,7 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 def _block_links(threshold):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         """Links of one block of a large bucket: each row is compared with every earlier row it isn't yet connected to."""
-        cid, el = f["cid"].to_numpy(), [np.asarray(e) for e in f["elements"]]
+        cid, el = f["cid"].to_numpy(), [np.frombuffer(e, np.int64) for e in f["elements"]]
         parts: list[list[int]] = []
         out = []
         for k in range(len(f)):
@@ -226,56 +281,49 @@ def groups(rec: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     elements are written where the texts are read), once for candidate classes.
     """
     kind = dict(rec.dtypes)["version"]
-    rows = rec.mapInPandas(_named, f"key string, version {kind}, cls string, short array<int>")
+    rows = rec.mapInArrow(_named, f"key string, version {kind}, hi bigint, lo bigint, short binary")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "p6-rows")
-    newest = rows.groupBy("key").agg(F.max(F.struct("version", "rid", "cls")).alias("x")).select("key", "x.rid", "x.cls")
+    newest = rows.groupBy("key").agg(F.max(F.struct("version", "rid", "hi", "lo")).alias("x")).select("key", "x.rid", "x.hi", "x.lo")
     newest = written(newest, "p6-newest")
-    classes = newest.groupBy("cls").agg(F.min(F.struct("rid", "key")).alias("x")).select("cls", F.col("x.rid").alias("cid"), "x.key")
+    classes = newest.groupBy("hi", "lo").agg(F.min(F.struct("rid", "key")).alias("x")).select("hi", "lo", F.col("x.rid").alias("cid"), "x.key")
     classes = written(classes, "p6-classes")
     label = components(links(rec, rows, classes, threshold))
-    empty = digest(np.zeros(0, np.int64))
+    alone = F.expr(f"hi = {EMPTY[0]} and lo = {EMPTY[1]}")  # records without words
     members = (
-        newest.select("key", "cls")
-        .join(classes.select("cls", "cid"), "cls")
+        newest.select("key", "hi", "lo")
+        .join(classes.select("hi", "lo", "cid"), ["hi", "lo"])
         .join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
-        .select("key", F.when(F.col("cls") == empty, F.concat(F.lit("-"), "key")).otherwise(F.coalesce("component", "cid").cast("string")).alias("component"))
+        .select("key", F.when(alone, F.concat(F.lit("-"), "key")).otherwise(F.coalesce("component", "cid").cast("string")).alias("component"))
     )
-    name = members.groupBy("component").agg(F.min("key").alias("group"))
-    return members.join(name, "component").select("key", "group")
+    name = members.groupBy("component").agg(F.min("key").alias("group"), F.count("*").alias("size"))
+    return members.join(name, "component").select("key", "group", "size")
 
 
 def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links a < b between classes (cid)."""
     heavy = heavy_elements(rows)
-    bands = rows.select("cls", "short").mapInPandas(_banded(heavy), "cls string, bands array<bigint>")
-    bands = bands.select(F.conv(F.col("cls"), 16, -10).cast("bigint").alias("c"), F.explode("bands").alias("band")).groupBy("band", "c").agg(F.lit(1).alias("one"))
-    hit = bands.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1").select("band", "c", "size")
-    cid = classes.select(F.conv(F.substring("cls", 1, 16), 16, -10).cast("bigint").alias("c"), "cid", "key")
-    hit = written(hit.join(cid.select("c", "cid"), "c").select("band", "cid", "size"), "p6-buckets")
+    bands = rows.select("hi", "lo", "short").mapInPandas(_banded(heavy), "c bigint, band bigint").repartition("band")
+    hit = bands.sortWithinPartitions("band", "c").mapInArrow(_shared_runs, "band bigint, c bigint")
+    hit = written(hit.withColumn("size", F.count("*").over(Window.partitionBy("band"))), "p6-buckets")
+    cid = classes.select(F.col("hi").alias("c"), "cid", "key")
     small = hit.where(F.col("size") <= BUCKET)
     pairs = (
-        small.select("band", F.col("cid").alias("a"))
-        .join(small.select("band", F.col("cid").alias("b")), "band")
-        .where("a < b")
-        .select("a", "b")
+        small.select("band", F.col("c").alias("x"))
+        .join(small.select("band", F.col("c").alias("y")), "band")
+        .where("x < y")
+        .select("x", "y")
         .distinct()
+        .join(cid.select(F.col("c").alias("x"), F.col("cid").alias("p")), "x")
+        .join(cid.select(F.col("c").alias("y"), F.col("cid").alias("q")), "y")
+        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     )
-    wanted = cid.join(hit.select("cid").distinct(), "cid", "left_semi").select("cid", "key")
+    wanted = cid.join(hit.select("c").distinct(), "c", "left_semi").select("cid", "key")
     texts = wanted.join(rec, "key").groupBy("cid").agg(F.max(F.struct("version", "text")).alias("x")).select("cid", "x.text")
-    sets = written(texts.mapInPandas(_signed(heavy), "cid bigint, sig binary, elements array<bigint>"), "p6-sets")
-    tested = (
-        pairs.join(sets.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .mapInPandas(_survivors, "a bigint, b bigint")
-    )
-    least = F.lit(threshold) * F.greatest(F.size("el_a"), F.size("el_b"))
-    verified = (
-        tested.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("el_a")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("el_b")), "b")
-        .where(F.size(F.array_intersect("el_a", "el_b")) >= least)
-        .select("a", "b")
-    )
-    large = hit.where(F.col("size") > BUCKET)
+    sets = written(texts.mapInPandas(_signed(heavy), "cid bigint, sig binary, elements binary"), "p6-sets")
+    left = sets.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"), F.col("elements").alias("el_a"))
+    right = sets.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"), F.col("elements").alias("el_b"))
+    verified = pairs.join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a bigint, b bigint")
+    large = hit.where(F.col("size") > BUCKET).join(cid.select("c", "cid"), "c")
     if large.isEmpty():
         return verified
     order = F.row_number().over(Window.partitionBy("band").orderBy("cid")) - 1
@@ -293,8 +341,7 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
 
 def found(members: DataFrame) -> DataFrame:
     """All pairs of different records of one group, smaller key first; large groups are joined in salted blocks."""
-    part = members.withColumn("slot", F.floor((F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1) / BLOCK))
-    part = part.withColumn("size", F.count("*").over(Window.partitionBy("group"))).where("size > 1")
+    part = members.where("size > 1").withColumn("slot", F.floor((F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1) / BLOCK))
     part = part.withColumn("slots", F.floor((F.col("size") - 1) / BLOCK))
     left = part.select("group", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("slots"))).alias("j"), F.col("key").alias("mem_id_a"))
     right = part.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slot"))).alias("i"), F.col("slot").alias("j"), F.col("key").alias("mem_id_b"))

@@ -38,7 +38,7 @@ EVALUATION = ("dev", "test")
 def _elements(frames):
     hasher = ElementHasher()
     for f in frames:
-        rows = [hasher(t) for t in f["text"]]
+        rows = hasher.rows(f["text"].tolist())
         yield pd.DataFrame(
             {"key": f["key"], "split": f["split"], "source": f["source"], "cls": [digest(r) for r in rows], "n": [len(r) for r in rows], "elements": rows}
         )

@@ -30,26 +30,51 @@ def words(text: str | None) -> list[str]:
 
 
 class ElementHasher:
-    """Text to element hashes; keeps the hashes of words seen before (bounded)."""
+    """Texts to element hashes; keeps the hashes of words seen before (bounded)."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
+        self.hashes: list[int] = []
+
+    def _add(self, word: str) -> int:
+        self.known[word] = k = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return k
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Element hashes (uint64) of many texts end to end, in a canonical order within each, and the ends."""
+        if len(self.hashes) > CACHE:
+            self.known.clear()
+            self.hashes.clear()
+        known, add = self.known, self._add
+        flat: list[int] = []
+        ends = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            flat += [known[w] if w in known else add(w) for w in words(t)]
+            ends[i] = len(flat)
+        if not flat:
+            return np.zeros(0, np.uint64), ends
+        h = np.array(self.hashes, np.uint64)[np.array(flat, np.int64)]
+        start = 0
+        for e in ends.tolist():
+            h[start:e].sort()
+            start = e
+        # the n-th repetition of a word is an element of its own
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        inner = ends[ends < len(h)]
+        new[inner] = True
+        at = np.arange(len(h))
+        times = at - np.maximum.accumulate(np.where(new, at, 0))
+        h += times.astype(np.uint64) * np.uint64(STEP)
+        return h, ends
+
+    def rows(self, texts) -> list[np.ndarray]:
+        """int64 elements of each text."""
+        h, ends = self.batch(texts)
+        return np.split(h.view(np.int64), ends[:-1]) if len(ends) else []
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted int64 element hashes of the text's word multiset."""
-        known, seen, out = self.known, {}, []
-        if len(known) > CACHE:
-            known.clear()
-        for w in words(text):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            n = seen.get(w, 0)
-            seen[w] = n + 1
-            out.append(h if n == 0 else (h + n * STEP) & MASK)
-        a = np.array(out, dtype=np.uint64).view(np.int64)
-        a.sort()
-        return a
+        return self.rows([text])[0]
 
 
 def digest(elements: np.ndarray) -> str:
