@@ -214,7 +214,10 @@ def neighbours(df: DataFrame, k: int = K, floor: float = FLOOR, width: float = W
     schema = "q bigint, m bigint, cos double"
     if n < 2:
         return members, spark.createDataFrame([], schema)
-    sample = reps.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vector").toPandas()
+    # a hash range of about SAMPLE rows first: what reaches the driver doesn't grow with the partitions
+    h = F.pmod(F.xxhash64("cid"), F.lit(1 << 40))
+    few = reps if n <= SAMPLE else reps.where(h < int((1 << 40) * 1.1 * SAMPLE / n))
+    sample = few.orderBy(h, "cid").limit(SAMPLE).select("vector").toPandas()
     centroids = fit(_unit(np.stack(sample["vector"].to_numpy()).astype(np.float32)), max(1, min(n // LIST, len(sample) // 10)))
     routed = reps.mapInArrow(_routed(centroids, width), "cell int, home boolean, cid bigint, vector array<float>")
     # long lists are cut into chunks by a hash; every visitor goes to all chunks of the list
