@@ -72,4 +72,5 @@ def apply_proposals(memories: DataFrame, proposals: DataFrame) -> DataFrame:
     columns = ["mem_id", "scope", "content", "status", "mentions"]
     touched = memories.join(named, ["scope", "mem_id"], "left_semi").select(columns)
     rest = memories.join(named, ["scope", "mem_id"], "left_anti").select(columns)
-    return rest.unionByName(touched.groupBy("scope").cogroup(proposals.groupBy("scope")).applyInPandas(run, schema))
+    steps = proposals.select("scope", "seq", "action", "mem_id", "content").toDF("scope", "seq", "action", "mem_id", "content")  # columns of their own
+    return rest.unionByName(touched.toDF(*columns).groupBy("scope").cogroup(steps.groupBy("scope")).applyInPandas(run, schema))

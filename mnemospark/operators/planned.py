@@ -40,7 +40,8 @@ def packed(hits: DataFrame, budget: int) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rank")
-        kept = pack(f[["id", "tokens", "kind"]].to_dict("records"), budget)
-        return pd.DataFrame({"question_id": [f["question_id"].iloc[0]] * len(kept), "id": [h["id"] for h in kept], "position": range(1, len(kept) + 1)})
+        kept = pack([{"id": i, "tokens": t, "kind": k} for i, t, k in zip(f["id"], f["tokens"], f["kind"])], budget)
+        rows = [(f["question_id"].iloc[0], h["id"], n) for n, h in enumerate(kept, 1)]
+        return pd.DataFrame(rows, columns=["question_id", "id", "position"])
 
     return hits.groupBy("question_id").applyInPandas(run, "question_id string, id string, position int")

@@ -126,3 +126,30 @@ def pack(hits: list[dict], budget: int, share: float = 0.35) -> list[dict]:
             out.append(h)
             used += h["tokens"]
     return out
+
+
+def time_chains(hits: DataFrame, least: float, chains: int = 5) -> DataFrame:
+    """(query_id, chain, step, mem_id) from ranked hits (query_id, rank, mem_id, u, numbers, said).
+
+    Seeds in rank order take the later hits that are near and give other numbers; a member is used once, at most ``chains`` chains.
+    Hits of one question are bounded by its limit, so each question is folded in one place.
+    """
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("rank", ignore_index=True)
+        used: set[int] = set()
+        out: list[tuple] = []
+        number = 0
+        for i in range(len(f)):
+            if i in used or not f["numbers"][i] or number == chains:
+                continue
+            near = [j for j in range(i + 1, len(f)) if j not in used and f["numbers"][j] and f["numbers"][j] != f["numbers"][i] and float(sum(a * b for a, b in zip(f["u"][i], f["u"][j]))) >= least]
+            if near:
+                number += 1
+                used.update([i, *near])
+                order = sorted([i, *near], key=lambda k: (f["said"][k] or "", f["mem_id"][k]))
+                out += [(f["query_id"][0], number, s, f["mem_id"][k]) for s, k in enumerate(order, 1)]
+        return pd.DataFrame(out, columns=["query_id", "chain", "step", "mem_id"])
+
+    return hits.select("query_id", "rank", "mem_id", "u", "numbers", "said").groupBy("query_id").applyInPandas(run, "query_id string, chain int, step int, mem_id string")
