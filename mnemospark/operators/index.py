@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.config import RecallConfig
 from mnemospark.functions.text import raw_words, term
+from mnemospark.plans.lineage import written
 
 
 def terms(docs: DataFrame, key: str, text: str, *also: str) -> DataFrame:
@@ -28,29 +29,44 @@ def statistics(post: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return post.groupBy("term").agg(F.count("*").alias("df")), post.groupBy(key).agg(F.sum("tf").alias("len"))
 
 
-def keyword_scores(post: DataFrame, questions: DataFrame, total: int, cfg: RecallConfig = RecallConfig()) -> DataFrame:
-    """(query_id, mem_id, keyword) from postings (mem_id, scope, term, tf) and questions (query_id, project, text).
+def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of (mem_id, scope, text), written once: ids (rid, mem_id) and postings (rid, scope, term, tf, len)."""
+    word = F.filter(F.transform(raw_words(F.col("text")), term), lambda t: t.isNotNull())
+    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), "mem_id", "scope", word.alias("terms")), "index")
+    post = rows.select("rid", "scope", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("rid", "scope", "len", "term").agg(F.count("*").alias("tf"))
+    return rows.select("rid", "mem_id"), written(post, "postings")
 
-    score = share of the question's idf mass that matches * (0.8 + 0.2 * bm25 / greatest bm25 of the question's candidates).
+
+def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = RecallConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, memory ids, question ids) of docs (mem_id, scope, text) and questions (query_id, project, text).
+
+    scores (qid, rid, keyword): share of the question's idf mass that matches * (0.8 + 0.2 * bm25 / greatest bm25 of the
+    question's candidates). Rows are numbered, so only numbers take part in the large join and aggregation.
     """
-    df, length = statistics(post, "mem_id")
-    avg = length.agg(F.avg("len").alias("avg_len"))
-    asked = terms(questions, "query_id", "text", "project").distinct()
+    ids, post = built(docs)
+    stats = post.select("rid", "len").distinct().agg(F.avg("len").alias("avg_len"))
+    total = ids.count()
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    words = F.array_distinct(F.filter(F.transform(raw_words(F.col("text")), term), lambda t: t.isNotNull()))
+    asked = written(questions.select(F.monotonically_increasing_id().alias("qid"), "query_id", "project", words.alias("terms")), "asked")
     idf = F.log(1 + (F.lit(total) - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
-    asked = asked.join(df, "term", "left").withColumn("idf", idf).drop("df")
-    mass = asked.groupBy("query_id").agg(F.sum("idf").alias("mass"))
-    scoped = asked.withColumn("scope", F.explode(F.when(F.col("project").isNull() | (F.col("project") == "global"), F.array(F.lit("global"))).otherwise(F.array(F.lit("global"), F.lower("project")))))
+    weighted = asked.select("qid", "project", F.explode("terms").alias("term")).join(df, "term", "left").select("qid", "project", "term", idf.alias("idf"))
+    mass = F.sum("idf").over(Window.partitionBy("qid"))
+    scopes = F.when(F.col("project").isNull() | (F.col("project") == "global"), F.array(F.lit("global"))).otherwise(F.array(F.lit("global"), F.lower("project")))
+    scoped = weighted.withColumn("share", F.col("idf") / mass).select("qid", "term", F.explode(scopes).alias("scope"), "idf", "share")
     tf = F.col("tf")
-    bm25 = F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.col("avg_len")))
-    weighted = post.join(length, "mem_id").crossJoin(F.broadcast(avg))
-    hits = scoped.select("query_id", "term", "scope", "idf").join(weighted, ["term", "scope"])
-    per = hits.groupBy("query_id", "mem_id").agg(F.sum("idf").alias("matched"), F.sum(bm25).alias("bm25"))
-    best = F.max("bm25").over(Window.partitionBy("query_id"))
-    return (
-        per.withColumn("best", best)
-        .join(mass, "query_id")
-        .select("query_id", "mem_id", (F.col("matched") / F.col("mass") * (0.8 + 0.2 * F.col("bm25") / F.col("best"))).alias("keyword"))
-    )
+    gain = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.col("avg_len")))
+    gains = post.crossJoin(F.broadcast(stats)).select("rid", "scope", "term", gain.alias("gain"))
+    hits = scoped.join(gains, ["term", "scope"])
+    per = hits.groupBy("qid", "rid").agg(F.sum("share").alias("share"), F.sum(F.col("idf") * F.col("gain")).alias("bm25"))
+    best = F.max("bm25").over(Window.partitionBy("qid"))
+    scores = per.withColumn("best", best).select("qid", "rid", (F.col("share") * (0.8 + 0.2 * F.col("bm25") / F.col("best"))).alias("keyword"))
+    return scores, ids, asked.select("qid", "query_id")
+
+
+def named(scores: DataFrame, ids: DataFrame, asked: DataFrame) -> DataFrame:
+    """Numbered rows with their ids again; for what is left after a cut."""
+    return scores.join(ids, "rid").join(asked, "qid").drop("rid", "qid")
 
 
 def top(scores: DataFrame, key: str, score: str, item: str, k: int) -> DataFrame:

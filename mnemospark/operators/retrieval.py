@@ -9,9 +9,36 @@ from mnemospark.config import RecallConfig
 from mnemospark.functions.vectors import dot
 
 
-def semantic_scores(asked: DataFrame, stored: DataFrame) -> DataFrame:
-    """(query_id, mem_id, semantic) of unit vectors within scope: asked (query_id, scope, qv), stored (mem_id, scope, v)."""
-    return asked.join(stored, "scope").select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("semantic"))
+BLOCK = 4096
+
+
+def semantic_scores(asked: DataFrame, stored: DataFrame, least: float) -> DataFrame:
+    """(query_id, mem_id, semantic) of at least ``least`` within scope: asked (query_id, scope, qv), stored (mem_id, scope, v), unit vectors.
+
+    Every question meets every memory of its scopes, in blocks: both sides of a scope are cut into blocks of about ``BLOCK``
+    rows and each pair of blocks is one matrix product, so a hot scope is work for many tasks.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cut(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+        blocks = df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+        return df.join(blocks, "scope").withColumn(name[0], F.pmod(F.xxhash64(key), F.col(name)).cast("int")), blocks
+
+    q, q_blocks = cut(asked, "query_id", "qs")
+    m, m_blocks = cut(stored, "mem_id", "ms")
+    q = q.drop("qs").join(m_blocks, "scope").withColumn("m", F.explode(F.sequence(F.lit(0), (F.col("ms") - 1).cast("int")))).select("scope", "q", "m", "query_id", "qv")
+    m = m.drop("ms").join(q_blocks, "scope").withColumn("q", F.explode(F.sequence(F.lit(0), (F.col("qs") - 1).cast("int")))).select("scope", "q", "m", "mem_id", "v")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "mem_id": [], "semantic": []}).astype({"semantic": "float64", "query_id": "object", "mem_id": "object"})
+        s = np.stack(left["qv"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        x, y = np.nonzero(s >= least)
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], "mem_id": right["mem_id"].to_numpy()[y], "semantic": s[x, y]})
+
+    keys = ["scope", "q", "m"]
+    return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(run, "query_id string, mem_id string, semantic double")
 
 
 def fused(keyword: DataFrame, semantic: DataFrame, cfg: RecallConfig = RecallConfig(), search: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES
 from mnemospark.functions import text as T
 from mnemospark.functions.vectors import dot, normalized, usable
 from mnemospark.operators import index, retrieval
+from mnemospark.plans.lineage import written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
 from mnemospark.plans.text_queries import BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
 from mnemospark.sources.tables import latest, table
@@ -31,14 +32,21 @@ mass AS (SELECT query_id, sum(idf) AS mass FROM aski GROUP BY 1),
 sc AS (SELECT query_id, w, idf, {SCOPES} FROM aski),
 per AS (SELECT query_id, post.mem_id, sum(idf) AS matched, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / st.al))) AS bm25
   FROM sc JOIN post USING (w, scope) JOIN len ON post.mem_id = len.mem_id CROSS JOIN st GROUP BY 1, 2),
-kw AS (SELECT query_id, mem_id, matched / mass * (0.8 + 0.2 * bm25 / max(bm25) OVER (PARTITION BY query_id)) AS keyword FROM per JOIN mass USING (query_id))"""
+kw AS (SELECT query_id, mem_id, round(matched / mass * (0.8 + 0.2 * bm25 / max(bm25) OVER (PARTITION BY query_id)), 6) AS keyword FROM per JOIN mass USING (query_id))"""
 
 
 def keyword(spark, d):
     docs = memories(spark, d, "title", "content", "mem_scope").select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"))
-    post = index.postings(docs, "mem_id", "text", "scope")
     asked = questions(spark, d, "project", "query").select("query_id", "project", F.col("query").alias("text"))
-    return index.keyword_scores(post, asked, docs.count())
+    scores, ids, names = index.keyword_scores(docs, asked)
+    return scores.withColumn("keyword", F.round("keyword", 6)), ids, names
+
+
+def best_keyword(spark, d, k):
+    """The k best memories of each question; rows at the k-th score keep their ties until the ids are known."""
+    scores, ids, names = keyword(spark, d)
+    cut = scores.withColumn("rank", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("keyword")))).where(F.col("rank") <= k).drop("rank")
+    return index.top(index.named(cut, ids, names), "query_id", "keyword", "mem_id", k)
 
 
 @query(
@@ -46,8 +54,7 @@ def keyword(spark, d):
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, mem_id) AS n FROM r) WHERE n <= 3"
 )
 def r1_keyword_recall(spark, d):
-    scores = keyword(spark, d).withColumn("keyword", F.round("keyword", 6))
-    return index.top(scores, "query_id", "keyword", "mem_id", 3).select("query_id", "mem_id", "keyword", "rank")
+    return best_keyword(spark, d, 3).select("query_id", "mem_id", "keyword", "rank")
 
 
 METRICS_SQL = f"""WITH {KEYWORD_SQL}, r AS (SELECT query_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 6) DESC, mem_id) AS n FROM kw),
@@ -61,11 +68,13 @@ SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS questions, rou
 def a19_retrieval_metrics(spark, d):
     from mnemospark.operators.evaluation import retrieval_metrics
 
-    ranked = keyword(spark, d).withColumn("keyword", F.round("keyword", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("keyword"), "mem_id")
-    ranked = ranked.select("query_id", "mem_id", F.row_number().over(order).alias("rank"))
     gold = questions(spark, d, "category", "expected").where(F.size("expected") > 0)
-    return retrieval_metrics(ranked, gold)
+    scores, ids, names = keyword(spark, d)
+    # the place of an expected memory: how many of the question's candidates are before it
+    e = gold.select("query_id", F.explode("expected").alias("mem_id")).join(ids, "mem_id").join(names, "query_id").select("qid", "query_id", "rid", "mem_id")
+    mine = e.join(scores, ["qid", "rid"]).select("qid", "query_id", "mem_id", F.col("keyword").alias("k"))
+    before = scores.join(mine, "qid").where("keyword > k or (keyword = k)").join(ids.withColumnRenamed("mem_id", "other"), "rid").where("keyword > k or other <= mem_id")
+    return retrieval_metrics(before.groupBy("query_id", "mem_id").agg(F.count("*").alias("rank")), gold)
 
 
 @query(
@@ -127,12 +136,19 @@ def unit_vectors(spark, d, kind):
     return one.select("owner_id", normalized(F.col("x.vector")).alias("u"))
 
 
-def semantic(spark, d):
+def semantic_sides(spark, d):
+    """(asked, stored, own): question vectors by scope, memory vectors by scope, the memory a question's vector is from."""
     v = unit_vectors(spark, d, "memory").withColumnRenamed("owner_id", "mem_id")
     stored = memories(spark, d, "mem_scope").join(v, "mem_id").select("mem_id", F.lower("mem_scope").alias("scope"), F.col("u").alias("v"))
     q = questions(spark, d, "project", "expected").select("query_id", "project", F.get("expected", F.lit(0)).alias("own"))
     asked = q.join(v.select(F.col("mem_id").alias("own"), F.col("u").alias("qv")), "own").select("query_id", "own", "qv", _scopes())
-    return asked.join(stored, "scope").where("mem_id <> own").select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("semantic"))
+    return asked, stored, q.select("query_id", "own")
+
+
+def semantic(spark, d, least=0.25):
+    asked, stored, own = semantic_sides(spark, d)
+    s = retrieval.semantic_scores(asked.select("query_id", "scope", "qv"), stored, least)
+    return s.join(own, "query_id").where("mem_id <> own").select("query_id", "mem_id", "semantic")
 
 
 @query(
@@ -140,7 +156,7 @@ def semantic(spark, d):
     "SELECT query_id, mem_id, s AS semantic, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, mem_id) AS n FROM r) WHERE n <= 5"
 )
 def j8_semantic_recall(spark, d):
-    s = semantic(spark, d).where("semantic >= 0.25").withColumn("semantic", F.round("semantic", 6))
+    s = semantic(spark, d).withColumn("semantic", F.round("semantic", 6))
     return index.top(s, "query_id", "semantic", "mem_id", 5).select("query_id", "mem_id", "semantic", "rank")
 
 
@@ -152,7 +168,17 @@ def j8_semantic_recall(spark, d):
     "SELECT query_id, mem_id, score, reason, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS n FROM a) WHERE n <= 10"
 )
 def r2_hybrid_recall(spark, d):
-    hits = retrieval.fused(keyword(spark, d), semantic(spark, d)).withColumn("score", F.round("score", 6))
+    scores, ids, names = keyword(spark, d)
+    near = semantic(spark, d)
+    strong = index.named(scores.where("keyword >= 0.3"), ids, names).select("query_id", "mem_id")
+    # what either side accepts; then the other side's score is looked up for these pairs only
+    pairs = written(near.select("query_id", "mem_id").unionByName(strong).distinct(), "candidates")
+    asked, stored, own = semantic_sides(spark, d)
+    vectors = pairs.join(stored, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
+    sem = vectors.select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("semantic"))
+    numbered = pairs.join(ids, "mem_id").join(names, "query_id")
+    key = numbered.join(scores, ["qid", "rid"]).select("query_id", "mem_id", "keyword")
+    hits = retrieval.fused(key, sem).withColumn("score", F.round("score", 6))
     return index.top(hits, "query_id", "score", "mem_id", 10).select("query_id", "mem_id", "score", "reason", "rank")
 
 
@@ -161,9 +187,10 @@ def r2_hybrid_recall(spark, d):
     "SELECT query_id, count(*) FILTER (k >= 0.8 * best)::BIGINT AS kept, count(*)::BIGINT AS candidates FROM r JOIN b USING (query_id) GROUP BY 1"
 )
 def f8_relative_cutoff(spark, d):
-    k = keyword(spark, d).withColumn("k", F.round("keyword", 6))
-    best = F.max("k").over(Window.partitionBy("query_id"))
-    return k.withColumn("best", best).groupBy("query_id").agg(F.count_if(F.col("k") >= 0.8 * F.col("best")).alias("kept"), F.count("*").alias("candidates"))
+    scores, _, names = keyword(spark, d)
+    best = F.max("keyword").over(Window.partitionBy("qid"))
+    per = scores.withColumn("best", best).groupBy("qid").agg(F.count_if(F.col("keyword") >= 0.8 * F.col("best")).alias("kept"), F.count("*").alias("candidates"))
+    return per.join(names, "qid").select("query_id", "kept", "candidates")
 
 
 @query(
