@@ -20,7 +20,8 @@ space that holds digits or signs inside (other than an apostrophe) has no vote.
 Sentences end at . ! ? or their full-width forms. Neighbouring sentences of one
 language form a segment; shorter ones than ``SHORT`` words join their
 neighbour. A language is present in a record if it is the record's greatest, or if a
-segment has ``WHOLE`` words (Han characters count half) at confidence ``SURE``.
+segment has ``WHOLE`` words (Han characters count half) at confidence ``SURE``, or ``LONG`` words at
+``FAIR``: short lists of foreign names and places do not make a record mixed.
 
 Defined results: null key: left out; null, blank or wordless text: no language, no
 segment; repeated rows of a key: latest; null, blank or unlisted label: missing; no
@@ -45,7 +46,9 @@ D = 2048
 SAMPLE = 4000
 SHORT = 4
 WHOLE = 6
-SURE = 0.95
+SURE = 0.995
+LONG = 11
+FAIR = 0.95
 TEMPERATURE = 0.02
 PASSES = 5
 LABELS = 10_000
@@ -314,7 +317,7 @@ def _read(protos, spelling, detail: bool):
                 main = total.drop_duplicates("text")
                 for i, g in zip(main["text"].astype(int), main["lang"]):
                     found[i].append(g)
-                whole = s[(s["words"] >= WHOLE) & (s["confidence"] >= SURE)]
+                whole = s[(s["words"] >= WHOLE) & (s["confidence"] >= SURE) | (s["words"] >= LONG) & (s["confidence"] >= FAIR)]
                 for i, g in zip(whole["text"].astype(int), whole["lang"]):
                     if g not in found[i]:
                         found[i].append(g)
