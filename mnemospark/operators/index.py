@@ -14,6 +14,9 @@ from mnemospark.functions.text import raw_words, term
 from mnemospark.plans.lineage import written
 
 
+NOWHERE = "\u0000"  # the scope of what belongs to no project
+
+
 def terms(docs: DataFrame, key: str, text: str, *also: str) -> DataFrame:
     """(key, also..., term), one row per occurrence."""
     return docs.select(key, *also, F.explode(raw_words(F.col(text))).alias("_w")).select(key, *also, term(F.col("_w")).alias("term")).where("term is not null")
@@ -37,7 +40,7 @@ def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("rid", "mem_id"), written(post, "postings")
 
 
-def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = RecallConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = RecallConfig(), exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, memory ids, question ids) of docs (mem_id, scope, text) and questions (query_id, project, text).
 
     scores (qid, rid, keyword): share of the question's idf mass that matches * (0.8 + 0.2 * bm25 / greatest bm25 of the
@@ -53,6 +56,8 @@ def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = Re
     weighted = asked.select("qid", "project", F.explode("terms").alias("term")).join(df, "term", "left").select("qid", "project", "term", idf.alias("idf"))
     mass = F.sum("idf").over(Window.partitionBy("qid"))
     scopes = F.when(F.col("project").isNull() | (F.col("project") == "global"), F.array(F.lit("global"))).otherwise(F.array(F.lit("global"), F.lower("project")))
+    if exact:
+        scopes = F.array(F.coalesce(F.lower("project"), F.lit(NOWHERE)))
     scoped = weighted.withColumn("share", F.col("idf") / mass).select("qid", "term", F.explode(scopes).alias("scope"), "idf", "share")
     tf = F.col("tf")
     gain = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.col("avg_len")))

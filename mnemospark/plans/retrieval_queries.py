@@ -408,3 +408,44 @@ def o1_topic_groups(spark, d):
     """Greedy topic groups over each question's five nearest memories."""
     v = unit_vectors(spark, d, "memory").select(F.col("owner_id").alias("mem_id"), F.col("u").alias("v"))
     return retrieval.topic_groups(j8_semantic_recall(spark, d).join(v, "mem_id", "left"))
+
+
+BOOST = "CASE WHEN agg AND mem_type IN ('digest', 'dossier') THEN 0.15 ELSE 0 END"
+
+
+@query(
+    f"WITH {KEYWORD_SQL}, i AS (SELECT query_id, {_cue_sql('query', INTENT_CUES['temporal'])} AS tmp, {_cue_sql('query', INTENT_CUES['aggregate'])} AS agg FROM qry), "
+    f"s AS (SELECT query_id, mem_id, round(keyword * CASE WHEN status = 'superseded' THEN 0.9 ELSE 1 END + {BOOST}, 6) AS score FROM kw JOIN i USING (query_id) JOIN mem USING (mem_id) "
+    "WHERE coalesce(mem_type, '') <> 'summary' AND (status IN ('active', 'contested') OR tmp AND status = 'superseded')) "
+    "SELECT query_id, mem_id, score, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS n FROM s) WHERE n <= 3"
+)
+def r6_adjusted_recall(spark, d):
+    """Keyword recall of usable memories: superseded ones count 0.9 and only for questions about time, digests gain 0.15 for questions about totals."""
+    scores, ids, names = keyword(spark, d)
+    q = questions(spark, d, "query").select("query_id", T.has_cue(F.col("query"), INTENT_CUES["temporal"]).alias("tmp"), T.has_cue(F.col("query"), INTENT_CUES["aggregate"]).alias("agg"))
+    asked = names.join(q, "query_id")
+    m = memories(spark, d, "mem_type", "status").where((F.coalesce("mem_type", F.lit("")) != "summary") & F.col("status").isin("active", "contested", "superseded")).join(ids, "mem_id")
+    old = F.col("status") == "superseded"
+    boost = F.when(F.col("agg") & F.col("mem_type").isin("digest", "dossier"), 0.15).otherwise(0.0)
+    s = scores.join(m, "rid").join(asked, "qid").where(~old | F.col("tmp")).withColumn("score", F.round(F.col("keyword") * F.when(old, 0.9).otherwise(1.0) + boost, 6))
+    return index.top(s, "query_id", "score", "mem_id", 3).select("query_id", "mem_id", "score", "rank")
+
+
+TURN_SQL = KEYWORD_SQL.replace(terms_sql("mem", "mem_id", BODY, ", lower(mem_scope) AS scope"), terms_sql("(SELECT turn_id, text, coalesce(lower(project), '-') AS scope FROM trn)", "turn_id", "text", ", scope")).replace(MEM, TRN)
+TURN_SQL = TURN_SQL.replace("mem_id", "turn_id").replace("FROM mem)", "FROM trn)").replace(SCOPES, "coalesce(lower(project), '-') AS scope")
+
+
+@query(
+    f"WITH {TURN_SQL}, b AS (SELECT query_id, turn_id, session_id, keyword FROM kw JOIN trn USING (turn_id) WHERE keyword >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id, session_id ORDER BY keyword DESC, turn_id) = 1) "
+    "SELECT query_id, turn_id, keyword, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, turn_id) AS n FROM b) WHERE n <= 5"
+)
+def r7_turn_recall(spark, d):
+    """Conversation turns of the question's own project by keyword, at most one per session."""
+    t = turns(spark, d, "project", "session_id", "text")
+    docs = t.select(F.col("turn_id").alias("mem_id"), F.coalesce(F.lower("project"), F.lit(index.NOWHERE)).alias("scope"), "text")
+    asked = questions(spark, d, "project", "query").select("query_id", "project", F.col("query").alias("text"))
+    scores, ids, names = index.keyword_scores(docs, asked, exact=True)
+    strong = scores.withColumn("keyword", F.round("keyword", 6)).where("keyword >= 0.3")
+    hits = index.named(strong, ids, names).withColumnRenamed("mem_id", "turn_id").join(t.select("turn_id", "session_id"), "turn_id")
+    first = F.row_number().over(Window.partitionBy("query_id", "session_id").orderBy(F.desc("keyword"), "turn_id"))
+    return index.top(hits.withColumn("n", first).where("n = 1"), "query_id", "keyword", "turn_id", 5).select("query_id", "turn_id", "keyword", "rank")
