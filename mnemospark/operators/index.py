@@ -33,9 +33,12 @@ def statistics(post: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index of (mem_id, scope, text), written once: ids (rid, mem_id) and postings (rid, scope, term, tf, len)."""
+    """The index of (mem_id, scope, text), written once: ids (rid, mem_id) and postings (rid, scope, term, tf, len).
+
+    Numbers are given in the order of the ids, so ties are broken by number as by id.
+    """
     word = F.filter(F.transform(raw_words(F.col("text")), term), lambda t: t.isNotNull())
-    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), "mem_id", "scope", word.alias("terms")), "index")
+    rows = written(docs.orderBy("mem_id").select(F.monotonically_increasing_id().alias("rid"), "mem_id", "scope", word.alias("terms")), "index")
     post = rows.select("rid", "scope", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("rid", "scope", "len", "term").agg(F.count("*").alias("tf"))
     return rows.select("rid", "mem_id"), written(post, "postings")
 

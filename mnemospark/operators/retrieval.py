@@ -41,16 +41,20 @@ def semantic_scores(asked: DataFrame, stored: DataFrame, least: float) -> DataFr
     return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(run, "query_id string, mem_id string, semantic double")
 
 
-def fused(keyword: DataFrame, semantic: DataFrame, cfg: RecallConfig = RecallConfig(), search: bool = True) -> DataFrame:
-    """Full outer fusion with acceptance floors: (query_id, mem_id, score, reason)."""
+def scored(pairs: DataFrame, cfg: RecallConfig = RecallConfig(), search: bool = True) -> DataFrame:
+    """(query_id, mem_id, score, reason) of pairs with ``keyword`` and ``semantic`` (null where a side has none), behind the acceptance floors."""
     floor = cfg.search_min_similarity if search else cfg.min_similarity
     least = cfg.keyword_floor(inject=not search, vectors=True)
-    both = keyword.join(semantic, ["query_id", "mem_id"], "full")
     k, s = F.coalesce("keyword", F.lit(0.0)), F.coalesce("semantic", F.lit(0.0))
     w = cfg.semantic_weight
     score = F.when(F.col("semantic").isNotNull(), w * s + (1 - w) * k).otherwise((1 - w) * k)
     reason = F.when((k > 0) & (s > 0), "both").when(k > 0, "keyword").otherwise("semantic")
-    return both.where((s >= floor) | (k >= least)).select("query_id", "mem_id", score.alias("score"), reason.alias("reason"))
+    return pairs.where((s >= floor) | (k >= least)).select("query_id", "mem_id", score.alias("score"), reason.alias("reason"))
+
+
+def fused(keyword: DataFrame, semantic: DataFrame, cfg: RecallConfig = RecallConfig(), search: bool = True) -> DataFrame:
+    """Full outer fusion of keyword and semantic candidates."""
+    return scored(keyword.join(semantic, ["query_id", "mem_id"], "full"), cfg, search)
 
 
 def first_writer(channels: list[DataFrame], key: list[str]) -> DataFrame:

@@ -42,11 +42,9 @@ def keyword(spark, d):
     return scores.withColumn("keyword", F.round("keyword", 6)), ids, names
 
 
-def best_keyword(spark, d, k):
-    """The k best memories of each question; rows at the k-th score keep their ties until the ids are known."""
-    scores, ids, names = keyword(spark, d)
-    cut = scores.withColumn("rank", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("keyword")))).where(F.col("rank") <= k).drop("rank")
-    return index.top(index.named(cut, ids, names), "query_id", "keyword", "mem_id", k)
+def ranked(scores):
+    """Rank of each candidate of a question; numbers follow the ids, so they break ties."""
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("keyword"), "rid")))
 
 
 @query(
@@ -54,7 +52,8 @@ def best_keyword(spark, d, k):
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, mem_id) AS n FROM r) WHERE n <= 3"
 )
 def r1_keyword_recall(spark, d):
-    return best_keyword(spark, d, 3).select("query_id", "mem_id", "keyword", "rank")
+    scores, ids, names = keyword(spark, d)
+    return index.named(ranked(scores).where("rank <= 3"), ids, names).select("query_id", "mem_id", "keyword", "rank")
 
 
 METRICS_SQL = f"""WITH {KEYWORD_SQL}, r AS (SELECT query_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 6) DESC, mem_id) AS n FROM kw),
@@ -70,11 +69,8 @@ def a19_retrieval_metrics(spark, d):
 
     gold = questions(spark, d, "category", "expected").where(F.size("expected") > 0)
     scores, ids, names = keyword(spark, d)
-    # the place of an expected memory: how many of the question's candidates are before it
-    e = gold.select("query_id", F.explode("expected").alias("mem_id")).join(ids, "mem_id").join(names, "query_id").select("qid", "query_id", "rid", "mem_id")
-    mine = e.join(scores, ["qid", "rid"]).select("qid", "query_id", "mem_id", F.col("keyword").alias("k"))
-    before = scores.join(mine, "qid").where("keyword > k or (keyword = k)").join(ids.withColumnRenamed("mem_id", "other"), "rid").where("keyword > k or other <= mem_id")
-    return retrieval_metrics(before.groupBy("query_id", "mem_id").agg(F.count("*").alias("rank")), gold)
+    e = gold.select("query_id", F.explode("expected").alias("mem_id")).join(ids, "mem_id").join(names, "query_id")
+    return retrieval_metrics(e.join(ranked(scores), ["qid", "rid"]).select("query_id", "mem_id", "rank"), gold)
 
 
 @query(
@@ -169,16 +165,15 @@ def j8_semantic_recall(spark, d):
 )
 def r2_hybrid_recall(spark, d):
     scores, ids, names = keyword(spark, d)
-    near = semantic(spark, d)
-    strong = index.named(scores.where("keyword >= 0.3"), ids, names).select("query_id", "mem_id")
-    # what either side accepts; then the other side's score is looked up for these pairs only
-    pairs = written(near.select("query_id", "mem_id").unionByName(strong).distinct(), "candidates")
+    near = semantic(spark, d).join(ids, "mem_id").join(names, "query_id").select("qid", "rid", "semantic")
+    # what either side accepts; then the similarity of pairs that only the keywords found is looked up
+    pairs = scores.join(near, ["qid", "rid"], "full").where("keyword >= 0.3 or semantic is not null")
+    pairs = written(index.named(pairs, ids, names), "candidates")
     asked, stored, own = semantic_sides(spark, d)
-    vectors = pairs.join(stored, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
-    sem = vectors.select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("semantic"))
-    numbered = pairs.join(ids, "mem_id").join(names, "query_id")
-    key = numbered.join(scores, ["qid", "rid"]).select("query_id", "mem_id", "keyword")
-    hits = retrieval.fused(key, sem).withColumn("score", F.round("score", 6))
+    only = pairs.where("semantic is null").select("query_id", "mem_id").join(stored, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
+    looked = only.select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("looked"))
+    pairs = pairs.join(looked, ["query_id", "mem_id"], "left").withColumn("semantic", F.coalesce("semantic", "looked"))
+    hits = retrieval.scored(pairs).withColumn("score", F.round("score", 6))
     return index.top(hits, "query_id", "score", "mem_id", 10).select("query_id", "mem_id", "score", "reason", "rank")
 
 
