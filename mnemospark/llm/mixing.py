@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.tokens import VOCABULARY, sized
@@ -124,8 +124,8 @@ def shares(mix: DataFrame, rows: list[dict]) -> DataFrame:
         "source string, target_share double, max_repeats bigint, available_tokens bigint",
     )
     per = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
-    total = per.agg(F.sum("mixed").alias("total"))
-    joined = plan_rows.join(per, "source", "left").crossJoin(F.broadcast(total)).na.fill(0, ["mixed", "documents", "most_copies"])
+    joined = plan_rows.join(per, "source", "left").na.fill(0, ["mixed", "documents", "most_copies"])
+    joined = joined.withColumn("total", F.nullif(F.sum("mixed").over(Window.partitionBy()), F.lit(0)))  # one row a target
     return joined.select(
         "source", "target_share", "max_repeats", "available_tokens", F.col("mixed").alias("mixed_tokens"),
         F.round(F.coalesce(F.col("mixed") / F.col("total"), F.lit(0.0)), 6).alias("share"), "documents", "most_copies",

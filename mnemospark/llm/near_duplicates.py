@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
@@ -304,7 +304,8 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
     heavy = heavy_elements(rows)
     bands = rows.select("hi", "lo", "short").mapInPandas(_banded(heavy), "c bigint, band bigint").repartition("band")
     hit = bands.sortWithinPartitions("band", "c").mapInArrow(_shared_runs, "band bigint, c bigint")
-    hit = written(hit.withColumn("size", F.count("*").over(Window.partitionBy("band"))), "p6-buckets")
+    hit = hit.join(hit.groupBy("band").agg(F.count("*").alias("size")), "band")
+    hit = written(hit, "p6-buckets")
     cid = classes.select(F.col("hi").alias("c"), "cid", "key")
     small = hit.where(F.col("size") <= BUCKET)
     pairs = (
@@ -326,8 +327,7 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
     large = hit.where(F.col("size") > BUCKET).join(cid.select("c", "cid"), "c")
     if large.isEmpty():
         return verified
-    order = F.row_number().over(Window.partitionBy("band").orderBy("cid")) - 1
-    chunked = large.withColumn("chunk", (order / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    chunked = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     block = (
         chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("i", F.least("chunk", "other"))
@@ -340,12 +340,12 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
 
 
 def found(members: DataFrame) -> DataFrame:
-    """All pairs of different records of one group, smaller key first; large groups are joined in salted blocks."""
-    part = members.where("size > 1").withColumn("slot", F.floor((F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1) / BLOCK))
-    part = part.withColumn("slots", F.floor((F.col("size") - 1) / BLOCK))
-    left = part.select("group", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("slots"))).alias("j"), F.col("key").alias("mem_id_a"))
-    right = part.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slot"))).alias("i"), F.col("slot").alias("j"), F.col("key").alias("mem_id_b"))
-    return left.join(right, ["group", "i", "j"]).where("mem_id_a < mem_id_b").select("mem_id_a", "mem_id_b")
+    """All pairs of different records of one group, smaller key first; large groups are joined in salted blocks of about BLOCK records."""
+    part = members.where("size > 1").withColumn("slots", F.ceil(F.col("size") / BLOCK)).withColumn("slot", F.pmod(F.xxhash64("key"), F.col("slots")))
+    left = part.select("group", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("slots") - 1)).alias("j"), F.col("key").alias("x"))
+    right = part.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slot"))).alias("i"), F.col("slot").alias("j"), F.col("key").alias("y"))
+    pairs = left.join(right, ["group", "i", "j"]).where("i < j or x < y")
+    return pairs.select(F.least("x", "y").alias("mem_id_a"), F.greatest("x", "y").alias("mem_id_b"))
 
 
 def memory_groups(spark, sf_dir):

@@ -205,8 +205,10 @@ def neighbours(df: DataFrame, k: int = K, floor: float = FLOOR, width: float = W
     # repeated rows meet by id without their vectors; only the winner's class hash moves
     named = rows.select("id", "v", "good", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(31), "vector").alias("h2"))
     winner = named.groupBy("id").agg(F.max(F.struct("v", "good", "h1", "h2")).alias("x")).where("x.good").select("id", "x.h1", "x.h2")
-    by_class = Window.partitionBy("h1", "h2")
-    members = written(winner.withColumn("cid", F.min("id").over(by_class)).select("id", "cid", "h1", "h2"), "p5-members")
+    winner = written(winner, "p5-usable")
+    # aggregated before it is joined back: a class may hold a third of all rows
+    smallest = winner.groupBy("h1", "h2").agg(F.min("id").alias("cid"))
+    members = written(winner.join(smallest, ["h1", "h2"]).select("id", "cid", "h1", "h2"), "p5-members")
     first = members.where("id = cid").select("cid", "h1", "h2")
     stored = rows.where("good").select(F.col("id").alias("cid"), "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(31), "vector").alias("h2"))
     reps = written(stored.join(first, ["cid", "h1", "h2"], "left_semi").dropDuplicates(["cid"]).select("cid", "vector"), "p5-classes")

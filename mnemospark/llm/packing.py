@@ -102,14 +102,17 @@ def _parts(rows: int) -> int:
 def pieces(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     """(pack_name, capacity, doc_id, piece, tokens): each document, cut only if larger than the container."""
     good = packs.where((F.col("capacity_tokens") >= 1) & F.col("pack_name").isNotNull()).groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity"))
-    number = good.count()
-    if number > PACKS:
-        raise ValueError(f"{number} capacities; at most {PACKS} are packed in one call")
+    rows = good.limit(PACKS + 1).collect()
+    if len(rows) > PACKS:
+        raise ValueError(f"more than {PACKS} capacities in one call")
+    each = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in rows])
+    if not rows:
+        each = each.cast("array<struct<pack_name:string,capacity:bigint>>")
     cut = F.floor((F.col("tokens") - 1) / F.col("capacity"))
     return (
         sizes.where("tokens > 0")
-        .select("doc_id", "tokens")
-        .crossJoin(F.broadcast(good))
+        .select("doc_id", "tokens", F.explode(each).alias("pack"))
+        .select("doc_id", "tokens", "pack.*")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), cut)))
         .withColumn("tokens", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")))
         .select("pack_name", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), "tokens")

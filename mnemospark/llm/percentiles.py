@@ -3,10 +3,9 @@
 A digest is a list of centroids (mean, weight) of sorted values, clustered so
 that no centroid spans more than one unit of the size function
 ``k(q) = DELTA / (2 * pi) * asin(2 * q - 1)``: fine at both tails, coarse in the
-middle. Each batch of rows is clustered where it is read; centroids of one group
-are merged by sorting and clustering again, first within salted parts, then per
-group, so a group holding a third of all rows never meets in one task: a
-task sees at most DELTA centroids of each digest it merges. Digests of
+middle. Each block of rows is clustered where it is read; centroids of one group
+are merged by sorting and clustering again in a reduction tree over partitions,
+so a group holding a third of all rows never meets in one task. Digests of
 days merge into digests of any period.
 
 A second pass counts, for each estimate, the values below and up to it. The
@@ -31,7 +30,7 @@ from mnemospark.sources.tables import latest, table
 
 DELTA = 400
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
-PARTS = 64
+FAN = 64
 ROWS = 300_000
 SCHEMA = "grp string, day date, measure string, mean double, weight double, low double, high double"
 
@@ -115,16 +114,28 @@ def _merged(f: pd.DataFrame) -> pd.DataFrame:
 
 def digests(rows: DataFrame) -> DataFrame:
     """Rows (grp, day, search_ms, kept_tokens) to mergeable digests per (grp, day, measure), written."""
-    small = rows.mapInPandas(_digested, SCHEMA)
-    return merge(small, "grp", "day", "measure")
+    return merge(rows.mapInPandas(_digested, SCHEMA), "grp", "day", "measure")
 
 
 def merge(centroids: DataFrame, *keys: str) -> DataFrame:
-    """Merge digests by ``keys`` (a tree of two levels); dropped keys become null."""
+    """Merge digests by ``keys``; dropped keys become null.
+
+    A reduction tree over the partitions the digests come from, ``FAN`` at a time: no task merges more than
+    FAN partitions' digests of one group, however many there are.
+    """
     gone = {c: F.lit(None).cast(t) for c, t in (("grp", "string"), ("day", "date")) if c not in keys}
-    flat = centroids.withColumns({**gone, "part": F.pmod(F.spark_partition_id(), F.lit(PARTS))})
-    level = flat.groupBy(*keys, "part").applyInPandas(_merged, SCHEMA)
-    return written(level.groupBy(*keys).applyInPandas(_merged, SCHEMA), "p3-digests")
+    flat = written(centroids.withColumns({**gone, "part": F.spark_partition_id().cast("bigint")}), "p3-centroids")
+    parts = (flat.agg(F.max("part")).first()[0] or 0) + 1
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        return _merged(f).assign(part=key[-1])
+
+    while True:
+        parts = -(-parts // FAN)
+        flat = flat.withColumn("part", F.floor(F.col("part") / FAN)).groupBy(*keys, "part").applyInPandas(run, SCHEMA + ", part bigint")
+        if parts == 1:
+            return written(flat.drop("part"), "p3-digests")
+        flat = written(flat, "p3-level")
 
 
 def _estimated(quantiles):
