@@ -50,7 +50,7 @@ def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = Re
     question's candidates). Rows are numbered, so only numbers take part in the large join and aggregation.
     """
     ids, post = built(docs)
-    stats = post.select("rid", "len").distinct().agg(F.avg("len").alias("avg_len"))
+    average = post.select("rid", "len").distinct().agg(F.avg("len")).first()[0] or 0.0
     total = ids.count()
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     words = F.array_distinct(F.filter(F.transform(raw_words(F.col("text")), term), lambda t: t.isNotNull()))
@@ -63,8 +63,8 @@ def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = Re
         scopes = F.array(F.coalesce(F.lower("project"), F.lit(NOWHERE)))
     scoped = weighted.withColumn("share", F.col("idf") / mass).select("qid", "term", F.explode(scopes).alias("scope"), "idf", "share")
     tf = F.col("tf")
-    gain = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.col("avg_len")))
-    gains = post.crossJoin(F.broadcast(stats)).select("rid", "scope", "term", gain.alias("gain"))
+    gain = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / average))
+    gains = post.select("rid", "scope", "term", gain.alias("gain"))
     hits = scoped.join(gains, ["term", "scope"])
     per = hits.groupBy("qid", "rid").agg(F.sum("share").alias("share"), F.sum(F.col("idf") * F.col("gain")).alias("bm25"))
     best = F.max("bm25").over(Window.partitionBy("qid"))
