@@ -32,4 +32,15 @@ def written(df: DataFrame, tag: str = "t", by: list[str] | None = None) -> DataF
     if by:
         writer = writer.partitionBy(*by)
     writer.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no later plan reads; its rows live on only in what was written from it."""
+    path = getattr(table, "_written_path", None)
+    if path:
+        spark = table.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
