@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
 from mnemospark.llm.words import STEP, ElementHasher
-from mnemospark.plans.lineage import written
+from mnemospark.plans.lineage import discard, written
 
 THRESHOLD = 0.75
 HEAVY = 0.005
@@ -217,9 +217,13 @@ def _verified(threshold):
 
 
 def _shared_runs(batches):
-    """Rows sorted by band and class to the rows of bands with two classes or more, each once; holds one row between batches."""
-    held = None
-    sent = False  # whether the held row was emitted
+    """Rows sorted by band and class to the rows of bands with two classes or more, each once, with its place n in the band.
+
+    Holds one row between batches, whatever the length of a band.
+    """
+    held = None  # the last row
+    sent = False  # whether it was emitted
+    place = 0  # its place in its band
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -236,11 +240,15 @@ def _shared_runs(batches):
         keep[:-1] |= same
         joins = held is not None and held[0] == band[0]
         keep[0] |= joins
-        out_band, out_c = band[keep], c[keep]
+        at = np.arange(len(band))
+        n = at - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
+        if joins:
+            n[: int(np.argmin(same)) + 1 if not same.all() else len(band)] += place + 1
+        out = [band[keep], c[keep], n[keep]]
         if joins and not sent:
-            out_band, out_c = np.append(out_band, held[0]), np.append(out_c, held[1])
-        held, sent = (band[-1], c[-1]), bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out_band, pa.int64()), pa.array(out_c, pa.int64())], ["band", "c"])
+            out = [np.append(x, y) for x, y in zip(out, (*held, place))]
+        held, sent, place = (band[-1], c[-1]), bool(keep[-1]), int(n[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["band", "c", "n"])
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
@@ -303,11 +311,13 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
     """Verified links a < b between classes (cid)."""
     heavy = heavy_elements(rows)
     bands = rows.select("hi", "lo", "short").mapInPandas(_banded(heavy), "c bigint, band bigint").repartition("band")
-    hit = bands.sortWithinPartitions("band", "c").mapInArrow(_shared_runs, "band bigint, c bigint")
-    hit = hit.join(hit.groupBy("band").agg(F.count("*").alias("size")), "band")
+    hit = bands.sortWithinPartitions("band", "c").mapInArrow(_shared_runs, "band bigint, c bigint, n bigint")
     hit = written(hit, "p6-buckets")
+    discard(rows)  # signatures are done; what follows reads buckets and texts
+    over = hit.where(F.col("n") >= BUCKET).select("band").distinct()
+    crowded = not over.isEmpty()
     cid = classes.select(F.col("hi").alias("c"), "cid", "key")
-    small = hit.where(F.col("size") <= BUCKET)
+    small = hit.join(over, "band", "left_anti") if crowded else hit
     pairs = (
         small.select("band", F.col("c").alias("x"))
         .join(small.select("band", F.col("c").alias("y")), "band")
@@ -324,9 +334,10 @@ def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float
     left = sets.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"), F.col("elements").alias("el_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"), F.col("elements").alias("el_b"))
     verified = pairs.join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a bigint, b bigint")
-    large = hit.where(F.col("size") > BUCKET).join(cid.select("c", "cid"), "c")
-    if large.isEmpty():
+    if not crowded:
         return verified
+    sizes = hit.join(over, "band", "left_semi").groupBy("band").agg(F.count("*").alias("size"))
+    large = hit.join(sizes, "band").join(cid.select("c", "cid"), "c")
     chunked = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     block = (
         chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -130,6 +130,24 @@ def test_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert set(grouped(memory_frame(spark, rows)).values()) == {"m000"}
 
 
+def test_shared_runs_over_any_batches():
+    import pyarrow as pa
+
+    for seed in range(400):
+        rng = random.Random(seed)
+        rows = sorted((rng.randint(0, 5), rng.randint(0, 4)) for _ in range(rng.randint(0, 25)))
+        batches, i = [], 0
+        while i < len(rows):
+            k = rng.randint(1, 5)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + k])], ["band", "c"]))
+            i += k
+        got = [r for b in near_duplicates._shared_runs(batches) for r in zip(*[x.to_pylist() for x in b.columns])]
+        bands = {}
+        for band, c in sorted(set(rows)):
+            bands.setdefault(band, []).append(c)
+        assert sorted(got) == sorted((b, c, n) for b, v in bands.items() if len(v) > 1 for n, c in enumerate(v))
+
+
 def test_bayesian_pruning_bounds():
     need = near_duplicates.needed_matches()
     assert (np.diff(need) >= 0).all() and need[-1] < near_duplicates.HASHES * near_duplicates.FLOOR
