@@ -282,10 +282,11 @@ def scored(ix: Index, ids: np.ndarray):
         for block in np.unique(b[open_]):
             rows = open_[b[open_] == block]
             cols = members[block]
-            at = np.concatenate([np.arange(start[r], ends[r]) for r in rows])
-            first = np.concatenate([[0], np.cumsum(ends[rows] - start[rows])[:-1]])
-            sims[rows[:, None], cols] = np.add.reduceat(weight[at, None] * ix.weights[w_ids[at]][:, cols], first, axis=0) / norm[which[rows], None]
-        if step >= 0 and sims.shape[1] >= K:
+            n = ends[rows] - start[rows]
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            at = np.repeat(start[rows] - first, n) + np.arange(n.sum())
+            sims[rows[:, None], cols] = np.add.reduceat(weight[at, None] * ix.weights[np.ix_(w_ids[at], cols)], first, axis=0) / norm[which[rows], None]
+        if sims.shape[1] >= K:
             kth[open_] = -np.partition(-sims[open_], K - 1, axis=1)[:, K - 1]
     return which, votes(ix, sims), sims.argmax(1)
 
