@@ -15,7 +15,7 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     m = m.select("category", (found == 1).cast("double").alias("h"), (found <= 3).cast("double").alias("r3"), F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"))
     return (
         m.rollup("category")
-        .agg(F.count("*").alias("questions"), F.round(F.avg("h"), 6).alias("hit1"), F.round(F.avg("r3"), 6).alias("recall3"), F.round(F.avg("rr"), 6).alias("mrr"))
+        .agg(F.count("*").alias("questions"), F.round(F.avg("h"), 6).alias("hit1"), F.round(F.avg("r3"), 6).alias("recall3"), F.round(F.avg("rr") + 1e-9, 6).alias("mrr"))
         .withColumn("category", F.coalesce("category", F.lit("all")))
     )
 

@@ -13,6 +13,9 @@ from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.tables import latest, table
 
 
+TIE = 1e-9  # a mean of doubles on a rounding boundary falls on one side whatever the order of the sum
+
+
 def runs(spark, d, *columns):
     return latest(table(spark, d, "eval_rows"), "row_id", "arrived_at", "row_id", *columns)
 
@@ -115,13 +118,13 @@ def a16_scope_topics(spark, d):
 
 @query(
     f"WITH {EVL} SELECT question_type, count(*)::BIGINT AS rows, round(avg((score >= 0.5)::INT), 6) AS hit_rate, round(avg((coalesce(kept_items, 0) = 0)::INT), 6) AS abstained, "
-    "round(sum(score) / nullif(count(score), 0), 6) AS mean_score FROM evl GROUP BY 1"
+    "round(sum(score) / nullif(count(score), 0) + 1e-9, 6) AS mean_score FROM evl GROUP BY 1"
 )
 def a20_replay_metrics(spark, d):
     e = runs(spark, d, "question_type", "kept_items", "score")
     return e.groupBy("question_type").agg(
         F.count("*").alias("rows"), F.round(F.avg((F.col("score") >= 0.5).cast("int")), 6).alias("hit_rate"),
-        F.round(F.avg((F.coalesce("kept_items", F.lit(0)) == 0).cast("int")), 6).alias("abstained"), F.round(F.avg("score"), 6).alias("mean_score"),
+        F.round(F.avg((F.coalesce("kept_items", F.lit(0)) == 0).cast("int")), 6).alias("abstained"), F.round(F.avg("score") + TIE, 6).alias("mean_score"),
     )
 
 
@@ -133,10 +136,10 @@ def a21_percentile_by_rank(spark, d):
     return evaluation.nth_percentile(runs(spark, d, "run_id", "score"), "run_id", "score", 0.95)
 
 
-@query(f"WITH {EVL}, m AS (SELECT run_id, question_type, avg(score) AS s FROM evl GROUP BY ALL) SELECT run_id, round(avg(s), 6) AS macro, count(s)::BIGINT AS abilities FROM m GROUP BY 1")
+@query(f"WITH {EVL}, m AS (SELECT run_id, question_type, avg(score) AS s FROM evl GROUP BY ALL) SELECT run_id, round(avg(s) + 1e-9, 6) AS macro, count(s)::BIGINT AS abilities FROM m GROUP BY 1")
 def a22_macro_average(spark, d):
     m = runs(spark, d, "run_id", "question_type", "score").groupBy("run_id", "question_type").agg(F.avg("score").alias("s"))
-    return m.groupBy("run_id").agg(F.round(F.avg("s"), 6).alias("macro"), F.count("s").alias("abilities"))
+    return m.groupBy("run_id").agg(F.round(F.avg("s") + TIE, 6).alias("macro"), F.count("s").alias("abilities"))
 
 
 WILSON = "((s / n + 1.9208 / n) {} 1.96 * sqrt(s / n * (1 - s / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)"

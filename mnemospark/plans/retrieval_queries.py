@@ -60,7 +60,7 @@ METRICS_SQL = f"""WITH {KEYWORD_SQL}, r AS (SELECT query_id, mem_id, row_number(
 e AS (SELECT query_id, category, unnest(expected) AS mem_id FROM qry WHERE len(expected) > 0), q AS (SELECT DISTINCT query_id, category FROM e),
 b AS (SELECT e.query_id, min(r.n) AS n FROM e JOIN r ON e.query_id = r.query_id AND e.mem_id = r.mem_id GROUP BY 1),
 m AS (SELECT category, coalesce(n = 1, false)::INT AS h, coalesce(n <= 3, false)::INT AS r3, coalesce(1.0 / n, 0) AS rr FROM q LEFT JOIN b USING (query_id))
-SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS questions, round(avg(h), 6) AS hit1, round(avg(r3), 6) AS recall3, round(avg(rr), 6) AS mrr FROM m GROUP BY GROUPING SETS ((category), ())"""
+SELECT coalesce(category, 'all') AS category, count(*)::BIGINT AS questions, round(avg(h), 6) AS hit1, round(avg(r3), 6) AS recall3, round(avg(rr) + 1e-9, 6) AS mrr FROM m GROUP BY GROUPING SETS ((category), ())"""
 
 
 @query(METRICS_SQL)
