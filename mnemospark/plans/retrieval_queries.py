@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES
+from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES, NEGATION_CUES
 from mnemospark.functions import text as T
 from mnemospark.functions.vectors import dot, normalized, usable
 from mnemospark.operators import index, retrieval
 from mnemospark.plans.lineage import written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
-from mnemospark.plans.text_queries import BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
+from mnemospark.plans.text_queries import APOSTROPHE, BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
 from mnemospark.sources.tables import latest, table
 
 SCOPES = "unnest(CASE WHEN project IS NULL OR project = 'global' THEN ['global'] ELSE ['global', lower(project)] END) AS scope"
@@ -257,6 +257,33 @@ def j17_contradiction_candidates(spark, d):
     return p.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("similarity"), "first_id", "second_id"))).where("n <= 20").drop("n")
 
 
+ELIGIBLE = ("active", "contested"), (*DERIVED_TYPES, "rule", "episode", "timeline")
+
+
+@query(
+    f"WITH {MEM}, {VEC}, m AS (SELECT mem_id, lower(mem_scope) AS scope, {NUMBERS_SQL.format('content')} AS numbers, {_cue_sql(APOSTROPHE, NEGATION_CUES)} AS negative, len(supersedes) > 0 AS new, {UNIT} AS u FROM mem "
+    f"JOIN vec ON owner_kind = 'memory' AND owner_id = mem_id WHERE status IN ({quoted(ELIGIBLE[0])}) AND coalesce(mem_type, '') NOT IN ({quoted(ELIGIBLE[1])}) QUALIFY row_number() OVER (PARTITION BY mem_id ORDER BY vec_id) = 1), "
+    "p AS (SELECT a.mem_id AS n, b.mem_id AS o, a.scope, a.numbers AS x, b.numbers AS y, a.negative OR b.negative AS negative, round(list_dot_product(a.u, b.u), 6) AS similarity FROM m a JOIN m b USING (scope) WHERE a.new AND a.mem_id <> b.mem_id "
+    "QUALIFY row_number() OVER (PARTITION BY a.mem_id ORDER BY round(list_dot_product(a.u, b.u), 6) DESC, b.mem_id) <= 6), "
+    "u AS (SELECT DISTINCT least(n, o) AS first_id, greatest(n, o) AS second_id, scope, similarity, negative FROM p WHERE negative OR (similarity >= 0.6 AND x <> '' AND y <> '' AND x <> y)) "
+    "SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY scope ORDER BY similarity DESC, first_id, second_id) <= 20"
+)
+def j17_contradictions(spark, d):
+    """The whole rule of J17: eligible neighbours, one side negative at any similarity or near ones whose numbers differ."""
+    v = unit_vectors(spark, d, "memory").withColumnRenamed("owner_id", "mem_id")
+    m = memories(spark, d, "mem_scope", "mem_type", "status", "content", "supersedes").join(v, "mem_id")
+    m = m.where(F.col("status").isin(*ELIGIBLE[0]) & ~F.coalesce("mem_type", F.lit("")).isin(*ELIGIBLE[1])).select(
+        "mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("x"), T.has_cue(F.replace("content", F.lit("’"), F.lit("'")), NEGATION_CUES).alias("neg"),
+        "u", (F.size("supersedes") > 0).alias("new"),
+    )
+    o = m.select(F.col("mem_id").alias("o"), "scope", F.col("x").alias("y"), F.col("neg").alias("other_neg"), F.col("u").alias("w"))
+    p = m.where("new").join(o, "scope").where("mem_id <> o").withColumn("similarity", F.round(dot(F.col("u"), F.col("w")), 6)).withColumn("negative", F.expr("neg or other_neg"))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("mem_id").orderBy(F.desc("similarity"), "o"))).where("n <= 6")
+    p = p.where("negative or (similarity >= 0.6 and x <> '' and y <> '' and x <> y)")
+    p = p.select(F.least("mem_id", "o").alias("first_id"), F.greatest("mem_id", "o").alias("second_id"), "scope", "similarity", "negative").distinct()
+    return p.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("similarity"), "first_id", "second_id"))).where("n <= 20").drop("n")
+
+
 @query(
     f"WITH {MEM}, {QRY}, "
     "x AS (SELECT query_id, mem_id, 1 AS p FROM (SELECT query_id, unnest(expected) AS mem_id FROM qry)), "
