@@ -17,9 +17,13 @@ wrong, so rows that the first prototypes contradict are dropped before the secon
 
 Identifiers, paths, code, numbers and addresses are no words: a run without white
 space that holds digits or signs inside (other than an apostrophe) has no vote.
-Sentences end at . ! ? or their full-width forms. Neighbouring sentences of one
-language form a segment; shorter ones than ``SHORT`` words join their
-neighbour. A language is present in a record if it is the record's greatest, or if a
+Sentences end at . ! ? or their full-width forms. A sentence is whole if it has such
+an end, ``LEAST`` words (Han characters count one), a cosine ``MARGIN`` above that of the
+record's greatest language and the shape of prose: at least half of its words without a
+capital, no more silent runs than words, no small start after a capitalised word with a full stop
+(an abbreviation, as in Avda. de las Salinas). Neighbouring sentences of one
+language form a segment; shorter ones than ``SHORT`` words that are not whole join their
+neighbour. A language is present in a record if it is the record's greatest, if a sentence of it is whole, or if a
 segment has ``WHOLE`` words (Han characters count half) at confidence ``SURE``, or ``LONG`` words at
 ``FAIR``: short lists of foreign names and places do not make a record mixed.
 
@@ -45,6 +49,8 @@ from mnemospark.sources.tables import table
 D = 2048
 SAMPLE = 4000
 SHORT = 4
+LEAST = 3
+MARGIN = 0.3
 WHOLE = 6
 SURE = 0.995
 LONG = 11
@@ -119,6 +125,7 @@ class Reader:
         self.size: list[float] = []
         self.codes: dict[str, int] = {}
         self.flat: list[int] = []
+        self.capital: list[bool] = []
         self.start: list[int] = []
         self.length: list[int] = []
 
@@ -138,6 +145,7 @@ class Reader:
     def code(self, chunk: str) -> int:
         code = self.codes[chunk] = len(self.start)
         ids: list[int] = []
+        capital: list[bool] = []
         plain = chunk
         if not plain.isascii() and not unicodedata.is_normalized("NFKC", plain):
             plain = unicodedata.normalize("NFKC", plain)
@@ -149,15 +157,19 @@ class Reader:
             else:
                 m = WORD.match(p) if p[0] != "`" and "@" not in p and "/" not in p and "::" not in p else None
                 ids.append(self.word(m.group(1).lower().replace("’", "'")) if m and (len(m.group(1)) == 1 or not m.group(1).isupper() or len(m.group(1)) > 1) else -2)
+                capital += [False] * (len(ids) - 1 - len(capital)) + [bool(m) and m.group(1)[0].isupper() and not m.group(1).isupper()]
                 if END.search(p):
                     ids.append(-1)
         self.start.append(len(self.flat))
         self.length.append(len(ids))
         self.flat += ids
+        self.capital += capital + [False] * (len(ids) - len(capital))
         return code
 
     def batch(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, text of each id, white-space run of each id within its text); a sentence end after each text."""
+        """(ids, text of each id, white-space run of each id within its text); a sentence end after each text.
+
+        ``capitals`` holds, for each id, whether the word has a capital first letter."""
         if len(self.codes) > CACHE or len(self.norm2) > CACHE:
             self.reset()
         codes, code = self.codes, self.code
@@ -176,6 +188,7 @@ class Reader:
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
         at = np.repeat(np.array(self.start, np.int64)[c] - first, length) + np.arange(length.sum())
         run = np.arange(len(c)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        self.capitals = np.array(self.capital, bool)[at]
         return np.array(self.flat, np.int32)[at], np.repeat(np.repeat(np.arange(len(texts)), n), length), np.repeat(run, length)
 
 
@@ -186,6 +199,16 @@ def sentences(ids: np.ndarray, owner: np.ndarray, run: np.ndarray):
     return sent[word], ids[word], owner[word], run[word]
 
 
+def _prose(ids: np.ndarray, owner: np.ndarray, capitals: np.ndarray) -> np.ndarray:
+    """Per sentence number: whether it is ended by a sign of its own and has the length and shape of prose."""
+    sent = np.cumsum(ids == -1) - (ids == -1)
+    n = int(sent[-1]) + 1 if len(sent) else 0
+    own_end = (ids == -1) & np.append(owner[1:] == owner[:-1], False)[: len(ids)]
+    ended = np.bincount(sent[own_end], minlength=n) > 0
+    words = np.bincount(sent[ids >= 0], minlength=n)
+    return ended & (words >= LEAST) & (np.bincount(sent[ids == -2], minlength=n) <= words) & (2 * np.bincount(sent[capitals], minlength=n) <= words)
+
+
 def softmax(cos: np.ndarray) -> np.ndarray:
     z = (cos - cos.max(1, keepdims=True)) / TEMPERATURE
     e = np.exp(z)
@@ -193,10 +216,12 @@ def softmax(cos: np.ndarray) -> np.ndarray:
 
 
 def segments(reader: Reader, texts) -> pd.DataFrame:
-    """Segments of texts: text, first, last (runs), lang, confidence, words; neighbours of one language merged."""
+    """Segments of texts: text, first, last (runs), lang, confidence, words, whole (holds a whole sentence); neighbours of one language merged."""
     ids, owner, run = reader.batch(texts)
+    prose = _prose(ids, owner, reader.capitals)
+    shown = reader.capitals[ids >= 0]
     sent, w, own, run = sentences(ids, owner, run)
-    columns = ["text", "first", "last", "lang", "confidence", "words"]
+    columns = ["text", "first", "last", "lang", "confidence", "words", "whole"]
     if not len(w):
         return pd.DataFrame({c: [] for c in columns})
     dots, norm2, size = np.array(reader.dots), np.array(reader.norm2), np.array(reader.size)
@@ -208,8 +233,15 @@ def segments(reader: Reader, texts) -> pd.DataFrame:
     start, dot, n2, words = summed(sent)
     lang = np.argmax(dot, 1)
     text = own[start]
+    total = np.zeros((len(texts), len(LANGUAGES)))
+    np.add.at(total, (text, lang), words)
+    cos = dot / np.sqrt(n2)[:, None]
+    each = np.arange(len(start))
+    han = np.array(reader.size)[w[start]] < 1
+    goes_on = ~shown[start] & ~han & np.append(False, shown[start[1:] - 1] & (text[1:] == text[:-1]))
+    whole = prose[sent[start]] & ~goes_on & (cos[each, lang] - cos[each, total.argmax(1)[text]] >= MARGIN)
     # short sentences take the language of the longer one before them in the text, else of the next
-    firm = words >= SHORT
+    firm = (words >= SHORT) | whole
     index = np.arange(len(start))
     before = np.maximum.accumulate(np.where(firm, index, -1))
     after = np.minimum.accumulate(np.where(firm, index, len(start))[::-1])[::-1]
@@ -223,8 +255,9 @@ def segments(reader: Reader, texts) -> pd.DataFrame:
     best = lang[change]
     end = np.append(start[1:], len(w)) - 1
     out = pd.DataFrame(
-        {"text": own[start], "first": run[start], "last": run[end], "lang": best, "confidence": np.round(share[np.arange(len(best)), best], 6), "words": words}
-    )
+        {"text": own[start], "first": run[start], "last": run[end], "lang": best, "confidence": np.round(share[np.arange(len(best)), best], 6), "words": words,
+         "whole": np.logical_or.reduceat(whole, np.flatnonzero(change))}
+    )
     return out
 
 
@@ -317,7 +350,7 @@ def _read(protos, spelling, detail: bool):
                 main = total.drop_duplicates("text")
                 for i, g in zip(main["text"].astype(int), main["lang"]):
                     found[i].append(g)
-                whole = s[(s["words"] >= WHOLE) & (s["confidence"] >= SURE) | (s["words"] >= LONG) & (s["confidence"] >= FAIR)]
+                whole = s[s["whole"] | (s["words"] >= WHOLE) & (s["confidence"] >= SURE) | (s["words"] >= LONG) & (s["confidence"] >= FAIR)]
                 for i, g in zip(whole["text"].astype(int), whole["lang"]):
                     if g not in found[i]:
                         found[i].append(g)

@@ -48,6 +48,18 @@ def test_languages_and_mixtures(protos):
     assert read(protos, [(SENTENCES["fr"][0] + " ") * 3000]) == [["fr"]]
 
 
+def test_short_whole_sentences_make_a_record_mixed(protos):
+    long = " ".join(SENTENCES["en"])
+    assert set(read(protos, [long + " 没有人会看旧日志。"])[0]) == {"en", "zh"}
+    assert set(read(protos, [long + " Никто не читает журналы."])[0]) == {"en", "ru"}
+    assert set(read(protos, [" ".join(SENTENCES["zh"]) + " Niemand liest die Protokolle. " + SENTENCES["zh"][0]])[0]) == {"zh", "de"}
+    s = L.segments(L.Reader(L.Space(), protos), [long + " 没有人看日志。 " + long])
+    assert [L.LANGUAGES[k] for k in s["lang"]] == ["en", "zh", "en"]
+    # lists of names and code lines are no sentences
+    main = " ".join(SENTENCES["zh"])
+    assert read(protos, [main + " Wouter Drechtsloot, Ilse Pfahlrode.", main + " a_1 b_2 c_3 d_4 die alten liest e_5."]) == [["zh"], ["zh"]]
+
+
 def test_segments_cover_the_text_in_order(protos):
     text = SENTENCES["en"][0] + " " + SENTENCES["de"][0]
     s = L.segments(L.Reader(L.Space(), protos), [text, "", text])
