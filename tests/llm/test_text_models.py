@@ -211,3 +211,25 @@ def test_personal_rows(spark, model, monkeypatch):
     assert sorted(tuple(r) for r in P.found(spark, d).collect()) == [("turns", "1", "email", 1), ("turns", "1", "person_name", 1)]
     got = {r["record_id"]: r["redacted"] for r in P.redacted(spark, d).collect()}
     assert got == {"1": "From: [PERSON_NAME] <[EMAIL]>", "2": None}
+
+
+def test_han_names_of_two_to_four_characters():
+    family, own = ["闻人", "公冶", "端木", "轩辕"], ["雁回", "云舟", "青岚", "晚棠"]
+    texts = [f"服务仍在写入队列。联系人{family[k % 4]}{own[k // 4 % 4]}，电话10011700{k:03d}。没有人会看旧日志，负责人这样要求。" for k in range(900)]
+    model = P.from_texts(texts)
+    for name in ("李四", "王小明", "欧阳修", "澹台松砚"):
+        text = f"服务仍在写入队列。联系人{name}，电话10011700999。"
+        found = P.pieces(*model, [text])
+        assert [p[1] for p in found] == ["person_name", "phone"]
+        assert P.replaced(text, found) == "服务仍在写入队列。联系人[PERSON_NAME]，电话[PHONE]。"
+    assert kinds(model, "没有人会看旧日志，负责人这样要求。") == []
+
+
+def test_lexicon_counts_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE", 5)
+    rows = [(k, "the old client reads twice") for k in range(200)] + [(900 + k, "From: Silas Wexlaw <s@host.example>") for k in range(2)] + [(990, "mail Petra Maridew petra.maridew@host.example"), (991, None), (None, "x")]
+    df = spark.createDataFrame(rows, "k bigint, body string")
+    lex = P.counted([(df, "k", "body")], 205)
+    assert {"silas", "petra"} <= lex.given and {"wexlaw", "maridew"} <= lex.family and "client" in lex.common
+    halves = P.tally([r[1] for r in rows[150:]], P.tally([r[1] for r in rows[:150]]))
+    assert P.lexicon(halves).names == P.learned([r[1] for r in rows if r[1]]).names
