@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark.plans.lineage import written
 
 MOST_ROUNDS = 40
+NODES = 2_000_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def _contracted(frames):
-    """Links of one partition to stars around the smallest node of each local component."""
+    """Links of one partition to stars around the smallest node of each local component, ``NODES`` nodes at a time."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -34,13 +35,19 @@ def _contracted(frames):
             x = root[x]
         return x
 
+    def stars():
+        rows = [(find(x), x) for x in list(root)]
+        return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
+
     for f in frames:
         for a, b in zip(f["a"].tolist(), f["b"].tolist()):
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    rows = [(find(x), x) for x in root]
-    yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
+        if len(root) > NODES:
+            yield stars()
+            root.clear()
+    yield stars()
 
 
 def components(edges: DataFrame) -> DataFrame:

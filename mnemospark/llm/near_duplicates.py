@@ -4,21 +4,17 @@ Sequential Bayesian verification of banded candidates:
 
 1. Memories with equal word multisets form one class (overlap 1 with each other,
    equal overlap with everything else); only classes are compared.
-2. Weighted min-hash signature of each class. A word in more than ``HEAVY`` of
-   all classes counts ``1/DAMP`` of a rare one, so sentence patterns shared by
-   unrelated memories do not fill the buckets. The list of such words holds at most
-   (mean words / HEAVY) entries whatever the row count: it is sent to all tasks.
-3. Bands of ``ROWS`` signature values; equal bands make candidates. Buckets up to
-   ``BUCKET`` classes yield their pairs; larger ones are compared exactly in
-   blocks, where rows already connected are not compared again.
-4. Each candidate's signatures are compared in batches; a candidate is dropped as
-   soon as the posterior probability that its similarity reaches the threshold
+2. Bands: a class is filed under each of its rarest elements, as many as an overlap of
+   the threshold demands (``prefixes``). Bands of min-hash rows would lose links
+   at any size; these lose none. Classes sharing enough bands are candidates.
+3. Each candidate's signatures (``HASHES`` min-hash values of eight bits) are compared in
+   batches; a candidate is dropped as soon as the posterior probability that its
+   Jaccard similarity reaches t / (2 - t), the least that an overlap of t allows,
    is below ``MISS``. Survivors are verified on the whole word multisets.
+4. Bands of very many classes are compared in blocks, where rows already connected
+   are not compared again, by the same test and verification.
 5. Groups: connected components of the verified links (large star / small star).
 
-Overlap t of two multisets, as a share of the longer, means Jaccard of at least
-t / (2 - t); the posterior tests the weighted Jaccard against a floor below it.
-
 Defined results: null key: left out; null title or content: empty; memories
 without words are alone in their group; repeated rows of a key: latest version;
 empty table: empty result; extra columns are ignored.
@@ -34,20 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
+from mnemospark.llm.prefixes import GROUP, banded, candidates, levels
 from mnemospark.llm.words import STEP, ElementHasher
 from mnemospark.plans.lineage import discard, written
 
 THRESHOLD = 0.75
-HEAVY = 0.005
-DAMP = 16
-ROWS = 3
-BANDS = 30
-HASHES = ROWS * BANDS
-BUCKET = 40
+HASHES = 64
+BATCH = 16
 BLOCK = 1000
-MISS = 1e-4
-BATCH = 15
-FLOOR = 0.20
+MISS = 1e-6
 
 _rng = np.random.default_rng(20240601)
 A = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -55,7 +46,7 @@ B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def _named(batches):
-    """Raw rows to (key, version, hi, lo, short): 128-bit class name and 32-bit elements for the signatures."""
+    """Raw rows to (key, version, c, lo, n, short): the class name in two halves, its elements cut to 32 bits."""
     hasher = ElementHasher()
     for b in batches:
         h, ends = hasher.batch(b.column("text").to_pylist())
@@ -66,189 +57,86 @@ def _named(batches):
         hi_lo = np.frombuffer(names, ">i8").reshape(-1, 2).astype(np.int64)
         offsets = pa.py_buffer((np.array(starts, np.int64) * 4).astype(np.int32).tobytes())
         packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(short)])
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("version"), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), packed], ["key", "version", "hi", "lo", "short"])
-
-
-def _sets(frames):
-    """Texts of candidate classes to (cid, sig, elements), full 64-bit elements."""
-    hasher = ElementHasher()
-    for f in frames:
-        yield pd.DataFrame({"cid": f["cid"], "elements": hasher.rows(f["text"].tolist())})
+        n = pa.array(np.diff(starts), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("version"), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), n, packed], ["key", "version", "c", "lo", "n", "short"])
 
 
 EMPTY = np.frombuffer(xxhash.xxh128_digest(b""), ">i8").tolist()  # the class without words
 
 
-def _flat(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Short elements of rows stored as bytes, end to end, and their counts."""
-    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows)) // 4
-    return np.frombuffer(b"".join(rows), np.uint32), lengths
-
-
-def _short(elements: np.ndarray) -> bytes:
-    return (elements.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
-
-
-def _locally_heavy(frames):
-    for f in frames:
-        flat, lengths = _flat(f["short"])
-        e, c = np.unique(flat, return_counts=True)
-        yield pd.DataFrame({"e": e[c >= HEAVY * len(lengths)]})
-
-
-def _counted(wanted: np.ndarray):
-    def run(frames):
-        total = np.zeros(len(wanted), np.int64)
-        for f in frames:
-            flat, _ = _flat(f["short"])
-            at = np.searchsorted(wanted, flat)
-            at[at == len(wanted)] = 0
-            total += np.bincount(at[wanted[at] == flat], minlength=len(wanted))
-        yield pd.DataFrame({"e": wanted, "df": total})
-
-    return run
-
-
-def heavy_elements(rows: DataFrame) -> np.ndarray:
-    """Elements in at least HEAVY of all rows, exactly.
-
-    An element that frequent overall is that frequent in some batch, so the batches'
-    frequent elements are a superset; these are then counted over all rows. Either
-    list holds at most (mean words / HEAVY) entries a batch and comes to the driver.
-    """
-    total = rows.count()
-    local = rows.select("short").mapInPandas(_locally_heavy, "e bigint").distinct()
-    wanted = np.sort(np.array([r[0] for r in local.collect()], np.int64))
-    if not len(wanted):
-        return wanted
-    counts = rows.select("short").mapInPandas(_counted(wanted), "e bigint, df bigint").groupBy("e").agg(F.sum("df").alias("df"))
-    return np.sort(np.array([r[0] for r in counts.where(F.col("df") >= HEAVY * total).select("e").collect()], np.int64))
-
-
-def signatures(flat: np.ndarray, lengths: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """(rows, HASHES) uint32 signatures of rows with at least one element each."""
-    at = np.searchsorted(heavy, flat)
-    is_heavy = (heavy[np.minimum(at, len(heavy) - 1)] == flat) if len(heavy) else np.zeros(len(flat), bool)
+def signatures(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(rows, HASHES) uint8 min-hash values of rows with at least one element (32 bits) each."""
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     x = flat * np.uint32(STEP & 0xFFFFFFFF)
     x ^= x >> np.uint32(15)
-    # a rare element's values are 1/DAMP of a frequent one's: it is the least DAMP times as often
-    shift = np.where(is_heavy, 0, DAMP.bit_length() - 1).astype(np.uint32)
-    out = np.empty((len(lengths), HASHES), np.uint32)
+    out = np.empty((len(lengths), HASHES), np.uint8)
     h = np.empty_like(x)
     for k in range(HASHES):
         np.multiply(x, A[k], out=h)
         h += B[k]
         h ^= h >> np.uint32(16)
-        h >>= shift
-        out[:, k] = np.minimum.reduceat(h, starts)
+        out[:, k] = (np.minimum.reduceat(h, starts) * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) int64 bucket keys."""
-    keys = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
-        k = np.full(len(sig), 0x51ED270B + b, np.uint64)
-        for r in range(ROWS):
-            k = (k ^ sig[:, b * ROWS + r].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            k ^= k >> np.uint64(29)
-        keys[:, b] = k
-    return keys.view(np.int64)
-
-
-def _banded(heavy):
-    """(c, band) rows: the buckets of each class, c being half of its name."""
-
-    def run(frames):
-        for f in frames:
-            # copies within the batch fill a bucket once
-            f = f[f["short"].str.len() > 0].drop_duplicates(["hi", "lo"])
-            keys = band_keys(signatures(*_flat(f["short"]), heavy)) if len(f) else np.zeros((0, BANDS), np.int64)
-            yield pd.DataFrame({"c": np.repeat(f["hi"].to_numpy(np.int64), BANDS), "band": keys.ravel()})
-
-    return run
-
-
-def _signed(heavy):
-    def run(frames):
-        for f in _sets(frames):
-            flat, lengths = _flat([_short(r) for r in f["elements"]])
-            f["sig"] = [s.tobytes() for s in signatures(flat, lengths, heavy)] if len(f) else []
-            f["elements"] = [r.tobytes() for r in f["elements"]]
-            yield f[["cid", "sig", "elements"]]
+def _signed(frames):
+    """Texts of candidate classes to (c, sig, elements), full 64-bit elements; a text of another class is left out."""
+    hasher = ElementHasher()
+    for f in frames:
+        elements = hasher.rows(f["text"].tolist())
+        own = [xxhash.xxh128_digest(r.astype("<i8").tobytes())[:8] == int(c).to_bytes(8, "big", signed=True) for r, c in zip(elements, f["c"])]
+        f, elements = f[own], [r for r, k in zip(elements, own) if k]
+        lengths = np.fromiter(map(len, elements), np.int64, len(f))
+        short = (np.concatenate(elements).view(np.uint64) >> np.uint64(32)).astype(np.uint32) if len(f) else np.zeros(0, np.uint32)
+        sig = signatures(short, lengths) if len(f) else []
+        yield pd.DataFrame({"c": f["c"].to_numpy(), "sig": [s.tobytes() for s in sig], "elements": [r.tobytes() for r in elements]})
 
-    return run
 
+def needed_matches(threshold: float = THRESHOLD) -> np.ndarray:
+    """For each batch end n: the least matches m with P(J >= floor | m of n) >= MISS, uniform prior.
 
-def needed_matches() -> np.ndarray:
-    """For each batch end n: the least matches m with P(J >= FLOOR | m of n) >= MISS, uniform prior."""
+    Values of eight bits also agree by chance, which the likelihood includes.
+    """
     grid = np.linspace(0.0005, 0.9995, 1000)
+    hit = grid + (1 - grid) / 256
+    floor = threshold / (2 - threshold)
     need = []
     for n in range(BATCH, HASHES + 1, BATCH):
         for m in range(n + 1):
-            log = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            log = m * np.log(hit) + (n - m) * np.log1p(-hit)
             p = np.exp(log - log.max())
-            if p[grid >= FLOOR].sum() / p.sum() >= MISS:
+            if p[grid >= floor].sum() / p.sum() >= MISS:
                 need.append(m)
                 break
     return np.array(need)
 
 
-def _verified(threshold):
-    """Candidate pairs with both signatures and element sets to verified links."""
+def _likely(threshold):
+    """Candidate pairs with both signatures to the pairs that survive every batch."""
 
     def run(frames):
-        need = needed_matches()
+        need = needed_matches(threshold)
         for f in frames:
-            a = np.frombuffer(b"".join(f["sig_a"]), np.uint32).reshape(len(f), HASHES)
-            b = np.frombuffer(b"".join(f["sig_b"]), np.uint32).reshape(len(f), HASHES)
+            a = np.frombuffer(b"".join(f["sig_a"]), np.uint8).reshape(len(f), HASHES)
+            b = np.frombuffer(b"".join(f["sig_b"]), np.uint8).reshape(len(f), HASHES)
             alive = np.arange(len(f))
             matches = np.zeros(len(f), np.int64)
             for i, least in enumerate(need):
                 s = slice(i * BATCH, (i + 1) * BATCH)
                 matches[alive] += (a[alive, s] == b[alive, s]).sum(1)
                 alive = alive[matches[alive] >= least]
-            left, right = f["el_a"].to_numpy(), f["el_b"].to_numpy()
-            good = [k for k in alive if overlap(np.frombuffer(left[k], np.int64), np.frombuffer(right[k], np.int64)) >= threshold]
-            yield f.iloc[good][["a", "b"]]
+            yield f.iloc[alive][["a", "b"]]
 
     return run
 
 
-def _shared_runs(batches):
-    """Rows sorted by band and class to the rows of bands with two classes or more, each once, with its place n in the band.
+def _verified(threshold):
+    def run(frames):
+        for f in frames:
+            good = [overlap(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) >= threshold for x, y in zip(f["el_a"], f["el_b"])]
+            yield f[np.array(good, bool)][["a", "b"]]
 
-    Holds one row between batches, whatever the length of a band.
-    """
-    held = None  # the last row
-    sent = False  # whether it was emitted
-    place = 0  # its place in its band
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band, c = batch.column("band").to_numpy(), batch.column("c").to_numpy()
-        fresh = np.ones(len(band), bool)
-        fresh[1:] = (band[1:] != band[:-1]) | (c[1:] != c[:-1])
-        fresh[0] = held is None or held != (band[0], c[0])
-        band, c = band[fresh], c[fresh]
-        if not len(band):
-            continue
-        same = band[1:] == band[:-1]
-        keep = np.zeros(len(band), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        joins = held is not None and held[0] == band[0]
-        keep[0] |= joins
-        at = np.arange(len(band))
-        n = at - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
-        if joins:
-            n[: int(np.argmin(same)) + 1 if not same.all() else len(band)] += place + 1
-        out = [band[keep], c[keep], n[keep]]
-        if joins and not sent:
-            out = [np.append(x, y) for x, y in zip(out, (*held, place))]
-        held, sent, place = (band[-1], c[-1]), bool(keep[-1]), int(n[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["band", "c", "n"])
+    return run
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
@@ -257,20 +145,20 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 def _block_links(threshold):
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        """Links of one block of a large bucket: each row is compared with every earlier row it isn't yet connected to."""
-        cid, el = f["cid"].to_numpy(), [np.frombuffer(e, np.int64) for e in f["elements"]]
-        parts: list[list[int]] = []
+        """Links of one block of a large band: likely pairs that no earlier link of the block connects."""
+        f = f.drop_duplicates("c", ignore_index=True)
+        c, el = f["c"].to_numpy(), [np.frombuffer(e, np.int64) for e in f["elements"]]
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), HASHES)
+        n = np.fromiter(map(len, el), np.int64, len(el))
+        least = needed_matches(threshold)[-1]
+        part = np.arange(len(f))
         out = []
-        for k in range(len(f)):
-            mine, rest = [k], []
-            for part in parts:
-                h = next((h for h in part if overlap(el[h], el[k]) >= threshold), None)
-                if h is None:
-                    rest.append(part)
-                else:
-                    out.append((cid[h], cid[k]))
-                    mine = part + mine
-            parts = [*rest, mine]
+        for k in range(1, len(f)):
+            near = (np.minimum(n[:k], n[k]) >= threshold * np.maximum(n[:k], n[k])) & ((sig[:k] == sig[k]).sum(1) >= least)
+            for h in np.flatnonzero(near).tolist():
+                if part[h] != part[k] and overlap(el[h], el[k]) >= threshold:
+                    out.append((c[h], c[k]))
+                    part[part == part[k]] = part[h]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -282,68 +170,54 @@ def records(df: DataFrame) -> DataFrame:
     return df.where(F.col("mem_id").isNotNull()).select(F.col("mem_id").cast("string").alias("key"), F.col("ingested_at").alias("version"), text.alias("text"))
 
 
-def groups(rec: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def groups(rec: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """One row per record: key, group (smallest key of the group).
 
-    Texts move twice at most: never for the signatures (class names and short
-    elements are written where the texts are read), once for candidate classes.
+    Texts move only for candidate classes: class names and cut elements are written where the texts are read.
     """
     kind = dict(rec.dtypes)["version"]
-    rows = rec.mapInArrow(_named, f"key string, version {kind}, hi bigint, lo bigint, short binary")
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "p6-rows")
-    newest = rows.groupBy("key").agg(F.max(F.struct("version", "rid", "hi", "lo")).alias("x")).select("key", "x.rid", "x.hi", "x.lo")
+    rows = written(rec.mapInArrow(_named, f"key string, version {kind}, c bigint, lo bigint, n int, short binary"), "p6-rows")
+    newest = rows.groupBy("key").agg(F.max(F.struct("version", "c", "lo")).alias("x")).select("key", "x.version", "x.c", "x.lo")
     newest = written(newest, "p6-newest")
-    classes = newest.groupBy("hi", "lo").agg(F.min(F.struct("rid", "key")).alias("x")).select("hi", "lo", F.col("x.rid").alias("cid"), "x.key")
-    classes = written(classes, "p6-classes")
-    label = components(links(rec, rows, classes, threshold))
-    alone = F.expr(f"hi = {EMPTY[0]} and lo = {EMPTY[1]}")  # records without words
-    members = (
-        newest.select("key", "hi", "lo")
-        .join(classes.select("hi", "lo", "cid"), ["hi", "lo"])
-        .join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
-        .select("key", F.when(alone, F.concat(F.lit("-"), "key")).otherwise(F.coalesce("component", "cid").cast("string")).alias("component"))
+    label = components(links(rec, rows, newest, threshold, group))
+    alone = F.expr(f"c = {EMPTY[0]} and lo = {EMPTY[1]}")  # records without words
+    members = newest.join(label.withColumnRenamed("node", "c"), "c", "left").select(
+        "key", F.when(alone, F.concat(F.lit("-"), "key")).otherwise(F.coalesce(F.col("component").cast("string"), F.concat_ws(":", "c", "lo"))).alias("component")
     )
     name = members.groupBy("component").agg(F.min("key").alias("group"), F.count("*").alias("size"))
     return members.join(name, "component").select("key", "group", "size")
 
 
-def links(rec: DataFrame, rows: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links a < b between classes (cid)."""
-    heavy = heavy_elements(rows)
-    bands = rows.select("hi", "lo", "short").mapInPandas(_banded(heavy), "c bigint, band bigint").repartition("band")
-    hit = bands.sortWithinPartitions("band", "c").mapInArrow(_shared_runs, "band bigint, c bigint, n bigint")
-    hit = written(hit, "p6-buckets")
-    discard(rows)  # signatures are done; what follows reads buckets and texts
-    over = hit.where(F.col("n") >= BUCKET).select("band").distinct()
-    crowded = not over.isEmpty()
-    cid = classes.select(F.col("hi").alias("c"), "cid", "key")
-    small = hit.join(over, "band", "left_anti") if crowded else hit
-    pairs = (
-        small.select("band", F.col("c").alias("x"))
-        .join(small.select("band", F.col("c").alias("y")), "band")
-        .where("x < y")
-        .select("x", "y")
-        .distinct()
-        .join(cid.select(F.col("c").alias("x"), F.col("cid").alias("p")), "x")
-        .join(cid.select(F.col("c").alias("y"), F.col("cid").alias("q")), "y")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    )
-    wanted = cid.join(hit.select("c").distinct(), "c", "left_semi").select("cid", "key")
-    texts = wanted.join(rec, "key").groupBy("cid").agg(F.max(F.struct("version", "text")).alias("x")).select("cid", "x.text")
-    sets = written(texts.mapInPandas(_signed(heavy), "cid bigint, sig binary, elements binary"), "p6-sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"), F.col("elements").alias("el_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b"), F.col("elements").alias("el_b"))
-    verified = pairs.join(left, "a").join(right, "b").mapInPandas(_verified(threshold), "a bigint, b bigint")
+def links(rec: DataFrame, rows: DataFrame, newest: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """Verified links a < b between classes (the first halves of their names)."""
+    bands = rows.select("c", "short").mapInArrow(banded(levels(rows), threshold), "e bigint, salt int, c bigint, n int, pos int")
+    hit = written(candidates(bands, threshold, group=group), "p6-candidates")
+    discard(rows)  # what follows reads candidates and texts
+    pairs = hit.where("not hot").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    crowded = not hit.where("hot").isEmpty()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+    if crowded:
+        wanted = wanted.unionByName(hit.where("hot").select(F.col("y").alias("c")))
+    # one record stands for its class; aggregated before it is joined, as a class may hold a third of all rows
+    reps = newest.groupBy("c").agg(F.min(F.struct("key", "version")).alias("x")).select("c", "x.key", "x.version")
+    reps = reps.join(wanted.distinct(), "c", "left_semi")
+    texts = rec.join(reps.withColumnRenamed("version", "v"), "key").where(F.col("version").eqNullSafe(F.col("v"))).select("c", "text")
+    sets = written(texts.mapInPandas(_signed, "c bigint, sig binary, elements binary").dropDuplicates(["c"]), "p6-sets")
+    side = lambda x, column, name: sets.select(F.col("c").alias(x), F.col(column).alias(f"{name}_{x}"))
+    likely = pairs.join(side("a", "sig", "sig"), "a").join(side("b", "sig", "sig"), "b").mapInPandas(_likely(threshold), "a bigint, b bigint")
+    likely = likely.join(side("a", "elements", "el"), "a").join(side("b", "elements", "el"), "b")
+    verified = likely.mapInPandas(_verified(threshold), "a bigint, b bigint")
     if not crowded:
         return verified
-    sizes = hit.join(over, "band", "left_semi").groupBy("band").agg(F.count("*").alias("size"))
-    large = hit.join(sizes, "band").join(cid.select("c", "cid"), "c")
-    chunked = large.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    large = hit.where("hot").select(F.col("x").alias("band"), F.col("y").alias("c"))
+    sizes = large.groupBy("band").agg(F.count("*").alias("size"))
+    chunked = large.join(sizes, "band").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
     block = (
         chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("i", F.least("chunk", "other"))
         .withColumn("j", F.greatest("chunk", "other"))
-        .join(sets.select("cid", "elements"), "cid")
+        .join(sets, "c")
+        .select("band", "i", "j", "c", "sig", "elements")
         .groupBy("band", "i", "j")
         .applyInPandas(_block_links(threshold), "a bigint, b bigint")
     )

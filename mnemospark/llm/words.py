@@ -77,6 +77,3 @@ class ElementHasher:
         return self.rows([text])[0]
 
 
-def digest(elements: np.ndarray) -> str:
-    """128-bit name of a multiset: equal for texts with overlap 1."""
-    return xxhash.xxh128_hexdigest(elements.tobytes())

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mnemospark.llm import components, near_duplicates, overlap
+from mnemospark.llm import components, near_duplicates, overlap, prefixes
 from mnemospark.llm.words import ElementHasher, words
 
 
@@ -118,8 +118,7 @@ def test_near_duplicate_edge_cases(spark):
     assert grouped(memory_frame(spark, [])) == {}
 
 
-def test_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BUCKET", 3)
+def test_hot_bands_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
     base = [f"word{i}" for i in range(20)]
     rows = []
@@ -127,30 +126,115 @@ def test_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
         w = list(base)
         w[i % 20] = f"edit{i}"
         rows.append((f"m{i:03d}", None, " ".join(w), None))
-    assert set(grouped(memory_frame(spark, rows)).values()) == {"m000"}
+    members = near_duplicates.groups(near_duplicates.records(memory_frame(spark, rows)), group=3)
+    assert {r["group"] for r in members.collect()} == {"m000"}
+    rows = [(f"m{i:04d}", None, t, None) for i, t in enumerate(texts(60, 21))]
+    members = near_duplicates.groups(near_duplicates.records(memory_frame(spark, rows)), group=2)
+    assert {r["key"]: r["group"] for r in members.collect()} == brute_groups({r[0]: r[2] for r in rows})
 
 
-def test_shared_runs_over_any_batches():
+def common_texts(n, seed):
+    """Texts whose shared words stand in most rows and whose edits are rare."""
+    rng = random.Random(seed)
+    shared = [f"common{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        base = rng.sample(shared, 30)
+        for e in range(2):
+            edited = list(base)
+            for k in range(rng.choice((2, 4, 7, 8, 12))):
+                edited[k] = f"rare{i}x{e}x{k}"
+            rng.shuffle(edited)
+            out.append(" ".join(edited))
+    return out
+
+
+def test_no_link_is_lost_where_shared_words_are_common(spark):
+    rows = [(f"m{i:04d}", None, t, None) for i, t in enumerate(common_texts(120, 4))]
+    want = brute_groups({r[0]: r[2] for r in rows})
+    assert len(set(want.values())) < 200
+    assert grouped(memory_frame(spark, rows)) == want
+    cut = [(f"q{i:04d}", "train" if i % 2 else "dev", r[2], "s", None) for i, r in enumerate(rows)]
+    text = {r[0]: r[2] for r in cut}
+    expected = {tuple(sorted((a[0], b[0]))) for a, b in itertools.combinations(cut, 2) if a[1] != b[1] and share(text[a[0]], text[b[0]]) >= 0.75}
+    assert expected and pairs_of(spark, queries_frame(spark, cut))[0] == expected
+
+
+def test_overlap_of_hot_elements_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    base = texts(1, 9, (0,))[0].split()
+    rows = []
+    for i in range(36):
+        w = list(base)
+        if i > 20:
+            w[i % 20] = f"edit{i}"
+        rows.append((f"q{i:04d}", ("train", "dev", "test")[i % 3], " ".join(w), "s", None))
+    rec = overlap.records(queries_frame(spark, rows), "query_id", "split", "query", "source", "added_at")
+    members, pairs = overlap.overlaps(rec, group=2)
+    got = [tuple(r) for r in overlap.found(members, pairs).collect()]
+    want = {tuple(sorted((a[0], b[0]))) for a, b in itertools.combinations(rows, 2) if (a[1] == "train") != (b[1] == "train") and share(a[2], b[2]) >= 0.75}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(r["pairs"] for r in overlap.report(members, pairs).collect()) == len(want)
+
+
+@pytest.mark.parametrize("group", [1, 3, 64])
+def test_streamed_pairs_over_any_batches(group):
     import pyarrow as pa
 
-    for seed in range(400):
+    for seed in range(150):
         rng = random.Random(seed)
-        rows = sorted((rng.randint(0, 5), rng.randint(0, 4)) for _ in range(rng.randint(0, 25)))
+        rows = sorted({(rng.randint(0, 5), rng.randint(0, 6), rng.randint(0, 1)) for _ in range(rng.randint(0, 25))})
+        across = seed % 2 == 1
+        if not across:
+            rows = sorted({(e, c, 0) for e, c, _ in rows})
         batches, i = [], 0
         while i < len(rows):
-            k = rng.randint(1, 5)
-            batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + k])], ["band", "c"]))
-            i += k
-        got = [r for b in near_duplicates._shared_runs(batches) for r in zip(*[x.to_pylist() for x in b.columns])]
-        bands = {}
-        for band, c in sorted(set(rows)):
-            bands.setdefault(band, []).append(c)
-        assert sorted(got) == sorted((b, c, n) for b, v in bands.items() if len(v) > 1 for n, c in enumerate(v))
+            part = rows[i : i + rng.randint(1, 5)]
+            i += len(part)
+            e, c, side = zip(*part)
+            k = len(part)
+            cols = [pa.array(e, pa.int64()), pa.array([0] * k, pa.int32()), pa.array(c, pa.int64()), pa.array([9] * k, pa.int32()), pa.array([1] * k, pa.int32()), pa.array(side, pa.int32())]
+            batches.append(pa.RecordBatch.from_arrays(cols, ["e", "salt", "c", "n", "pos", "side"]))
+        got = [r for b in prefixes.paired(0.75, across, group)(batches) for r in zip(*[x.to_pylist() for x in b.columns])]
+        by = {}
+        for e, c, side in rows:
+            by.setdefault(e, []).append((c, side))
+        want = []
+        for e, v in by.items():
+            if len(v) > group:
+                want += [(True, e, c, 0) for c, _ in v]
+                continue
+            for (c, s), (d, t) in itertools.combinations(v, 2):
+                if c != d and (not across or s != t):
+                    x, y = ((c, d) if s < t else (d, c)) if across else (min(c, d), max(c, d))
+                    want.append((False, x, y, 2))
+        assert sorted(got) == sorted(want)
+
+
+def test_leading_elements_hold_enough_of_every_overlap():
+    rng = np.random.default_rng(1)
+    table = np.zeros(1 << prefixes.LEAST.bit_length() - 1, np.uint8)
+    table[: len(table) // 2] = 40
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        a = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        b = a.copy()
+        k = int(rng.integers(0, n // 4 + 1))
+        b[:k] = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+        row, e, _, _ = prefixes.heads(np.concatenate([a, b]), np.array([n, n]), table, 0.75)
+        if len(np.intersect1d(a, b)) >= prefixes.needed(np.array([n]), 0.75)[0]:
+            assert len(np.intersect1d(e[row == 0], e[row == 1])) >= min(prefixes.LEADS, prefixes.needed(np.array([n]), 0.75)[0])
 
 
 def test_bayesian_pruning_bounds():
     need = near_duplicates.needed_matches()
-    assert (np.diff(need) >= 0).all() and need[-1] < near_duplicates.HASHES * near_duplicates.FLOOR
+    assert (np.diff(need) >= 0).all() and need[-1] < near_duplicates.HASHES * 0.6
+    # a pair at the floor fails a batch with a chance below the chosen one
+    from math import comb
+
+    hit = 0.6 + 0.4 / 256
+    for n, m in zip(range(near_duplicates.BATCH, near_duplicates.HASHES + 1, near_duplicates.BATCH), need.tolist()):
+        assert sum(comb(n, k) * hit**k * (1 - hit) ** (n - k) for k in range(m)) < near_duplicates.MISS
 
 
 @pytest.mark.parametrize("chain", [1, 9])
