@@ -38,7 +38,7 @@ THRESHOLD = 0.75
 HASHES = 64
 BATCH = 16
 BLOCK = 1000
-MISS = 1e-6
+MISS = 1e-8
 
 _rng = np.random.default_rng(20240601)
 A = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

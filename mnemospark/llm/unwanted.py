@@ -6,12 +6,13 @@ the vote of its ``K`` nearest examples by exact cosine, weighted by squared
 similarity and shrunk towards 0 by ``PRIOR``; the score of a document is that of its
 highest segment, and that segment with its nearest example is the evidence.
 
-Search is exact over a block-max inverted index: examples of like label are grouped into
-blocks, and each word keeps its greatest weight per block. A segment whose bound
+Search is exact over a block-max inverted index: each word has a posting list of
+(example, weight), cut into blocks of examples of like label, with the greatest weight of each
+block, so memory is in proportion to the words of the examples. A segment whose bound
 over all unwanted examples is below ``LEAST`` has no unwanted neighbour and scores
-0, as does one of fewer than ``WORDS`` words
-of two letters or more; for the others, blocks are visited in the order of their bounds until no
-bound reaches the k-th best similarity.
+0. For the others, blocks are visited in the order of their bounds until no
+bound reaches the k-th best similarity. Segments of fewer than ``WORDS`` words
+of two letters or more need neighbours of ``NEAR`` or more, as one common word makes them alike.
 
 Document frequencies are counted over the segments of all documents, for the words
 of the examples; the examples are few (at most ``EXAMPLES``, checked) and go to every
@@ -41,6 +42,8 @@ K = 5
 LEAST = 0.14
 PRIOR = 0.02
 WORDS = 3
+NEAR = 0.9
+CHUNK = 20_000
 THRESHOLD = 0.5
 EXAMPLES = 20_000
 BLOCK = 16
@@ -177,11 +180,14 @@ class Index:
     words: list[str]
     idf: np.ndarray
     unknown: float
-    weights: np.ndarray  # words x examples, unit columns
     label: np.ndarray
     text: list[str]
-    block: np.ndarray  # block number of each example
-    block_max: np.ndarray  # words x blocks
+    lists: np.ndarray  # words + 1: first block entry of each word
+    block: np.ndarray  # block of each block entry
+    block_max: np.ndarray  # its greatest weight
+    postings: np.ndarray  # block entries + 1: first posting of each block entry
+    example: np.ndarray  # example of each posting
+    weight: np.ndarray  # its weight (examples are unit vectors)
     wanted_max: np.ndarray  # words: greatest weight in an unwanted example
     masks: dict[str, float]
     letter: np.ndarray  # words of a single letter
@@ -211,33 +217,104 @@ def examples(rows) -> tuple[list[list[str]], np.ndarray, list[str], list[str]]:
 def build(segs, label, text, words, df: np.ndarray, total: int) -> Index:
     idf = np.log((1 + total) / (1 + df)) + 1.0
     at = {w: i for i, w in enumerate(words)}
-    m = np.zeros((len(words), len(segs)))
+    word, example, weight = [], [], []
+    heaviest = np.zeros(len(segs), np.int64)
     for j, s in enumerate(segs):
-        for w in set(s):
-            m[at[w], j] = (1 + np.log(s.count(w))) * idf[at[w]]
-    m /= np.maximum(np.linalg.norm(m, axis=0), 1e-12)
+        ids, count = np.unique([at[w] for w in s], return_counts=True)
+        v = (1 + np.log(count)) * idf[ids]
+        word.append(ids)
+        example.append(np.full(len(ids), j))
+        weight.append(v / np.linalg.norm(v))
+        heaviest[j] = ids[v.argmax()]
+    word, example, weight = (np.concatenate(x) if segs else np.zeros(0, np.int64) for x in (word, example, weight))
     # blocks: examples of one label, neighbours in the order of their heaviest word
-    order = np.lexsort((m.argmax(0), label)) if len(segs) else np.zeros(0, int)
+    order = np.lexsort((heaviest, label)) if len(segs) else np.zeros(0, int)
     block = np.empty(len(segs), np.int64)
-    number = -1
+    number, size = -1, 0
     for k, j in enumerate(order):
         if number < 0 or label[j] != label[order[k - 1]] or size == BLOCK:
             number, size = number + 1, 0
         block[j] = number
         size += 1
-    block_max = np.stack([m[:, block == b].max(1) for b in range(number + 1)], 1) if len(segs) else np.zeros((0, 0))
-    wanted = m[:, label == 1].max(1) if (label == 1).any() else np.zeros(len(words))
+    order = np.lexsort((example, block[example], word)) if len(word) else np.zeros(0, int)
+    word, example, weight = word[order], example[order], weight[order]
+    of = block[example]
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])]))[: len(word)]
+    wanted = np.zeros(len(words))
+    bad = label[example] == 1
+    np.maximum.at(wanted, word[bad], weight[bad])
     ranks = {w: float(wanted[i]) for i, w in enumerate(words)}
-    return Index(words, idf, float(np.log(1 + total)) + 1.0, m, label, text, block, block_max, wanted, ranks, np.array([len(w) == 1 for w in words], bool))
-
-
-def votes(ix: Index, sims: np.ndarray) -> np.ndarray:
-    """Scores of rows of similarities (absent ones as 0)."""
-    k = min(K, sims.shape[1])
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
-    s = np.take_along_axis(sims, top, 1)
-    w = np.where(s >= LEAST, s, 0.0) ** 2
-    return (w * (ix.label[top] == 1)).sum(1) / (w.sum(1) + PRIOR)
+    return Index(
+        words, idf, float(np.log(1 + total)) + 1.0, label, text,
+        np.searchsorted(word[first], np.arange(len(words) + 1)), of[first], np.maximum.reduceat(weight, first) if len(first) else weight,
+        np.append(first, len(word)), example, weight, wanted, ranks, np.array([len(w) == 1 for w in words], bool),
+    )
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] numbers), start[1], ..."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+
+
+def _added(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, sums of their values, the order of the records by key and where each key's records start."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+    return key[first], np.add.reduceat(value[order], first) if len(first) else value[:0], order, first
+
+
+def searched(ix: Index, seg: np.ndarray, word: np.ndarray, weight: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, K) greatest similarities and their examples (-1: none at or above the floor).
+
+    ``seg``: sorted segment numbers 0, 1, ... of the (word, weight) entries; weights are divided by the segment's norm.
+    """
+    n, blocks = len(floor), int(ix.block.max()) + 1 if len(ix.block) else 0
+    sims, near = np.zeros((n, K)), np.full((n, K), -1, np.int64)
+    count = ix.lists[word + 1] - ix.lists[word]
+    entry, pair = np.repeat(np.arange(len(word)), count), _ranges(ix.lists[word], count)
+    key, bound, order, first = _added(seg[entry] * blocks + ix.block[pair], weight[entry] * ix.block_max[pair])
+    entry, pair = entry[order], pair[order]
+    ends = np.append(first[1:], len(entry))
+    owner = key // max(blocks, 1)
+    best = np.lexsort((-bound, owner))
+    head = np.flatnonzero(np.concatenate([[True], owner[best][1:] != owner[best][:-1]]))[: len(best)]
+    rank = np.empty(len(best), np.int64)
+    rank[best] = np.arange(len(best)) - np.repeat(head, np.diff(np.append(head, len(best))))
+    lo, size = 0, 1
+    while lo <= (rank.max() if len(rank) else -1):
+        go = np.flatnonzero((rank >= lo) & (rank < lo + size) & (bound >= np.maximum(sims[owner, -1], floor[owner]) - 1e-12))
+        lo, size = lo + size, size * 2
+        if not len(go):
+            if not ((rank >= lo) & (bound >= np.maximum(sims[owner, -1], floor[owner]) - 1e-12)).any():
+                break
+            continue
+        r = _ranges(first[go], ends[go] - first[go])
+        length = ix.postings[pair[r] + 1] - ix.postings[pair[r]]
+        post = _ranges(ix.postings[pair[r]], length)
+        e = np.repeat(entry[r], length)
+        found, s, _, _ = _added(seg[e] * len(ix.label) + ix.example[post], weight[e] * ix.weight[post])
+        who, what = found // len(ix.label), found % len(ix.label)
+        keep = s >= floor[who]
+        who, what, s = who[keep], what[keep], s[keep]
+        rows = np.unique(who)
+        if not len(rows):
+            continue
+        who = np.concatenate([who, np.repeat(rows, K)])
+        what = np.concatenate([what, near[rows].ravel()])
+        s = np.concatenate([s, sims[rows].ravel()])
+        order2 = np.lexsort((what, -s, who))
+        who, what, s = who[order2], what[order2], s[order2]
+        start = np.searchsorted(who, rows)
+        at = start[:, None] + np.arange(K)  # every row has K entries at least
+        sims[rows], near[rows] = s[at], np.where(s[at] > 0, what[at], -1)
+    return sims, near
+
+
+def votes(ix: Index, sims: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Scores of rows of the greatest similarities and their examples (-1: none)."""
+    w = np.where(near >= 0, sims, 0.0) ** 2
+    return (w * (ix.label[near] == 1) * (near >= 0)).sum(1) / (w.sum(1) + PRIOR)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,33 +339,47 @@ def scored(ix: Index, ids: np.ndarray):
     norm2 = np.bincount(w_seg, weights=weight**2, minlength=n) + np.bincount(seg[(ids == -1) | (ids == -3)], minlength=n) * ix.unknown**2
     norm = np.sqrt(np.maximum(norm2, 1e-12))
     bound = np.bincount(w_seg, weights=weight * ix.wanted_max[w_ids], minlength=n) / norm
-    alive = (bound >= LEAST) & (np.bincount(seg[(ids == -1) | (word & ~ix.letter[np.maximum(ids, 0)])], minlength=n) >= WORDS)
-    keep = alive[w_seg]
-    if not keep.any():
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    few = np.bincount(seg[(ids == -1) | (word & ~ix.letter[np.maximum(ids, 0)])], minlength=n) < WORDS
+    floor = np.where(few, NEAR, LEAST)
+    keep = (bound >= floor - 1e-12)[w_seg]
     w_seg, w_ids, weight = w_seg[keep], w_ids[keep], weight[keep]
-    which, start = np.unique(w_seg, return_index=True)
-    bounds = np.add.reduceat(weight[:, None] * ix.block_max[w_ids], start, axis=0) / norm[which, None]
-    sims = np.zeros((len(which), len(ix.label)))
-    kth = np.zeros(len(which))
-    ends = np.append(start[1:], len(w_seg))
-    order = np.argsort(-bounds, axis=1)
-    members = [np.flatnonzero(ix.block == b) for b in range(ix.block_max.shape[1])]
-    for step in range(order.shape[1]):
-        b = order[:, step]
-        open_ = np.flatnonzero(bounds[np.arange(len(which)), b] >= np.maximum(kth, LEAST))
-        if not len(open_):
-            break
-        for block in np.unique(b[open_]):
-            rows = open_[b[open_] == block]
-            cols = members[block]
-            n = ends[rows] - start[rows]
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            at = np.repeat(start[rows] - first, n) + np.arange(n.sum())
-            sims[rows[:, None], cols] = np.add.reduceat(weight[at, None] * ix.weights[np.ix_(w_ids[at], cols)], first, axis=0) / norm[which[rows], None]
-        if sims.shape[1] >= K:
-            kth[open_] = -np.partition(-sims[open_], K - 1, axis=1)[:, K - 1]
-    return which, votes(ix, sims), sims.argmax(1)
+    which, local = np.unique(w_seg, return_inverse=True)
+    weight = weight / norm[w_seg]
+    score, nearest = np.zeros(len(which)), np.zeros(len(which), np.int64)
+    for a in range(0, len(which), CHUNK):
+        i, j = np.searchsorted(local, (a, a + CHUNK))
+        part = slice(a, min(a + CHUNK, len(which)))
+        sims, near = searched(ix, local[i:j] - a, w_ids[i:j], weight[i:j], floor[which[part]])
+        score[part], nearest[part] = votes(ix, sims, near), near[:, 0]
+    return which, score, nearest
+
+
+def calibration(rows, df=None, total: int = 0, bins: int = 5) -> list[tuple[float, float, int]]:
+    """(mean score, share of unwanted, number) of labelled snippets by score, each scored without itself and its copies.
+
+    ``df`` and ``total``: frequencies of words (a dict) and number of segments of a corpus; without them the snippets' own.
+    """
+    kept = sorted({(s, int(y)) for s, y in rows if s is not None and y is not None})
+    key = [" ".join(" ".join(g) for g in segments(s)) for s, _ in kept]
+    if df is None:
+        df, total = {}, 0
+        for s, _ in kept:
+            for g in segments(s):
+                total += 1
+                for w in set(g):
+                    df[w] = df.get(w, 0) + 1
+    out = []
+    for i, (snippet, y) in enumerate(kept):
+        segs, label, text, words = examples([r for j, r in enumerate(kept) if key[j] != key[i]])
+        if not segs:
+            continue
+        ix = build(segs, label, text, words, np.array([df.get(w, 0) for w in words], float), total)
+        ids, _ = Lexicon(ix.words, ix.masks).batch([snippet])
+        s = scored(ix, ids)[1]
+        out.append((float(s.max()) if len(s) else 0.0, y))
+    out = np.array(out).reshape(-1, 2)
+    at = np.minimum((out[:, 0] * bins).astype(int), bins - 1)
+    return [(float(out[at == b, 0].mean()), float(out[at == b, 1].mean()), int((at == b).sum())) for b in range(bins) if (at == b).any()]
 
 
 def _counts(words: list[str], masks: dict[str, float]):
@@ -339,7 +430,7 @@ def _documents(ix: Index | None):
                 doc = owner[ids == -2][seg] if len(seg) else seg
                 for k in np.lexsort((near, s)):
                     score[doc[k]] = s[k]
-                    evidence[doc[k]] = ix.text[near[k]] if s[k] > 0 else None
+                    evidence[doc[k]] = ix.text[near[k]] if s[k] > 0 and near[k] >= 0 else None
             out = f.drop(columns="text")
             out["score"], out["evidence"] = np.round(score, 6), evidence
             yield out

@@ -102,21 +102,61 @@ def test_disguised_spelling(index):
     assert min(score(index, texts)) > 0.5
 
 
-def test_block_search_is_exact(index):
-    lexicon = U.Lexicon(index.words, index.masks)
+def dense(ix):
+    m = np.zeros((len(ix.words), len(ix.label)))
+    for w in range(len(ix.words)):
+        a, b = ix.postings[ix.lists[w]], ix.postings[ix.lists[w + 1]]
+        m[w, ix.example[a:b]] = ix.weight[a:b]
+    return m
+
+
+def test_block_search_is_exact():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        text = ". ".join(" ".join(rng.choice(index.words, rng.integers(3, 9))) for _ in range(4))
-        ids, _ = lexicon.batch([text])
-        which, votes, near = U.scored(index, ids)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    rows = [(" ".join(rng.choice(vocabulary, rng.integers(3, 9))), int(rng.random() < 0.4)) for _ in range(150)]
+    segs, label, text, words = U.examples(rows)
+    ix = U.build(segs, label, text, words, rng.integers(1, 400, len(words)).astype(float), 1000)
+    full = dense(ix)
+    assert np.allclose(np.linalg.norm(full, axis=0), 1) and np.allclose(full[:, label == 1].max(1), ix.wanted_max)
+    lexicon = U.Lexicon(ix.words, ix.masks)
+    seen = 0
+    for _ in range(40):
+        body = ". ".join(" ".join(rng.choice([*words, "zzunknown"], rng.integers(1, 9))) for _ in range(4))
+        ids, _ = lexicon.batch([body])
+        which, score, near = U.scored(ix, ids)
         seg = np.cumsum(ids == -2)
-        for k, v in zip(which, votes):
+        got = dict(zip(which.tolist(), zip(score, near)))
+        for k in range(int(seg[-1]) + 1):
             w, c = np.unique(ids[(seg == k) & (ids >= 0)], return_counts=True)
-            x = np.zeros(len(index.words))
-            x[w] = (1 + np.log(c)) * index.idf[w]
-            other = ((seg == k) & ((ids == -1) | (ids == -3))).sum() * index.unknown**2
-            sims = x @ index.weights / np.sqrt((x**2).sum() + other)
-            assert v == pytest.approx(U.votes(index, sims[None])[0])
+            x = np.zeros(len(ix.words))
+            x[w] = (1 + np.log(c)) * ix.idf[w]
+            other = ((seg == k) & ((ids == -1) | (ids == -3))).sum()
+            sims = x @ full / max(np.sqrt((x**2).sum() + other * ix.unknown**2), 1e-12)
+            floor = U.NEAR if c.sum() + other < U.WORDS else U.LEAST
+            top = np.sort(sims)[::-1][: U.K]
+            if not (sims[label == 1] >= floor).any():
+                assert got.get(k, (0, 0))[0] == 0
+                continue
+            best = np.lexsort((np.arange(len(sims)), -sims))[: U.K]
+            v = np.where(sims[best] >= floor, sims[best], 0) ** 2
+            assert top[0] >= floor and got[k][0] == pytest.approx((v * label[best]).sum() / (v.sum() + U.PRIOR), abs=1e-6)
+            assert sims[got[k][1]] == pytest.approx(top[0])
+            seen += 1
+    assert seen > 50
+
+
+def test_short_insults_are_found_and_short_words_are_not():
+    segs, label, text, words = U.examples([("You bastard", 1), ("Shut up idiot", 1)] + [(t, 1) for t in BAD] + [(t, 0) for t in GOOD])
+    ix = U.build(segs, label, text, words, np.full(len(words), 3.0), 1000)
+    s = score(ix, ["You bastard.", "The court sat. You bastard! Costs follow.", "You", "Your mouth.", "Shut", "The rat."])
+    assert min(s[:2]) > 0.5 and max(s[2:]) == 0
+
+
+def test_scores_are_calibrated_on_the_labels_left_out():
+    rows = [(f"{b} {x}", 1) for b in BAD for x in ("now", "today", "again")] + [(f"{g} {x}", 0) for g in GOOD for x in ("now", "today", "again")]
+    table = U.calibration(rows)
+    n = sum(k for _, _, k in table)
+    assert n == 24 and sum(abs(m - share) * k for m, share, k in table) / n < 0.15
 
 
 def test_unwanted_rows(spark):
