@@ -211,15 +211,54 @@ def test_redaction_keeps_the_rest(model):
     assert P.replaced(long, P.pieces(*model, [long])).endswith("From: [PERSON_NAME] <[EMAIL]>")
 
 
-def test_skip_edges_share_beliefs(model):
-    field = model[1]
-    em = np.zeros((2, len(P.TAGS)))
-    em[0, P.TAG["B-phone"]] = 6.0
-    em[1, P.TAG["B-phone"]] = -0.3
-    free = P.Field(field.ids, field.w, P.allowed())
-    alone = P.decoded(free, em, np.array([1, 1]), np.array([0, 1]), ["x", "x"])
-    linked = P.decoded(free, em, np.array([1, 1]), np.array([0, 0]), ["x", "x"])
-    assert alone[1] != P.TAG["B-phone"] and linked[1] == P.TAG["B-phone"]
+def test_messages_are_exact_on_a_tree():
+    # two chains of two tokens joined by one edge are a tree: beliefs and labels must equal enumeration
+    import itertools
+
+    rng = np.random.default_rng(3)
+    n = len(P.KINDS) + 1
+    psi = rng.standard_normal((2, n, n))
+    psi = (psi + psi.transpose(0, 2, 1)) / 2
+    field = P.Field({}, np.zeros((1, len(P.TAGS))), P.allowed() + rng.standard_normal((len(P.TAGS),) * 2), psi)
+    em = rng.standard_normal((4, len(P.TAGS)))
+    edges = P.links([0, 0, 0, 0], ["", "n1", "n1", ""])
+    assert edges.tolist() == [[1, 2, 0]]
+    add, _, _ = P.messages(field, em, np.array([2, 2]), edges)
+    m = P.marginals(field, em + add, np.array([2, 2]))
+    kind = lambda t: 0 if t == 0 else (t + 1) // 2
+    want = np.zeros_like(m)
+    for y in itertools.product(range(len(P.TAGS)), repeat=4):
+        if "I" in (P.TAGS[y[0]][0], P.TAGS[y[2]][0]):
+            continue
+        w = np.exp(sum(em[i, y[i]] for i in range(4)) + field.trans[y[0], y[1]] + field.trans[y[2], y[3]] + psi[0, kind(y[1]), kind(y[2])])
+        for i in range(4):
+            want[i, y[i]] += w
+    assert np.allclose(m, want / want.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_skip_edges_decide_repeated_numbers():
+    """Ablation: a number whose second mention has no context is found through its skip edge only."""
+    rng = np.random.default_rng(8)
+    number = lambda: f"123-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}"
+    texts = []
+    for k in range(400):
+        x = number()
+        texts.append(f"My SSN {x} was rejected twice. The clerk wrote {x} again." if k % 2 else f"The build {x} is slow. The clerk wrote {x} again.")
+    lex, field = P.from_texts(texts)
+    assert (np.diag(field.skip[0])[[0, 3]] > 0.3).all()
+    without = P.Field(field.ids, field.w, field.trans)
+    x, z = number(), number()
+    mentions = [f"The clerk wrote {x} again. My SSN {x} was rejected twice.", f"The clerk wrote {z} again. The build {z} is slow."]
+    count = lambda f: [sum(p[1] == "id_number" for p in P.pieces(lex, f, [t])) for t in mentions]
+    assert count(field) == [2, 0] and count(without) != [2, 0]
+
+
+def test_long_windows_are_cut_into_overlapping_chains(model):
+    for n in (1, P.MOST, P.MOST + 1, 1000):
+        kept = [k for a, b, lo, hi in P.cut(n) for k in range(lo, hi) if a <= lo and hi <= b and b - a <= P.MOST]
+        assert kept == list(range(n))
+    text = "Silas Wexlaw 555-0177 " * 3000
+    assert kinds(model, text) == ["person_name", "phone"] * 3000
 
 
 def test_forward_backward_is_exact():
