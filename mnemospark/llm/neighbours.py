@@ -5,15 +5,15 @@ components, not all zero) are collapsed by exact value, so equal vectors are
 compared once and expanded by their smallest ids. Centroids are fitted on a
 bounded sample (``SAMPLE`` vectors in hash order), one for about ``LIST`` vectors;
 every vector is then put into the list of its nearest centroid and visits each
-list whose centroid is at most ``WIDTH`` farther in cosine. Within a list, all
+list whose centroid is at most ``WIDTH`` farther in cosine. Lists longer than ``CHUNK`` get centroids of their own,
+fitted on at most ``OWN`` of their vectors, and are routed once more, so lists stay short whatever the number of vectors. Within a list, all
 vectors are rotated by one random orthogonal matrix and scanned in column
-blocks: after each block the partial distance is tested against the distance to
-beat (the floor, or the k-th best so far); a candidate whose distance exceeds it
-under the test's bound is abandoned. What remains gets its cosine in double
+blocks: after each block every open pair's partial distance is tested against the distance its query has to
+beat (the floor, or its k-th best so far); a pair whose distance exceeds it
+under the test's bound is abandoned, as are rows and columns without an open pair. What remains gets its cosine in double
 precision from the stored components. A pair found from either side counts for both.
 
-Lists longer than ``CHUNK`` are split; every chunk sees the visitors of its list, so a
-hot list is work for many tasks. All vectors are indexed and all are queries;
+Lists that are still longer than ``CHUNK`` (vectors that no centroid tells apart) are split; every chunk sees the visitors of its list. All vectors are indexed and all are queries;
 recall against brute force is measured by the tests and given in the README.
 
 Defined results: null key: left out; unusable vectors: no partner; repeated rows
@@ -39,6 +39,9 @@ SAMPLE = 40_000
 LIST = 500
 WIDTH = 0.1
 CHUNK = 4096
+OWN = 8192
+PART = 50_000
+DENSE = 0.08
 COLUMNS = 16
 EPS0 = 2.1
 TIES = 4e-6
@@ -89,12 +92,13 @@ def _routed(centroids: np.ndarray, width: float):
     return run
 
 
-def scan(q: np.ndarray, m: np.ndarray, same: np.ndarray, k: int = K, floor: float = FLOOR, turn: np.ndarray | None = None):
+def scan(q: np.ndarray, m: np.ndarray, same: np.ndarray, k: int = K, floor: float = FLOOR, turn: np.ndarray | None = None, work: list[int] | None = None):
     """Candidate (query row, member row) pairs of one list; ``same``: member row of a query, or -1.
 
     Rows are unit vectors. Members are taken in blocks, columns in blocks of
-    COLUMNS; a pair is dropped when its partial distance passes the bound for
-    both its query and its member.
+    COLUMNS; a pair is abandoned when its partial distance fails the test for its query.
+    While many pairs are open, a column block is one product over the open rows and columns;
+    afterwards pairs are followed one by one. ``work`` collects the number of pairs tested after each column block.
     """
     turn = rotation(q.shape[1]) if turn is None else turn
     dim = q.shape[1]
@@ -105,27 +109,36 @@ def scan(q: np.ndarray, m: np.ndarray, same: np.ndarray, k: int = K, floor: floa
     out_q, out_m, out_d = [], [], []
     for start in range(0, len(m), 512):
         part = mr[start : start + 512]
+        rows, cols = np.arange(len(q)), np.arange(len(part))
         left = part_d = None
+        dist = np.zeros((len(rows), len(cols)), np.float32)
+        open_ = dist.size
         for d in range(0, dim, COLUMNS):
             block = slice(d, d + COLUMNS)
             seen = min(d + COLUMNS, dim)
             bound = (1 + EPS0 / np.sqrt(seen)) ** 2 * seen / dim if seen < dim else 1.0
             if left is None:
-                a, b = qr[:, block], part[:, block]
-                part_d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-                keep = part_d <= (beat_q * np.float32(bound))[:, None]
-                if keep.mean() > 0.08:  # a dense list: finish it with one product
-                    full = 2 - 2 * (qr @ part.T)
-                    x, y = np.nonzero(full <= limit)
-                    left, part_d = (x, y), full[x, y]
-                    break
+                a, b = qr[rows, block], part[cols, block]
+                dist += (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+                keep = dist <= (beat_q[rows] * np.float32(bound) + np.float32(TIES))[:, None]
+                if work is not None:
+                    work.append(open_)
+                open_ = int(np.count_nonzero(keep))
+                if seen < dim and open_ > DENSE * keep.size:
+                    dist[~keep] = np.inf  # abandoned
+                    r, c = keep.any(1), keep.any(0)
+                    if not (r.all() and c.all()):
+                        rows, cols, dist = rows[r], cols[c], dist[np.ix_(r, c)]
+                    continue
                 x, y = np.nonzero(keep)
-                left, part_d = (x, y), part_d[x, y]
+                left, part_d = (rows[x], cols[y]), dist[x, y]
             else:
                 x, y = left
+                if work is not None:
+                    work.append(len(x))
                 diff = qr[x, block] - part[y, block]
                 part_d = part_d + np.einsum("ij,ij->i", diff, diff)
-                keep = part_d <= beat_q[x] * np.float32(bound)
+                keep = part_d <= beat_q[x] * np.float32(bound) + np.float32(TIES)
                 left, part_d = (x[keep], y[keep]), part_d[keep]
         x, y = left
         y = y + start
@@ -198,6 +211,50 @@ def usable(df: DataFrame, key: str = "vec_id", vector: str = "vector", version:
     return rows.withColumn("good", F.coalesce(good, F.lit(False)))
 
 
+def _centres(per: int):
+    def run(t: pa.Table) -> pa.Table:
+        sample = _unit(_matrix(t.column("vector")))
+        # rows arrive in any order: the fit must not depend on it
+        sample = sample[np.argsort(t.column("cid").to_numpy())][:OWN]
+        size = t.column("size")[0].as_py()
+        c = fit(sample, max(1, min(size // per, len(sample) // 10)))
+        return pa.table({"cell": pa.array([t.column("cell")[0].as_py()], pa.int32()), "centres": pa.array([c.ravel()], pa.list_(pa.float32()))})
+
+    return run
+
+
+def _second(width: float):
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        """Rows of a part of one list, put into its own lists."""
+        names = {"cell": pa.int32(), "sub": pa.int32(), "home": pa.bool_(), "cid": pa.int64(), "vector": pa.list_(pa.float32())}
+        if not rows.num_rows or not centres.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in names.items()})
+        c = np.array(centres.column("centres")[0].as_py(), np.float32).reshape(-1, DIM)
+        v = rows.column("vector").combine_chunks()
+        near = _unit(_matrix(v)) @ c.T
+        at, sub = np.nonzero(near >= near.max(1, keepdims=True) - width)
+        home = rows.column("home").to_numpy()[at] & (near.argmax(1)[at] == sub)
+        take = pa.array(at)
+        out = [pa.array(np.full(len(at), rows.column("cell")[0].as_py()), pa.int32()), pa.array(sub, pa.int32()), pa.array(home), rows.column("cid").take(take), v.take(take)]
+        return pa.table(dict(zip(names, out)))
+
+    return run
+
+
+def rerouted(routed: DataFrame, homes: DataFrame, sizes: dict[int, int], width: float) -> DataFrame:
+    """Members and visitors of lists longer than CHUNK by lists of their own: cell, sub, home, cid, vector."""
+    spark = routed.sparkSession
+    known = spark.createDataFrame([(c, n, -(-n // PART)) for c, n in sorted(sizes.items())], "cell int, size bigint, parts int")
+    h = F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(1 << 40))
+    few = homes.join(F.broadcast(known), "cell").where(h < (F.lit((1 << 40) * 1.1 * OWN) / F.col("size")).cast("bigint"))
+    centres = few.select("cell", "cid", "size", "vector").groupBy("cell").applyInArrow(_centres(LIST), "cell int, centres array<float>")
+    centres = written(centres, "p5-centres").join(F.broadcast(known), "cell")
+    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", "centres")
+    rows = routed.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("cell", "part", "home", "cid", "vector")
+    got = rows.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInArrow(_second(width), "cell int, sub int, home boolean, cid bigint, vector array<float>")
+    return written(got, "p5-lists")
+
+
 def neighbours(df: DataFrame, k: int = K, floor: float = FLOOR, width: float = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(members, nearest): members id, cid; nearest q, m, cos between classes, at most k a query class."""
     spark = df.sparkSession
@@ -221,19 +278,23 @@ def neighbours(df: DataFrame, k: int = K, floor: float = FLOOR, width: float = W
     few = reps if n <= SAMPLE else reps.where(h < int((1 << 40) * 1.1 * SAMPLE / n))
     sample = few.orderBy(h, "cid").limit(SAMPLE).select("vector").toPandas()
     centroids = fit(_unit(np.stack(sample["vector"].to_numpy()).astype(np.float32)), max(1, min(n // LIST, len(sample) // 10)))
-    routed = reps.mapInArrow(_routed(centroids, width), "cell int, home boolean, cid bigint, vector array<float>")
-    # long lists are cut into chunks by a hash; every visitor goes to all chunks of the list
-    sizes = reps.mapInArrow(_routed(centroids, -1e-9), "cell int, home boolean, cid bigint, vector array<float>").groupBy("cell").count()
-    chunks = {r["cell"]: -(-r["count"] // CHUNK) for r in sizes.collect() if r["count"] > CHUNK}
-    if chunks:
-        many = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv])
-        count = F.coalesce(many[F.col("cell")], F.lit(1))
-        own = F.pmod(F.xxhash64("cid"), count).cast("int")
-        routed = routed.withColumn("own", F.when(F.col("home"), own)).withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
-        routed = routed.withColumn("home", F.col("home") & (F.col("own") == F.col("chunk")))
+    row = "cell int, home boolean, cid bigint, vector array<float>"
+    routed = reps.mapInArrow(_routed(centroids, width), row)
+    homes = reps.mapInArrow(_routed(centroids, -1e-9), row)
+    sizes = {r["cell"]: r["count"] for r in homes.groupBy("cell").count().where(F.col("count") > CHUNK).collect()}  # a row a list at most
+    lists = routed.withColumn("sub", F.lit(0))
+    if sizes:
+        large = F.col("cell").isin(list(sizes))
+        again = rerouted(routed.where(large), homes.where(large), sizes, width)
+        lists = lists.where(~large).select(*again.columns).unionByName(again)
+        still = again.groupBy("cell", "sub").agg(F.sum(F.col("home").cast("int")).alias("size")).where(F.col("size") > CHUNK)
+        still = still.select("cell", "sub", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        lists = lists.join(still, ["cell", "sub"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+        lists = lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.col("home") & (own == F.col("chunk")))
     else:
-        routed = routed.withColumn("chunk", F.lit(0))
-    hits = routed.select("cell", "chunk", "home", "cid", "vector").groupBy("cell", "chunk").applyInArrow(_searched(k, floor), schema)
+        lists = lists.withColumn("chunk", F.lit(0))
+    hits = lists.select("cell", "sub", "chunk", "home", "cid", "vector").groupBy("cell", "sub", "chunk").applyInArrow(_searched(k, floor), schema)
     best = Window.partitionBy("q").orderBy(F.desc("cos"), "m")
     nearest = hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "m", "cos")
     return members, written(nearest, "p5-nearest")

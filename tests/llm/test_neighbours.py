@@ -74,3 +74,28 @@ def test_long_lists_are_cut_into_chunks(spark, monkeypatch):
     ids = np.arange(len(v))
     got, want = found(spark, frame(spark, [(int(i), [float(x) for x in r], None) for i, r in zip(ids, v)])), brute(ids, v)
     assert len(got & want) >= 0.97 * len(want)
+
+
+def test_long_lists_get_lists_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK", 120)
+    monkeypatch.setattr(N, "LIST", 60)
+    monkeypatch.setattr(N, "SAMPLE", 40)  # at most four lists at the first level
+    monkeypatch.setattr(N, "PART", 100)
+    v = data(seed=6, clusters=20)
+    v[200:340] = v[200]  # and one class of copies
+    ids = np.random.default_rng(2).permutation(len(v))
+    got, want = found(spark, frame(spark, [(int(i), [float(x) for x in r], None) for i, r in zip(ids, v)])), brute(ids, v)
+    assert len(got & want) >= 0.97 * len(want)
+    assert len(got - want) <= 0.03 * len(want)
+
+
+def test_dense_lists_are_scanned_by_blocks_too():
+    rng = np.random.default_rng(5)
+    v = N._unit((rng.standard_normal(64) * 1.2 + rng.standard_normal((900, 64))).astype(np.float32))
+    work: list[int] = []
+    x, y = N.scan(v, v, np.arange(len(v)), floor=0.75, work=work)
+    assert max(work) == 900 * 512 and sum(work) < 0.9 * 4 * 900 * 900  # pairs were abandoned before their last block
+    s = v @ v.T
+    np.fill_diagonal(s, -9)
+    top = {(i, int(s[i].argmax())) for i in range(len(v)) if s[i].max() >= 0.76}
+    assert len(top & set(zip(x.tolist(), y.tolist()))) >= 0.99 * len(top)
