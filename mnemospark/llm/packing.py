@@ -5,11 +5,13 @@ its items by best-fit decreasing and computes a lower bound of its bin count fro
 dual-feasible functions. A partition whose bins equal its bound is certified
 optimal and never touched again. Partitions with a gap release their bins that
 are not full; the released documents are dealt anew across those partitions and
-packed again, which repeats while bins are saved. Documents larger than a
+packed again. This ends when all are certified, or when ``STALLED`` rounds in a row save no bin;
+every other round saves one at least. Documents larger than a
 container are cut into full containers and a rest; nothing else is split.
 
-A global bound from the histogram of all sizes (at most ``capacity`` entries)
-certifies the whole packing in ``summary``.
+A global bound from the histogram of all sizes (at most ``capacity`` entries, and no more than there are
+sizes) certifies the whole packing in ``summary`` and states the gap that remains. Memory is in proportion to the items of a
+partition, not to the capacity.
 
 Defined results: documents without tokens need no container and don't appear;
 capacities that are null or below 1 are left out; empty tables: empty result.
@@ -17,6 +19,8 @@ capacities that are null or below 1 are left out; empty tables: empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,24 +31,26 @@ from mnemospark.plans.lineage import written
 from mnemospark.sources.tables import table
 
 PART = 10_000
-ROUNDS = 4
+STALLED = 2
 PACKS = 100
 PLACED = "pack_name string, capacity bigint, container string, doc_id bigint, piece int, tokens bigint, fill bigint, open boolean"
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Bins needed at least for ``counts[s]`` items of size s, by two families of dual-feasible functions."""
-    s = np.arange(capacity + 1)
-    n = counts.astype(np.float64)
+def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """Bins needed at least for ``counts[i]`` items of ``sizes[i]`` (distinct, at most capacity), by two families of dual-feasible functions."""
+    order = np.argsort(sizes)
+    s, n = sizes[order].astype(np.int64), counts[order].astype(np.float64)
+    if not len(s):
+        return 0
     best = np.ceil((n * s).sum() / capacity - 1e-9)
-    # threshold functions: sizes above capacity - cut count a bin, those below cut nothing
-    over = np.cumsum(n[::-1])[::-1]  # items of at least s
+    # threshold functions: sizes above capacity - cut count a bin, those below cut nothing; only these cuts can be best
+    over = np.append(np.cumsum(n[::-1])[::-1], 0)
     mass = np.concatenate([[0], np.cumsum(n * s)])
-    cut = np.arange(1, capacity // 2 + 1)
-    big = over[np.minimum(capacity - cut + 1, capacity)]
-    middle = mass[capacity - cut + 1] - mass[cut]
+    cut = capacity - s + 1
+    cut = cut[(cut >= 1) & (2 * cut <= capacity)]
     if len(cut):
-        best = max(best, np.ceil((big + middle / capacity).max() - 1e-9))
+        first, last = np.searchsorted(s, cut), np.searchsorted(s, capacity - cut, side="right")
+        best = max(best, np.ceil((over[last] + (mass[last] - mass[first]) / capacity).max() - 1e-9))
     # rounding functions u_k
     for k in range(1, 31):
         x = (k + 1) * s
@@ -55,26 +61,27 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Bin number of each item; sizes in decreasing order."""
-    spaces: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0
+    rests: list[int] = []  # the distinct spaces left, in order
+    bins: dict[int, list[int]] = {}  # the bins of each
     out = np.empty(len(sizes), np.int64)
-    bins = 0
+    used = 0
     for i, s in enumerate(sizes.tolist()):
-        rest = mask >> s
-        if rest:
-            r = s + (rest & -rest).bit_length() - 1
-            b = spaces[r].pop()
-            if not spaces[r]:
-                mask ^= 1 << r
+        at = bisect_left(rests, s)
+        if at < len(rests):
+            r = rests[at]
+            b = bins[r].pop()
+            if not bins[r]:
+                del bins[r], rests[at]
         else:
-            b, r = bins, capacity
-            bins += 1
-        r -= s
+            b, r = used, capacity
+            used += 1
         out[i] = b
-        if r:
-            if not spaces[r]:
-                mask |= 1 << r
-            spaces[r].append(b)
+        r -= s
+        if r in bins:
+            bins[r].append(b)
+        elif r:
+            bins[r] = [b]
+            insort(rests, r)
     return out
 
 
@@ -85,7 +92,7 @@ def _packed(tag: str):
         sizes = f["tokens"].to_numpy(np.int64)
         b = best_fit(sizes, capacity)
         fill = np.bincount(b, weights=sizes).astype(np.int64)
-        gap = len(fill) - lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+        gap = len(fill) - lower_bound(*np.unique(sizes, return_counts=True), capacity)
         part = int(f["part"].iloc[0])
         f["container"] = [f"{tag}-{part}-{x}" for x in b]
         f["fill"] = fill[b]
@@ -121,7 +128,10 @@ def pieces(sizes: DataFrame, packs: DataFrame) -> DataFrame:
 
 def packed(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     """Every piece with its container: pack_name, capacity, container, doc_id, piece, tokens, fill, open."""
-    number = sizes.count()
+    items = pieces(sizes, packs)
+    # the pieces of the smallest container, the most there are
+    least = packs.where((F.col("capacity_tokens") >= 1) & F.col("pack_name").isNotNull()).agg(F.min("capacity_tokens")).first()[0]
+    number = sizes.where("tokens > 0").agg(F.sum(F.ceil(F.col("tokens") / F.lit(least or 1)))).first()[0] or 0
 
     def deal(rows: DataFrame, count: int, salt: int) -> DataFrame:
         # full pieces of one document go to many partitions, too
@@ -130,20 +140,24 @@ def packed(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     def pack(rows: DataFrame, tag: str) -> DataFrame:
         return written(rows.groupBy("pack_name", "part").applyInPandas(_packed(tag), PLACED), "p7-placed")
 
-    columns = ["pack_name", "capacity", "doc_id", "piece", "tokens"]
-    state = pack(deal(pieces(sizes, packs), number, 0), "r0")
-    done = state.where("not open")
-    loose = state.where("open")
-    for i in range(1, ROUNDS + 1):
-        before = loose.agg(F.count_distinct("pack_name", "container").alias("bins"), F.count("*").alias("n")).first()
-        if before["n"] == 0:
-            break
-        again = pack(deal(loose.select(columns), before["n"], i), f"r{i}")
-        after = again.agg(F.count_distinct("pack_name", "container")).first()[0]
-        if after >= before["bins"]:
-            break
-        done = done.unionByName(again.where("not open"))
-        loose = again.where("open")
+    def bins(rows: DataFrame) -> tuple[int, int]:
+        # a container's rows are in one file; its first piece stands for it
+        return tuple(rows.agg(F.count_distinct("pack_name", "container"), F.count("*")).first())
+
+    state = pack(deal(items, number, 0), "r0")
+    done, loose = state.where("not open"), state.where("open")
+    before, rows = bins(loose)
+    stalled = i = 0
+    while rows and stalled < STALLED:
+        i += 1
+        again = pack(deal(loose.select(items.columns), rows, i), f"r{i}")
+        after = bins(again)[0]
+        if after >= before:  # the old placement is as good
+            stalled += 1
+            continue
+        stalled = 0
+        done, loose = done.unionByName(again.where("not open")), again.where("open")
+        before, rows = bins(loose)
     return done.unionByName(loose)
 
 
@@ -153,9 +167,7 @@ def summary(placed: DataFrame) -> DataFrame:
 
     def bound(f: pd.DataFrame) -> pd.DataFrame:
         capacity = int(f["capacity"].iloc[0])
-        counts = np.zeros(capacity + 1)
-        counts[f["tokens"].to_numpy(np.int64)] = f["n"].to_numpy()
-        return pd.DataFrame({"pack": [f["pack_name"].iloc[0]], "lower_bound": [lower_bound(counts, capacity)]})
+        return pd.DataFrame({"pack": [f["pack_name"].iloc[0]], "lower_bound": [lower_bound(f["tokens"].to_numpy(np.int64), f["n"].to_numpy(), capacity)]})
 
     bounds = sizes.groupBy("pack_name").applyInPandas(bound, "pack string, lower_bound bigint")
     bins = placed.groupBy("pack_name", "capacity", "container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))

@@ -15,13 +15,41 @@ def test_best_fit_and_bound(sizes):
     b = K.best_fit(s, 50)
     fill = np.bincount(b, weights=s)
     assert fill.max() <= 50 and fill.sum() == s.sum() and (fill > 0).all()
-    bound = K.lower_bound(np.bincount(s, minlength=51), 50)
+    bound = K.lower_bound(*np.unique(s, return_counts=True), 50)
     assert -(-s.sum() // 50) <= bound <= len(fill) <= 11 * bound / 9 + 1
 
 
 def test_bound_beats_volume():
-    assert K.lower_bound(np.bincount([26] * 10, minlength=51), 50) == 10
-    assert K.lower_bound(np.bincount([17] * 6, minlength=51), 50) == 3
+    assert K.lower_bound(np.array([26]), np.array([10]), 50) == 10
+    assert K.lower_bound(np.array([17]), np.array([6]), 50) == 3
+
+
+def plain_fit(sizes, capacity):
+    left = []
+    for s in sizes:
+        fits = [i for i, r in enumerate(left) if r >= s]
+        if fits:
+            left[min(fits, key=lambda i: left[i])] -= s
+        else:
+            left.append(capacity - s)
+    return left
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
+def test_bound_and_fit_equal_plain_versions(sizes):
+    s = np.array(sorted(sizes, reverse=True))
+    fill = np.bincount(K.best_fit(s, 40), weights=s)
+    assert sorted((40 - fill).tolist()) == sorted(plain_fit(s.tolist(), 40))
+    best = -(-int(s.sum()) // 40)
+    for cut in range(1, 21):
+        best = max(best, int(np.ceil(sum(1 if x > 40 - cut else x / 40 if x >= cut else 0 for x in s) - 1e-9)))
+    assert K.lower_bound(*np.unique(s, return_counts=True), 40) >= best
+
+
+def test_memory_does_not_grow_with_the_capacity():
+    s = np.array([10**12 - 1, 10**11, 5, 3])
+    assert K.lower_bound(s, np.ones(4), 10**12) == 2 and K.best_fit(s, 10**12).max() == 1
 
 
 def sizes(spark, rows):
