@@ -17,9 +17,9 @@ wrong, so rows that the first prototypes contradict are dropped before the secon
 
 Identifiers, paths, code, numbers and addresses are no words: a run without white
 space that holds digits or signs inside (other than an apostrophe) has no vote.
-Sentences end at . ! ? or their full-width forms. A sentence is whole if it has such
-an end, ``LEAST`` words (Han characters count one), a cosine ``MARGIN`` above that of the
-record's greatest language and the shape of prose: at least half of its words without a
+Sentences end at . ! ? or their full-width forms. A sentence of any length is whole if it has such
+an end, a cosine ``MARGIN`` above that of the record's greatest language (``CLEAR`` with fewer than ``LEAST`` words; Han
+characters count one) and the shape of prose: at least half of its words without a
 capital, no more silent runs than words, no small start after a capitalised word with a full stop
 (an abbreviation, as in Avda. de las Salinas). Neighbouring sentences of one
 language form a segment; shorter ones than ``SHORT`` words that are not whole join their
@@ -50,7 +50,8 @@ D = 2048
 SAMPLE = 4000
 SHORT = 4
 LEAST = 3
-MARGIN = 0.3
+MARGIN = 0.16
+CLEAR = 0.3
 WHOLE = 6
 SURE = 0.995
 LONG = 11
@@ -68,6 +69,15 @@ WORD = re.compile(r"^[\W_]*([^\W\d_]+(?:['’][^\W\d_]+)*)[\W_]*$")
 END = re.compile(r"[.!?…]+[\"'’”»)\]]*$")
 
 
+def _composed(chunk: str) -> tuple[str, list[int]]:
+    """NFKC form of a run, and for each of its characters the place in the run it comes from (the start, if letters joined)."""
+    parts = [unicodedata.normalize("NFKC", c) for c in chunk]
+    plain = unicodedata.normalize("NFKC", chunk)
+    if "".join(parts) != plain:
+        return plain, [0] * len(plain)
+    return plain, [i for i, x in enumerate(parts) for _ in x]
+
+
 def _signs(name: str) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(name)
     return np.random.default_rng(seed).integers(0, 2, D, dtype=np.int8) * 2 - 1
@@ -126,6 +136,7 @@ class Reader:
         self.codes: dict[str, int] = {}
         self.flat: list[int] = []
         self.capital: list[bool] = []
+        self.inside: list[int] = []
         self.start: list[int] = []
         self.length: list[int] = []
 
@@ -146,10 +157,11 @@ class Reader:
         code = self.codes[chunk] = len(self.start)
         ids: list[int] = []
         capital: list[bool] = []
-        plain = chunk
+        inside: list[int] = []
+        plain, back = chunk, None
         if not plain.isascii() and not unicodedata.is_normalized("NFKC", plain):
-            plain = unicodedata.normalize("NFKC", plain)
-        for p in [plain] if plain.isascii() and "`" not in plain else PART.findall(plain):
+            plain, back = _composed(chunk)
+        for at, p in [(0, plain)] if plain.isascii() and "`" not in plain else [(m.start(), m.group()) for m in PART.finditer(plain)]:
             if HAN.match(p):
                 ids.append(self.word(p))
             elif p in ("。", "！", "？"):
@@ -160,6 +172,8 @@ class Reader:
                 capital += [False] * (len(ids) - 1 - len(capital)) + [bool(m) and m.group(1)[0].isupper() and not m.group(1).isupper()]
                 if END.search(p):
                     ids.append(-1)
+            inside += [back[at] if back else at] * (len(ids) - len(inside))
+        self.inside += inside
         self.start.append(len(self.flat))
         self.length.append(len(ids))
         self.flat += ids
@@ -169,7 +183,7 @@ class Reader:
     def batch(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, text of each id, white-space run of each id within its text); a sentence end after each text.
 
-        ``capitals`` holds, for each id, whether the word has a capital first letter."""
+        ``capitals`` holds, for each id, whether the word has a capital first letter, ``places`` where it starts in its run."""
         if len(self.codes) > CACHE or len(self.norm2) > CACHE:
             self.reset()
         codes, code = self.codes, self.code
@@ -189,6 +203,7 @@ class Reader:
         at = np.repeat(np.array(self.start, np.int64)[c] - first, length) + np.arange(length.sum())
         run = np.arange(len(c)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         self.capitals = np.array(self.capital, bool)[at]
+        self.places = np.array(self.inside, np.int64)[at]
         return np.array(self.flat, np.int32)[at], np.repeat(np.repeat(np.arange(len(texts)), n), length), np.repeat(run, length)
 
 
@@ -200,13 +215,13 @@ def sentences(ids: np.ndarray, owner: np.ndarray, run: np.ndarray):
 
 
 def _prose(ids: np.ndarray, owner: np.ndarray, capitals: np.ndarray) -> np.ndarray:
-    """Per sentence number: whether it is ended by a sign of its own and has the length and shape of prose."""
+    """Per sentence number: whether it is ended by a sign of its own and has the shape of prose."""
     sent = np.cumsum(ids == -1) - (ids == -1)
     n = int(sent[-1]) + 1 if len(sent) else 0
     own_end = (ids == -1) & np.append(owner[1:] == owner[:-1], False)[: len(ids)]
     ended = np.bincount(sent[own_end], minlength=n) > 0
     words = np.bincount(sent[ids >= 0], minlength=n)
-    return ended & (words >= LEAST) & (np.bincount(sent[ids == -2], minlength=n) <= words) & (2 * np.bincount(sent[capitals], minlength=n) <= words)
+    return ended & (np.bincount(sent[ids == -2], minlength=n) <= words) & (2 * np.bincount(sent[capitals], minlength=n) <= words)
 
 
 def softmax(cos: np.ndarray) -> np.ndarray:
@@ -216,12 +231,15 @@ def softmax(cos: np.ndarray) -> np.ndarray:
 
 
 def segments(reader: Reader, texts) -> pd.DataFrame:
-    """Segments of texts: text, first, last (runs), lang, confidence, words, whole (holds a whole sentence); neighbours of one language merged."""
+    """Segments of texts: text, first, last (runs), inside (where in the first run it starts), lang, confidence, words, whole (holds a whole sentence).
+
+    Neighbours of one language are merged."""
     ids, owner, run = reader.batch(texts)
     prose = _prose(ids, owner, reader.capitals)
     shown = reader.capitals[ids >= 0]
+    places = reader.places[ids >= 0]
     sent, w, own, run = sentences(ids, owner, run)
-    columns = ["text", "first", "last", "lang", "confidence", "words", "whole"]
+    columns = ["text", "first", "last", "inside", "lang", "confidence", "words", "whole"]
     if not len(w):
         return pd.DataFrame({c: [] for c in columns})
     dots, norm2, size = np.array(reader.dots), np.array(reader.norm2), np.array(reader.size)
@@ -239,7 +257,8 @@ def segments(reader: Reader, texts) -> pd.DataFrame:
     each = np.arange(len(start))
     han = np.array(reader.size)[w[start]] < 1
     goes_on = ~shown[start] & ~han & np.append(False, shown[start[1:] - 1] & (text[1:] == text[:-1]))
-    whole = prose[sent[start]] & ~goes_on & (cos[each, lang] - cos[each, total.argmax(1)[text]] >= MARGIN)
+    lead = np.where(np.diff(np.append(start, len(w))) >= LEAST, MARGIN, CLEAR)
+    whole = prose[sent[start]] & ~goes_on & (cos[each, lang] - cos[each, total.argmax(1)[text]] >= lead)
     # short sentences take the language of the longer one before them in the text, else of the next
     firm = (words >= SHORT) | whole
     index = np.arange(len(start))
@@ -255,7 +274,7 @@ def segments(reader: Reader, texts) -> pd.DataFrame:
     best = lang[change]
     end = np.append(start[1:], len(w)) - 1
     out = pd.DataFrame(
-        {"text": own[start], "first": run[start], "last": run[end], "lang": best, "confidence": np.round(share[np.arange(len(best)), best], 6), "words": words,
+        {"text": own[start], "first": run[start], "last": run[end], "inside": places[start], "lang": best, "confidence": np.round(share[np.arange(len(best)), best], 6), "words": words,
          "whole": np.logical_or.reduceat(whole, np.flatnonzero(change))}
     )
     return out
@@ -328,6 +347,32 @@ def fitted(frames: list[tuple[DataFrame, str, str]], spelling: dict[str, str]) -
     return prototypes(Space(), texts, labels)
 
 
+RUN = re.compile(r"\S+")
+SEGMENT = "struct<first_char: int, end_char: int, lang: string, confidence: double, words: double>"
+
+
+def _placed(texts, s: pd.DataFrame) -> list[list[dict]]:
+    """Segments of each text with their characters: the first one starts at 0, each ends where the next starts, the last with the text."""
+    out: list[list[dict]] = [[] for _ in texts]
+    for i, g in s.groupby("text") if len(s) else ():
+        t = texts[int(i)]
+        runs = [m.start() for m in RUN.finditer(t)]
+        begin = [runs[r] + o for r, o in zip(g["first"].astype(int), g["inside"].astype(int))]
+        begin[0] = 0
+        for a, b, lang, sure, words in zip(begin, [*begin[1:], len(t)], g["lang"], g["confidence"], g["words"]):
+            out[int(i)].append({"first_char": a, "end_char": b, "lang": lang, "confidence": float(sure), "words": float(words)})
+    return out
+
+
+def reliability(protos, texts: list[str], labels: list[str], bins=(0.0, 0.5, 0.8, 0.95, 0.99, 1.0)) -> list[tuple[float, float, int]]:
+    """(mean confidence, share of right ones, number) of the segments of texts of one known language, by confidence."""
+    s = segments(Reader(Space(), protos), texts)
+    right = np.array([LANGUAGES[int(k)] == labels[int(t)] for k, t in zip(s["lang"], s["text"])], bool)
+    sure = s["confidence"].to_numpy(float)
+    at = np.clip(np.digitize(sure, bins) - 1, 0, len(bins) - 2)
+    return [(float(sure[at == b].mean()), float(right[at == b].mean()), int((at == b).sum())) for b in range(len(bins) - 1) if (at == b).any()]
+
+
 def _read(protos, spelling, detail: bool):
     def run(frames):
         reader = Reader(Space(), protos)
@@ -335,14 +380,7 @@ def _read(protos, spelling, detail: bool):
             s = segments(reader, f["text"].tolist())
             s["lang"] = np.array(LANGUAGES, object)[s["lang"].astype(int)] if len(s) else s["lang"]
             if detail:
-                s["segment"] = s.groupby("text").cumcount() + 1 if len(s) else []
-                j = s["text"].astype(int)
-                yield pd.DataFrame(
-                    {
-                        "record_id": f["key"].to_numpy()[j], "version": f["version"].to_numpy()[j], "segment": s["segment"].astype(int),
-                        "first_run": s["first"].astype(int), "last_run": s["last"].astype(int), "lang": s["lang"], "confidence": s["confidence"], "words": s["words"],
-                    }
-                )
+                yield pd.DataFrame({"key": f["key"], "version": f["version"], "segments": _placed(f["text"].tolist(), s)})
                 continue
             found: list[list[str]] = [[] for _ in range(len(f))]
             if len(s):
@@ -372,14 +410,13 @@ def languages(df: DataFrame, key: str, text: str, version: str, protos, spelling
 
 
 def record_segments(df: DataFrame, key: str, text: str, version: str, protos, spelling) -> DataFrame:
-    """(record_id, segment, first_run, last_run, lang, confidence, words) of each record's latest row."""
+    """(record_id, segment, first_char, end_char, lang, confidence, words) of each record's latest row; texts don't move."""
     r = rows(df, key, text, version)
     kind = dict(r.dtypes)["version"]
-    newest = r.groupBy("key").agg(F.max(F.struct("version", F.xxhash64("text"))).alias("x")).select("key", F.col("x.version").alias("version"), F.col("x.col2").alias("h"))
-    one = r.withColumn("h", F.xxhash64("text")).join(newest.withColumnRenamed("version", "v"), ["key", "h"]).where(F.col("version").eqNullSafe(F.col("v")))
-    one = one.select("key", "version", "lang", "text")
-    schema = f"record_id string, version {kind}, segment int, first_run int, last_run int, lang string, confidence double, words double"
-    return one.mapInPandas(_read(protos, spelling, True), schema).drop("version").distinct()
+    out = r.mapInPandas(_read(protos, spelling, True), f"key string, version {kind}, segments array<{SEGMENT}>")
+    out = out.groupBy("key").agg(F.max(F.struct("version", "segments")).alias("x"))
+    out = out.select(F.col("key").alias("record_id"), F.posexplode("x.segments").alias("segment", "s"))
+    return out.select("record_id", (F.col("segment") + 1).alias("segment"), "s.*")
 
 
 def _over(spark, sf_dir, each):
@@ -407,5 +444,5 @@ def found(spark, sf_dir) -> DataFrame:
 def segment_languages(spark, sf_dir) -> DataFrame:
     out = _over(spark, sf_dir, record_segments)
     if out is None:
-        return spark.createDataFrame([], "table_name string, record_id string, segment int, first_run int, last_run int, lang string, confidence double, words double")
-    return out.select("table_name", "record_id", "segment", "first_run", "last_run", "lang", "confidence", "words")
+        return spark.createDataFrame([], "table_name string, record_id string, segment int, first_char int, end_char int, lang string, confidence double, words double")
+    return out.select("table_name", "record_id", "segment", "first_char", "end_char", "lang", "confidence", "words")

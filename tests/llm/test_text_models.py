@@ -67,6 +67,22 @@ def test_segments_cover_the_text_in_order(protos):
     assert (s["confidence"] > 0.9).all()
 
 
+def test_segments_have_characters(protos):
+    parts = [("旧客户端仍在写入共享队列，要在封版之前完成。", "zh"), ("Nobody reads the old logs and the totals drift apart otherwise.", "en"), ("没有人会看旧日志，否则总数对不上。", "zh")]
+    text = "".join(p for p, _ in parts)
+    f = pd.DataFrame({"key": ["a", "b"], "version": 0, "lang": "x", "text": [text, "\u3000 Ｎｏｂｏｄｙ reads the old logs. " + SENTENCES["de"][0]]})
+    got = next(L._read(protos, {}, True)([f]))["segments"].tolist()
+    assert [(text[s["first_char"] : s["end_char"]], s["lang"]) for s in got[0]] == parts
+    assert [f["text"][1][s["first_char"] :][:3] for s in got[1]] == ["\u3000 Ｎ", "Der"]
+
+
+def test_confidence_is_reliable(protos):
+    texts = [s[k] for s in SENTENCES.values() for k in range(3)]
+    labels = [x for x in SENTENCES for _ in range(3)]
+    table = L.reliability(protos, texts, labels)
+    assert sum(n for _, _, n in table) >= 15 and sum(abs(c - r) * n for c, r, n in table) / sum(n for _, _, n in table) < 0.1
+
+
 def test_language_rows(spark, protos):
     schema = "k string, lang string, body string, v timestamp, text string"
     rows = [("a", "en", SENTENCES["de"][0], None, "x"), ("a", "en", SENTENCES["de"][0], None, "x"), (None, "en", "x", None, "x"), ("b", None, None, None, "x")]
