@@ -69,6 +69,25 @@ SECRET_PATTERNS = [
     r"(?i)bearer\s+[A-Za-z0-9._-]{16,}",
 ]
 
+HIGH_ENTROPY = 3.5
+HIGH_ENTROPY_MARK = "[REDACTED:high_entropy]"
+
+# commands too common to ground a trigger
+GENERIC_COMMANDS = [
+    "git", "npm", "pnpm", "yarn", "make", "cargo", "python", "python3", "pip", "node", "go",
+    "ls", "cd", "cat", "bash", "sh", "exec", "run", "test", "build", "docker", "pytest", "jest",
+    "vitest", "uv", "poetry", "tsc", "eslint", "cargo test", "go test", "npm test", "npm install",
+]
+
+# dates and day counts in text
+NAMED_DATE = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?\b(?:,?\s+(\d{4}))?"
+NUMERIC_DATE = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
+DAY_COUNT = r"\b(\d{1,4})\s+days?\b"
+
+# files and exit codes in tool results
+FILE_PATH = r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+\b"
+EXIT_CODE = r"(?i)(?:exit(?:ed)?(?:\s+with)?(?:\s+code|\s+status)?|return code)\s*[:=]?\s*(-?\d+)"
+
 # error signature: what is replaced by what, in this order
 SIGNATURE_STEPS = [
     (r"/tmp/\S+|/var/folders/\S+", "<temp>"),

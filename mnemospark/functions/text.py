@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mnemospark.functions.lists import CJK_STOP, EN_STOP, SECRET_PATTERNS, SIGNATURE_STEPS
+from mnemospark.functions.lists import CJK_STOP, EN_STOP, HIGH_ENTROPY, HIGH_ENTROPY_MARK, SECRET_PATTERNS, SIGNATURE_STEPS
 
 CJK = r"぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 
@@ -85,6 +85,48 @@ def redact_patterns(text: Column) -> Column:
     return text
 
 
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a token's characters in bits."""
+    chars = F.filter(F.split(token, ""), lambda c: c != "")
+    n = F.size(chars)
+
+    def part(total, c):
+        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        return total - p * F.log2(p)
+
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), part)
+
+
+def redact(text: Column) -> Column:
+    """Secrets of known form, then tokens of 32 characters or more that look random, become marks."""
+    run = r"[A-Za-z0-9_-]"
+    pieces = F.split(redact_patterns(text), f"(?<!{run})(?={run}{{32}})|(?<={run}{{32}})(?!{run})")
+
+    def hidden(p: Column) -> Column:
+        core = F.regexp_replace(p, "^-+|-+$", "")
+        random = p.rlike(f"^{run}+$") & (F.length(core) >= 32) & (entropy(core) >= HIGH_ENTROPY)
+        return F.when(random, F.concat(F.regexp_extract(p, "^-*", 0), F.lit(HIGH_ENTROPY_MARK), F.regexp_extract(p, "-*$", 0))).otherwise(p)
+
+    return F.when(text.rlike(f"{run}{{32}}"), F.array_join(F.transform(pieces, hidden), "")).otherwise(redact_patterns(text))
+
+
+def redact_json(text: Column) -> Column:
+    """Redaction of the string values of a JSON document: each value is redacted by itself, keys and structure stay.
+
+    A text that is no JSON document is redacted as a whole. The document is cut at its string literals; a literal is a key if a colon follows it.
+    """
+    literal = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    pieces = F.regexp_extract_all(text, F.lit(f'{literal}|[^"]+'), F.lit(0))
+
+    def value(x: Column, i: Column) -> Column:
+        key = F.coalesce(F.get(pieces, i + 1), F.lit("")).rlike(r"^\s*:")
+        inner = F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))
+        shown = F.to_json(F.array(redact(inner)))
+        return F.when(x.rlike(f"^{literal}$") & ~key, F.substring(shown, F.lit(2), F.length(shown) - 2)).otherwise(x)
+
+    return F.when(F.try_parse_json(text).isNotNull(), F.array_join(F.transform(pieces, value), "")).otherwise(redact(text))
+
+
 def error_signature(text: Column) -> Column:
     """First line that tells of an error, with its variable parts replaced; null if there is none."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("error|failed|exception|panic|traceback"))

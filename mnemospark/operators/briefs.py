@@ -5,75 +5,103 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-MONTHS = {m: i for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
-NAMED = re.compile(rf"\b({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?", re.I)
-NUMERIC = re.compile(r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b")
-DAYS = re.compile(r"\b(\d+)\s+days?\b")
+from mnemospark.functions.lists import DAY_COUNT, NAMED_DATE, NUMERIC_DATE
+
+MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+NAMED, NUMERIC, DAYS = re.compile(NAMED_DATE), re.compile(NUMERIC_DATE), re.compile(DAY_COUNT)
 
 
 def dates(text: str) -> list[tuple[int | None, int, int]]:
     """(year, month, day) of named and numeric dates in order of appearance."""
-    found = [(m.start(), int(m.group(3)) if m.group(3) else None, MONTHS[m.group(1).lower()], int(m.group(2))) for m in NAMED.finditer(text)]
-    found += [(m.start(), int(m.group(1)), int(m.group(2)), int(m.group(3))) for m in NUMERIC.finditer(text)]
-    return [d[1:] for d in sorted(found)]
+    named = ((m.start(), m[3] and int(m[3]), MONTHS[m[1].lower()], int(m[2])) for m in NAMED.finditer(text))
+    numeric = ((m.start(), int(m[1]), int(m[2]), int(m[3])) for m in NUMERIC.finditer(text))
+    return [d[1:] for d in sorted((*named, *numeric), key=lambda d: d[0])]
+
+
+def _span(a, b, wrap: bool) -> tuple[dt.date, dt.date] | None:
+    """Two named dates as days, each without a year in the other's; with ``wrap``, a second one without a year never lies before the first."""
+    years = a[0] or b[0], b[0] or a[0]
+    if None in years:
+        return None
+    try:
+        first, second = dt.date(years[0], *a[1:]), dt.date(years[1], *b[1:])
+        if wrap and second < first and b[0] is None:
+            second = second.replace(year=second.year + 1)
+    except ValueError:
+        return None
+    return first, second
 
 
 def days_between(a: str, b: str) -> str:
-    """Calendar days from a to b with weeks and remainder."""
-    n = abs((dt.date.fromisoformat(b) - dt.date.fromisoformat(a)).days)
-    weeks, rest = divmod(n, 7)
-    return f"{n} days ({weeks} weeks and {rest} days)"
+    """Calendar days between the first dates of two texts, with weeks and remainder."""
+    found = [dates(x)[:1] for x in (a, b)]
+    span = _span(found[0][0], found[1][0], False) if all(found) else None
+    if not span:
+        return "error: could not read the dates (use YYYY-MM-DD)"
+    n = (span[1] - span[0]).days
+    weeks, rest = divmod(abs(n), 7)
+    return f"{n} days from {span[0]} to {span[1]} ({weeks} weeks and {rest} days)"
 
 
 def check_days(brief: str) -> str:
-    """On the ``Answer:`` line: the one day count is replaced by the difference of its first and last date; a missing year is
-    borrowed from the other date, and a range that would run backwards wraps over the year's end."""
-    out = []
-    for line in brief.split("\n"):
-        counts, found = DAYS.findall(line), dates(line)
-        if line.startswith("Answer:") and len(counts) == 1 and len(found) >= 2:
-            (y1, m1, d1), (y2, m2, d2) = found[0], found[-1]
-            y1, y2 = y1 or y2 or 2000, y2 or y1 or 2000
-            try:
-                a, b = dt.date(y1, m1, d1), dt.date(y2, m2, d2)
-                if b < a and (found[0][0] is None or found[-1][0] is None):
-                    b = dt.date(y2 + 1, m2, d2)
-                line = DAYS.sub(f"{abs((b - a).days)} days", line)
-            except ValueError:
-                pass
-        out.append(line)
-    return "\n".join(out)
-
-
-CALL = re.compile(r"^\s*LOOKUP\s+(search|user_messages|read_turns|timeline|days_between)\s*:\s*(.*)$", re.I)
-CALLS, ROUNDS = 4, 4
+    """The line from ``Answer:`` on: its only day count becomes the difference of its first two dates; anything less certain stays."""
+    at = brief.find("Answer:")
+    if at < 0:
+        return brief
+    line, rest = (brief[at:].split("\n", 1) + [None])[:2]
+    counts, named = list(DAYS.finditer(line)), dates(line)
+    span = _span(named[0], named[1], True) if len(counts) == 1 and len(named) >= 2 else None
+    if not span:
+        return brief
+    n = abs((span[1] - span[0]).days)
+    if n != int(counts[0][1]):
+        line = f"{line[: counts[0].start()]}{n} {'day' if n == 1 else 'days'}{line[counts[0].end() :]}"
+    return brief[:at] + line + ("" if rest is None else "\n" + rest)
+
+
+CALL = re.compile(r"\W*lookup\s+([a-z_]+)\s*:?\s*(.*)", re.I)
+SPAN = re.compile(r"#?(\d+)\s*(?:-|–|to)\s*#?(\d+)")
+CALLS, ROUNDS, RESULT, WHOLE, WHOLE_CHARS, RELEVANT, RANGE, MESSAGE = 4, 4, 12_000, 4, 4_000, 25, 60, 700
 
 
 def calls(reply: str) -> list[tuple[str, str]]:
-    """Lookup calls of a reply, at most four."""
-    return [(m.group(1).lower(), m.group(2).strip()) for m in map(CALL.match, reply.split("\n")) if m][:CALLS]
+    """Lookups of a reply that starts with one, at most four: (kind, argument)."""
+    lines = [x.strip() for x in reply.split("\n") if x.strip() and not x.strip().startswith("```")]
+    found = [CALL.fullmatch(x) for x in lines]
+    return [(m[1].lower(), m[2].strip().strip('"`').strip()) for m in found if m][:CALLS] if found and found[0] else []
+
+
+def _short(text: str, most: int) -> str:
+    return text if len(text) <= most else text[:most] + "…"
+
 
+def run(call: tuple[str, str], turns, search, ranked=None, timeline=None) -> str:
+    """One lookup over a turns DataFrame (number, observed_at, text, reply) of one project.
 
-def run(call: tuple[str, str], turns, search) -> str:
-    """One lookup over a turns DataFrame (number, text, reply); ``search`` answers a text query."""
+    ``search`` answers a text query; ``ranked`` gives the turn numbers of a query, best first; ``timeline`` a text.
+    """
     from pyspark.sql import functions as F
 
     kind, arg = call
+    said = lambda r: r["observed_at"] or "date unknown"
     if kind == "days_between":
-        a, b = re.findall(r"\d{4}-\d{2}-\d{2}", arg)[:2]
+        a, b = (re.split(r"\s*\|\s*| to | and ", arg, maxsplit=1) + [""])[:2]
         return days_between(a, b)
     if kind == "search":
-        return search(arg)
+        return (search(arg) or "Nothing found.")[:RESULT]
     if kind == "timeline":
-        s = turns.agg(F.min("number"), F.max("number"), F.count("*")).first()
-        return f"#{s[0]}–#{s[1]}, {s[2]} messages"
-    span = re.fullmatch(r"\s*(\d+)\s*-\s*(\d+)\s*", arg)
-    numbers = [int(x) for x in re.findall(r"\d+", arg)]
-    if span:
-        rows = turns.where(F.col("number").between(int(span.group(1)), int(span.group(2))))
-    elif kind == "read_turns":
-        rows = turns.where(F.col("number").isin(numbers[:10]))
+        return ((timeline() if timeline else None) or "No timeline.")[:RESULT]
+    if kind == "read_turns":
+        wanted = [int(x) for x in re.findall(r"\d+", arg)][:WHOLE]
+        rows = turns.where(F.col("number").isin(wanted)).orderBy("number").select("number", "observed_at", "text", "reply").limit(WHOLE).collect()
+        whole = [_short(f"### Turn #{r['number']} [{said(r)}]\nUser: {r['text']}\nAssistant: {r['reply'] or ''}", WHOLE_CHARS) for r in rows]
+        return "\n\n".join(whole)[:RESULT] or "No such turns."
+    if kind != "user_messages":
+        return f"error: unknown lookup {kind}"
+    if m := SPAN.fullmatch(arg):
+        rows = turns.where(F.col("number").between(int(m[1]), int(m[2])) & (F.col("text") != "")).orderBy("number").limit(RANGE)
     else:
-        rows = turns.where(F.contains(F.lower("text"), F.lit(arg.lower())))
-    lines = rows.orderBy("number").limit(40).select("number", "text", "reply").collect()
-    return "\n".join(f"#{r['number']} {r['text']}" + (f"\n  → {r['reply']}" if kind == "read_turns" and r["reply"] else "") for r in lines)
+        best = [int(n) for n in (ranked(arg) if ranked else [])][:RELEVANT]
+        rows = turns.where(F.col("number").isin(best)).orderBy("number").limit(RELEVANT)
+    lines = [f"- #{r['number']} [{said(r)}] {_short(r['text'], MESSAGE)}".replace("\n", " ") for r in rows.select("number", "observed_at", "text").collect()]
+    return "\n".join(lines)[:RESULT] or "No messages."

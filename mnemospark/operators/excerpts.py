@@ -29,49 +29,42 @@ def windows(text: str, size: int) -> list[str]:
 
 
 def chunks(entries: list[tuple[str, str]], size: int = EXCERPT) -> list[str]:
-    """(role, text) entries of a session to excerpts; a piece of a long reply carries the head of its question."""
-    out: list[str] = []
-    question, current = "", ""
+    """(role, text) entries of a session to excerpts of user and assistant messages.
+
+    A user message opens an excerpt, replies join it while there is room; an excerpt that opens with a reply repeats the head of
+    its question. Pieces of a long message after the first carry an ellipsis.
+    """
+    out: list[list[str]] = []  # lines of each excerpt
+    length, head, fresh = 0, "", True
     for role, text in entries:
         text = (text or "").strip()
-        if not text or role in ("system", "developer"):
+        if role not in ("user", "assistant") or not text:
             continue
-        line = f"[{role}] {text}"
         if role == "user":
-            if current:
-                out.append(current)
-            question, current = line[:PREFIX], ""
-        if len(current) + len(line) + 1 <= size:
-            current = f"{current}\n{line}" if current else line
-            continue
-        if current:
-            out.append(current)
-            current = ""
-        pieces = windows(line, size)
-        for i, p in enumerate(pieces):
-            head = f"{question} …\n" if question and not (role == "user" and i == 0) else ""
-            if i < len(pieces) - 1:
-                out.append(head + p)
-            else:
-                current = head + p
-    if current:
-        out.append(current)
-    return out[:PER_SESSION]
+            head, fresh = text[:PREFIX], True
+        for i, piece in enumerate(windows(text, size)):
+            line = f"[{role}] {'…' if i else ''}{piece}"
+            if fresh or length + len(line) > size:
+                out.append([f"[user] {head}\n"] if role == "assistant" and head else [])
+                fresh = False
+            out[-1].append(line)
+            length = len("\n".join(out[-1]))
+    return ["\n".join(x) for x in out][:PER_SESSION]
+
+
+HEAD = re.compile(r"#{1,6}\s+(.+)")
+LEAD = re.compile(r"(?:[-*•]\s+|\d+[.)]\s+)?\*\*(.+?)\*\*")
 
 
 def outline(reply: str | None) -> str | None:
-    """First sentence, headings and bold lead-ins, distinct, at most 500 characters."""
-    if not reply or not reply.strip():
+    """First sentence or line (160 characters), then headings and bold lead-ins, distinct, at most 500 characters; None for a blank reply."""
+    reply = (reply or "").strip()
+    if not reply:
         return None
-    parts = []
-    plain = next((x.strip() for x in reply.split("\n") if x.strip() and not x.lstrip().startswith(("#", "-", "*", "`", ">"))), "")
-    if plain:
-        parts.append(re.split(r"(?<=[.!?。！？])\s", plain)[0][:160])
-    for line in reply.split("\n"):
-        m = re.match(r"\s*#{1,6}\s+(.+)", line) or re.match(r"\s*(?:[-*\d.]+\s+)?\*\*(.+?)\*\*", line)
-        if m:
-            parts.append(m.group(1).strip(" :*#"))
-    return "; ".join(dict.fromkeys(p for p in parts if p))[:500] or None
+    first = re.match(r"[^.!?\n]*[.!?\n]?", reply).group().strip()[:160]
+    marked = [HEAD.fullmatch(x) or LEAD.match(x) for x in map(str.strip, reply.split("\n"))]
+    items = dict.fromkeys(x for x in (m[1].strip().rstrip(":").strip() for m in marked if m) if x)
+    return " | ".join([first, "; ".join(items)] if items else [first])[:500]
 
 
 def session_excerpts(turns: DataFrame) -> DataFrame:

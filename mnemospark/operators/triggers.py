@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.lists import GENERIC_COMMANDS
+
 
 def glob_regex(pattern: Column) -> Column:
     """A glob as an anchored regular expression; ``**/`` spans directories, a relative glob also matches below any directory."""
@@ -50,17 +52,36 @@ def mentions(text: Column, entity: Column) -> Column:
     return F.when(entity.rlike("[⺀-鿿가-힯]"), F.contains(text, entity)).when(F.length(entity) < 3, F.lit(False)).otherwise(word)
 
 
-# fixed values: commands too common to ground a trigger
-GENERIC = "ls cd cat echo git npm run test build make sh bash python node cargo go pip docker curl grep find sed awk rm mv cp mkdir touch sudo ssh exit".split()
-LITERAL = {"file": 3, "error": 6, "tool": 4, "keyword": 4}
-
-
 def grounded(proposed: Column, transcript: Column) -> Column:
-    """Proposed triggers whose longest literal occurs in the transcript; distinct, at most three."""
-    literal = lambda t: F.element_at(F.array_sort(F.split(F.lower(t["pattern"]), r"[*?\[\]{}]"), lambda a, b: F.length(b) - F.length(a)), 1)
-    least = lambda t: F.when(t["kind"] == "file", 3).when(t["kind"] == "error", 6).otherwise(4)
-    ok = lambda t: (F.length(literal(t)) >= least(t)) & ~F.lower(t["pattern"]).isin(GENERIC) & F.contains(F.lower(transcript), literal(t))
-    return F.slice(F.array_distinct(F.filter(proposed, ok)), 1, 3)
+    """Proposed triggers (kind, pattern) that the transcript bears out, distinct, at most three.
+
+    file: the longest literal of the glob, three characters or more beside slashes; error: the whole text, six or more; command,
+    tool and keyword: the whole text, four or more and no common command, as keyword triggers. Patterns have at most 200 characters.
+    """
+    said = F.lower(transcript)
+
+    def read(t: Column) -> Column:
+        pattern = F.trim(t["pattern"])
+        kind = F.when(t["kind"].isin("command", "tool", "keyword"), F.lit("keyword")).otherwise(t["kind"])
+        return F.struct(kind.alias("kind"), pattern.alias("pattern"))
+
+    def ok(t: Column) -> Column:
+        low = F.lower(t["pattern"])
+        literal = F.reduce(F.split(low, r"[*?\[{]"), F.lit(""), lambda best, x: F.when(F.length(x) >= F.length(best), x).otherwise(best))
+        hit = (
+            F.when(t["kind"] == "file", (F.length(F.regexp_replace(literal, "^/+|/+$", "")) >= 3) & F.contains(said, literal))
+            .when(t["kind"] == "error", (F.length(low) >= 6) & F.contains(said, low))
+            .when(t["kind"] == "keyword", (F.length(low) >= 4) & ~low.isin(GENERIC_COMMANDS) & F.contains(said, low))
+        )
+        return F.coalesce(hit & (F.length(t["pattern"]) <= 200), F.lit(False))
+
+    return F.slice(F.array_distinct(F.filter(F.transform(proposed, read), ok)), 1, 3)
+
+
+def grounded_entities(entities: Column, transcript: Column) -> Column:
+    """Entities that the transcript names."""
+    said = F.lower(transcript)
+    return F.array_distinct(F.filter(F.transform(entities, lambda e: F.trim(e)), lambda e: (e != "") & F.contains(said, F.lower(e))))
 
 
 def health(fired_labelled: DataFrame) -> DataFrame:

@@ -10,10 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests), an own one that is removed at exit."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets an own one, removed at exit; a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
         atexit.register(shutil.rmtree, path[len("file://"):], True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -34,13 +39,29 @@ def written(df: DataFrame, tag: str = "t", by: list[str] | None = None) -> DataF
     writer.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    _tables.append((spark, path))
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release() -> None:
+    """Delete all tables written so far; call it when the results that read them are stored. Runs at exit, too."""
+    while _tables:
+        try:
+            _delete(*_tables.pop())
+        except Exception:  # the session has ended
+            pass
+
+
+atexit.register(release)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a written table that no later plan reads; its rows live on only in what was written from it."""
     path = getattr(table, "_written_path", None)
     if path:
-        spark = table.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(table.sparkSession, path)

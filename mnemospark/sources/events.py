@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import redact_patterns
+from mnemospark.functions.text import redact_json
 
 TRACE = "query string, project string, features string, moment string, expected_memory_ids array<string>"
 QUESTION = "id string, query string, project string"
@@ -24,7 +24,7 @@ def opened(blob: Column, key: Column) -> Column:
 def appended(events: DataFrame, key: bytes) -> DataFrame:
     """Rows for the log: features redacted, payload sealed."""
     k = F.lit(bytearray(key))
-    return events.select("id", "ts", "agent", "project", "session_id", "kind", redact_patterns(F.col("features")).alias("features"), sealed(F.col("payload"), k).alias("payload"))
+    return events.select("id", "ts", "agent", "project", "session_id", "kind", redact_json(F.col("features")).alias("features"), sealed(F.col("payload"), k).alias("payload"))
 
 
 def session_events(log: DataFrame, session: str, since: str | None = None) -> DataFrame:

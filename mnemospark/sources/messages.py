@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.lists import EXIT_CODE, FILE_PATH
+
 # protocol: where its messages are
 MESSAGE_PATHS = {"chat": "messages", "messages": "messages", "responses": "input"}
 PART = "array<struct<type:string,text:string,name:string,id:string,tool_use_id:string,input:string,content:string>>"
@@ -56,11 +58,11 @@ def tool_result(messages: Column) -> Column:
 
 
 def files_of(output: Column, most: int = 8) -> Column:
-    return F.slice(F.regexp_extract_all(output, F.lit(r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+\b"), F.lit(0)), 1, most)
+    return F.slice(F.regexp_extract_all(output, F.lit(FILE_PATH), F.lit(0)), 1, most)
 
 
 def exit_code(output: Column) -> Column:
-    return F.nullif(F.regexp_extract(output, r"(?i)(?:exit(?:ed)?(?:\s+with)?(?:\s+code|\s+status)?|return code)\s*[:=]?\s*(-?\d+)", 1), F.lit("")).cast("bigint")
+    return F.nullif(F.regexp_extract(output, EXIT_CODE, 1), F.lit("")).cast("bigint")
 
 
 def usage(body: Column) -> Column:

@@ -78,7 +78,8 @@ def test_excerpts(spark):
     assert [len(x) for x in excerpts.windows("字" * 2500, 1000)] == [1000, 1000, 500]
     c = excerpts.chunks([("system", "no"), ("user", "what about " + "q" * 50), ("assistant", "word " * 900), ("user", "next")])
     assert len(c) > 3 and all(len(x) <= 1520 for x in c) and all("what about" in x for x in c[:-1]) and c[-1] == "[user] next"
-    assert excerpts.outline("Do this first. Then that.\n# Plan\n- **Step one**: x") == "Do this first.; Plan; Step one"
+    assert excerpts.outline("Do this first. Then that.\n# Plan\n- **Step one:** x\n1. **Plan**") == "Do this first. | Plan; Step one"
+    assert excerpts.outline("# Top\nrest") == "# Top | Top" and excerpts.outline(" ") is None
     t = spark.createDataFrame([("s", 1, "user", "a"), ("s", 2, "assistant", "b"), ("s", 3, "user", "a"), ("s", 4, "assistant", "b")], "session_id string, turn_no int, role string, text string")
     assert [r["excerpt"] for r in excerpts.session_excerpts(t).orderBy("seq").collect()] == ["[user] a\n[assistant] b"]
     assert "cat" in excerpts.trimmed("One. " * 50 + "The cat sat. " + "Two. " * 50, "where sat the cat", 40)
@@ -100,16 +101,41 @@ def test_dossiers(spark):
 def test_briefs():
     assert briefs.check_days("Answer: 67 days, from March 3 to May 6, 2024") == "Answer: 64 days, from March 3 to May 6, 2024"
     assert briefs.check_days("Answer: 3 days or 5 days from March 3 to May 6") == "Answer: 3 days or 5 days from March 3 to May 6"
-    assert briefs.check_days("Answer: 1 days from December 30 to January 2") == "Answer: 3 days from December 30 to January 2"
-    assert briefs.days_between("2024-01-01", "2024-01-17") == "16 days (2 weeks and 2 days)"
-    assert briefs.calls("x\nLOOKUP search: cats\nLOOKUP read_turns: 3, 4") == [("search", "cats"), ("read_turns", "3, 4")]
+    assert briefs.check_days("Answer: 5 days from December 30, 2023 to January 2") == "Answer: 3 days from December 30, 2023 to January 2"
+    for stays in ("Answer: 1 days from December 30 to January 2", "Answer: 16 days, from April 5 to April 21, 2024, noted May 1.", "5 days from March 3 to May 6, 2024"):
+        assert briefs.check_days(stays) == stays
+    assert briefs.check_days("x\nAnswer: 4 days, Jan. 3, 2024 to Jan 4, noted May 1\ny") == "x\nAnswer: 1 day, Jan. 3, 2024 to Jan 4, noted May 1\ny"
+    assert briefs.dates("on Sept 3rd, 2021, then 2022/1/05") == [(2021, 9, 3), (2022, 1, 5)]
+    assert briefs.days_between("2024-01-01", "January 17") == "16 days from 2024-01-01 to 2024-01-17 (2 weeks and 2 days)"
+    assert briefs.days_between("soon", "2024-01-01").startswith("error")
+    assert briefs.calls("LOOKUP search: cats\nx\n- lookup read_turns: #3, #4") == [("search", "cats"), ("read_turns", "#3, #4")] and briefs.calls("DONE\nLOOKUP search: x") == []
 
 
 def test_lookups(spark):
-    t = spark.createDataFrame([(1, "about cats", "meow"), (2, "dogs", None)], "number int, text string, reply string")
-    assert briefs.run(("user_messages", "CATS"), t, None) == "#1 about cats"
-    assert briefs.run(("read_turns", "1"), t, None) == "#1 about cats\n  → meow"
-    assert briefs.run(("timeline", ""), t, None) == "#1–#2, 2 messages"
+    t = spark.createDataFrame([(1, "2024-01-01", "about cats", "meow"), (2, None, "dogs", None)], "number int, observed_at string, text string, reply string")
+    assert briefs.run(("user_messages", "cats"), t, None, ranked=lambda q: [1]) == "- #1 [2024-01-01] about cats"
+    assert briefs.run(("user_messages", "#1-#2"), t, None) == "- #1 [2024-01-01] about cats\n- #2 [date unknown] dogs"
+    assert briefs.run(("read_turns", "#1"), t, None) == "### Turn #1 [2024-01-01]\nUser: about cats\nAssistant: meow"
+    assert briefs.run(("timeline", ""), t, None) == "No timeline." and briefs.run(("read_turns", "9"), t, None) == "No such turns."
+    assert briefs.run(("days_between", "2024-01-01 | 2024-01-03"), t, None).startswith("2 days") and briefs.run(("fly", ""), t, None).startswith("error")
+
+
+def test_redaction_of_values(spark):
+    key = "Ab3dE6gH1jK4mN7pQ0rS2tU5vW8xY9zC"
+    f = lambda x: spark.createDataFrame([(x,)], "x string").select(T.redact_json(F.col("x")), T.redact(F.col("x"))).first()
+    got = f(json.dumps({"token": "abc", "text": "password: hunter2 ok", "n": [1, "sk-" + "a1" * 12, {"k": key}], "q": 'say "x"'}))[0]
+    assert json.loads(got) == {"token": "abc", "text": "[REDACTED] ok", "n": [1, "[REDACTED]", {"k": "[REDACTED:high_entropy]"}], "q": 'say "x"'}
+    assert f(f"key -{key}- end")[1] == "key -[REDACTED:high_entropy]- end" and f("a" * 40)[1] == "a" * 40 and f("token=abc")[0] == "[REDACTED]"
+
+
+def test_grounding(spark):
+    said = "ran cargo test in src/kal/melvor.rs; error[E0308] mismatched types; deployctl rollout"
+    rows = [("command", "cargo test"), ("command", "deployctl"), ("file", "src/**/melvor.rs"), ("file", "*.rs"), ("error", "error[E0308]"), ("error", "E03"), ("tool", "deployctl"), ("command", "nothing"), ("command", None)]
+    df = spark.createDataFrame([(rows, said)], "p array<struct<kind: string, pattern: string>>, t string")
+    got = df.select(triggers.grounded(F.col("p"), F.col("t"))).first()[0]
+    assert [tuple(x) for x in got] == [("keyword", "deployctl"), ("file", "src/**/melvor.rs"), ("file", "*.rs")]
+    ents = spark.createDataFrame([(["Kal", "kal", "Zed", " "], said)], "e array<string>, t string").select(triggers.grounded_entities(F.col("e"), F.col("t"))).first()[0]
+    assert ents == ["Kal", "kal"]
 
 
 def test_classifier(spark):
@@ -130,13 +156,20 @@ def test_gate_decisions(spark):
 
 
 def test_memory_files(spark, tmp_path):
-    good = '---\nid: mem_1\ntype: fact\nscope: Web\nsource: user\ntopics: ["a", "b"]\n---\nThe body\nline two\n'
-    old = '---\nkind: rule\nproject: api\nmatch: {"tool": "bash", "text": "deploy"}\n---\nold body'
+    good = '---\nid: mem_1\ntype: fact\nscope: Web\nsource: user\ncreated_at: 2024-05-01\ntriggers:\n  - id: t1\n    kind: keyword\n    pattern: deploy it\ntopics: ["a", "b"]\n---\nThe body\nline two\n'
+    old = (
+        "---\nid: mem_2\ntype: state\ncard: The card\ntier: pinned\nsource: tool_output\nvalid_to: 2031-01-01\nevidence_events:\n- ev_1\ntriggers:\n- id: t9\n  on: step\n  when: pre_action\n  priority: high\n"
+        "  match:\n    tool: {equals: bash}\n    text: {glob: '*deploy*'}\n- on: step\n  match:\n    args.path: {regex: x.*y}\n---\nold body"
+    )
     for n, t in {"a.md": good, "b.md": old, "c.md": "no head", "d.md": "---\nid: x\n---\n"}.items():
         (tmp_path / n).write_text(t)
     rows = {r["path"].rsplit("/", 1)[1]: r for r in memory_files.read_memory_files(spark, str(tmp_path)).collect()}
     assert rows["a.md"]["memory"]["topics"] == ["a", "b"] and rows["a.md"]["memory"]["scope"] == "web" and rows["a.md"]["memory"]["confidence"] == 0.85
-    assert rows["b.md"]["version"] == "1" and rows["b.md"]["memory"]["triggers"][0]["kind"] == "keyword"
+    m = rows["a.md"]["memory"]
+    assert (m["type"], m["title"], m["created_at"], m["triggers"][0]["pattern"], rows["a.md"]["version"]) == ("fact", "The body", "2024-05-01", "deploy it", "2")
+    m = rows["b.md"]["memory"]
+    assert rows["b.md"]["version"] == "1" and (m["type"], m["title"], m["pinned"], m["source"], m["expires"], m["evidence"]) == ("fact", "The card", True, "observed", "2031-01-01", ["ev_1"])
+    assert [(t["kind"], t["pattern"], t["disabled"], t["before_action"]) for t in m["triggers"]] == [("keyword", "deploy", False, True), ("keyword", "x.*y", True, False)]
     assert rows["c.md"]["error"] == "no head" and rows["d.md"]["error"] == "empty body"
     out = tmp_path / "out"
     memory_files.write_memory_files(memory_files.read_memory_files(spark, str(tmp_path / "a.md")).where("error is null"), str(out))
