@@ -37,10 +37,56 @@ def semantic_scores(asked: DataFrame, stored: DataFrame, least: float) -> DataFr
         x, y = np.nonzero(s >= least)
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], "mem_id": right["mem_id"].to_numpy()[y], "semantic": s[x, y]})
 
+    q, m = q.toDF(*q.columns), m.toDF(*m.columns)  # both may come from one table
     keys = ["scope", "q", "m"]
     return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(run, "query_id string, mem_id string, semantic double")
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, item: str, k: int, least: float | None = None, different: bool = False) -> DataFrame:
+    """(key, item, similarity, place): the ``k`` rows of ``right`` (item, scope, v) with the greatest dot product for each row of ``left`` (key, scope, v).
+
+    Similarities are rounded to six digits, ties go to the smaller item; ``different``: a row is not its own neighbour. Both sides of a scope are cut into
+    blocks of about ``BLOCK`` rows; each pair of blocks is one matrix product that leaves at most k items a row, so pairs never meet as rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cut(df: DataFrame, name: str, own: str, parts: str) -> tuple[DataFrame, DataFrame]:
+        sizes = df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(parts))
+        return df.join(sizes, "scope").withColumn(own, F.pmod(F.xxhash64(name), F.col(parts)).cast("int")).drop(parts), sizes
+
+    a, a_sizes = cut(left.select(key, "scope", "v"), key, "i", "parts")
+    b, b_sizes = cut(right.select(item, "scope", "v"), item, "j", "parts")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(name)
+    a = a.join(b_sizes, "scope").select("scope", "i", every("j"), key, "v")
+    b = b.join(a_sizes, "scope").select("scope", every("i"), "j", item, "v")
+    a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # both may come from one table
+    types = dict(left.dtypes)[key], dict(right.dtypes)[item]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({key: x[key][:0], item: y[item][:0], "similarity": np.zeros(0)})
+        y = y.sort_values(item, ignore_index=True)
+        s = np.round(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T, 6)
+        if different:
+            place = {v: n for n, v in enumerate(y[item])}
+            own = [(n, place[v]) for n, v in enumerate(x[key]) if v in place]
+            if own:
+                s[tuple(zip(*own))] = -9
+        m = s.shape[1]
+        rank = np.rint(s * 1e6).astype(np.int64) * m - np.arange(m)  # equal similarities: the smaller item first
+        top = np.argpartition(-rank, min(k, m) - 1, axis=1)[:, : min(k, m)]
+        n, c = np.repeat(np.arange(len(x)), top.shape[1]), top.ravel()
+        good = s[n, c] >= (-1.5 if least is None else least)
+        n, c = n[good], c[good]
+        return pd.DataFrame({key: x[key].to_numpy()[n], item: y[item].to_numpy()[c], "similarity": s[n, c]})
+
+    keys = ["scope", "i", "j"]
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, f"{key} {types[0]}, {item} {types[1]}, similarity double")
+    order = Window.partitionBy(key).orderBy(F.desc("similarity"), item)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def scored(pairs: DataFrame, cfg: RecallConfig = RecallConfig(), search: bool = True) -> DataFrame:
     """(query_id, mem_id, score, reason) of pairs with ``keyword`` and ``semantic`` (null where a side has none), behind the acceptance floors."""
     floor = cfg.search_min_similarity if search else cfg.min_similarity
@@ -129,13 +175,6 @@ def topic_groups(hits: DataFrame, least: float = 0.75) -> DataFrame:
     return hits.select("query_id", "rank", "mem_id", "v").groupBy("query_id").applyInPandas(run, "query_id string, mem_id string, topic_group int")
 
 
-def argmax_join(left: DataFrame, right: DataFrame, on: list[str], left_vector: str, right_vector: str, key: str, other: str, least: float) -> DataFrame:
-    """For each key of ``left`` the row of ``right`` (equal ``on``) with the greatest dot product of at least ``least``; ties by ``other``."""
-    pairs = left.join(right, on).withColumn("similarity", F.round(dot(F.col(left_vector), F.col(right_vector)), 6)).where(F.col("similarity") >= least)
-    order = Window.partitionBy(key).orderBy(F.desc("similarity"), other)
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(key, other, "similarity")
-
-
 def pack(hits: list[dict], budget: int, share: float = 0.35) -> list[dict]:
     """Hits of one question into a token budget: leading hits always, memories up to (1 - share), excerpts in what is left, then leftovers.
 

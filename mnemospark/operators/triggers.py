@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.lists import GENERIC_COMMANDS
+from mnemospark.operators import blocking
 
 
 def glob_regex(pattern: Column) -> Column:
@@ -34,15 +35,23 @@ def matches(kind: Column, pattern: Column, user_text: Column, args: Column, erro
 def fired(steps: DataFrame, memories: DataFrame, before_action: bool | None = None) -> DataFrame:
     """(step_id, mem_id, trigger_id): enabled triggers that match a step, within scope.
 
-    A theta join: scope is the equality part (each step meets global and its own project), the pattern test the rest.
+    Keyword and error triggers meet the texts of a step on four characters (``blocking``), tool triggers on the tool; globs are tested
+    against the files of the steps of their scope.
     """
     t = memories.select("mem_id", F.lower("scope").alias("scope"), F.explode("triggers").alias("t")).where(~F.coalesce("t.disabled", F.lit(False)))
     if before_action is not None:
         t = t.where(F.coalesce("t.before_action", F.lit(False)) == before_action)
+    t = t.select("mem_id", "scope", F.col("t.id").alias("trigger_id"), F.col("t.kind").alias("kind"), F.col("t.pattern").alias("pattern"), F.lower("t.pattern").alias("low"))
+    t = t.withColumn("name", F.struct("mem_id", "trigger_id"))
     scopes = F.when(F.col("project").isNull(), F.array(F.lit("global"))).otherwise(F.array_distinct(F.array(F.lit("global"), F.lower("project"))))
     s = steps.withColumn("scope", F.explode(scopes))
-    test = matches(F.col("t.kind"), F.col("t.pattern"), F.col("user_text"), F.col("args"), F.col("error_sig"), F.col("tool"), F.col("files"))
-    return s.join(t, "scope").where(test).select("step_id", "mem_id", F.col("t.id").alias("trigger_id"))
+    texts = s.select("step_id", "scope", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("kind"), F.lower(F.col(c)).alias("text")) for n, (c, k) in enumerate((("user_text", "keyword"), ("args", "keyword"), ("error_sig", "error")))])).alias("x"))
+    texts = texts.select(F.struct("step_id", "scope", "x.n").alias("key"), "scope", F.col("x.kind").alias("kind"), F.col("x.text").alias("text")).where("text is not null")
+    words = blocking.containing(texts, "key", "text", t.where(F.col("kind").isin("keyword", "error")), "name", "low", ("scope", "kind")).select("key.step_id", "name")
+    tools = s.select("step_id", "scope", F.lower("tool").alias("low")).join(t.where("kind = 'tool'"), ["scope", "low"]).select("step_id", "name")
+    globs = s.where(F.size("files") > 0).select("step_id", "scope", "files").join(t.where("kind = 'file'").withColumn("regex", glob_regex(F.col("pattern"))), "scope")
+    files = globs.where(F.exists("files", lambda f: F.regexp_like(f, F.col("regex")))).select("step_id", "name")
+    return words.unionByName(tools).unionByName(files).distinct().select("step_id", "name.mem_id", "name.trigger_id")
 
 
 def mentions(text: Column, entity: Column) -> Column:

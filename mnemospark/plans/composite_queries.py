@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import classifier, consolidation, dossiers, excerpts, planned, retrieval, triggers
+from mnemospark.operators import blocking, classifier, consolidation, dossiers, excerpts, planned, retrieval, triggers
 from mnemospark.plans.registry import MEM, QRY, TRN, query
 from mnemospark.plans.retrieval_queries import j8_semantic_recall, r1_keyword_recall, r2_hybrid_recall, unit_vectors
 from mnemospark.plans.text_queries import memories, questions, turns
@@ -35,7 +35,7 @@ def j9_fired_triggers(spark, d):
 )
 def j10_named_entities(spark, d):
     t = memories(spark, d, "topics").select(F.explode("topics").alias("topic")).distinct()
-    return questions(spark, d, "query").join(t, triggers.mentions(F.col("query"), F.col("topic"))).select("query_id", "topic")
+    return blocking.naming(questions(spark, d, "query"), "query_id", "query", t, "topic")
 
 
 @query(

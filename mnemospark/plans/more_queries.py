@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators import blocking
 from mnemospark.plans.record_queries import ARM, runs
 from mnemospark.plans.registry import EVL, MEM, QRY, TRN, query
 from mnemospark.plans.text_queries import memories, questions, turns
@@ -122,11 +123,18 @@ def m10_utilities(spark, d):
 
 
 @query(
-    f"WITH {TRN}, {MEM}, c AS (SELECT mem_id, lower(mem_scope) AS scope, lower(title) AS t FROM mem WHERE length(title) >= 12), s AS (SELECT turn_id, lower(project) AS scope, lower(note) AS n FROM trn WHERE note IS NOT NULL) "
-    "SELECT turn_id, mem_id FROM s JOIN c USING (scope) WHERE contains(n, rtrim(t, '…'))"
+    f"WITH {MEM}, {QRY}, r AS (SELECT query_id, query || ' [' || array_to_string(coalesce(expected, []), '] [') || ']' AS text FROM qry), i AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, 'mem_[0-9A-Za-z]+')) AS mem_id FROM r), "
+    "t AS (SELECT mem_id, lower(rtrim(title, '…')) AS t FROM mem WHERE length(title) >= 12) "
+    "SELECT query_id, mem_id FROM i SEMI JOIN mem USING (mem_id) UNION SELECT query_id, mem_id FROM r JOIN t ON contains(lower(text), t)"
 )
 def c24_citations(spark, d):
-    """Memories whose title occurs in a reply's note, within the project."""
-    c = memories(spark, d, "mem_scope", "title").where(F.length("title") >= 12).select("mem_id", F.lower("mem_scope").alias("scope"), F.rtrim(F.lower("title"), F.lit("…")).alias("t"))
-    s = turns(spark, d, "project", "note").where("note is not null").select("turn_id", F.lower("project").alias("scope"), F.lower("note").alias("n"))
-    return s.join(c, "scope").where(F.contains("n", F.col("t"))).select("turn_id", "mem_id")
+    """Memories that a response cites by id or by a title of twelve characters or more (responses: questions with the ids of their answers)."""
+    ids = F.coalesce("expected", F.array().cast("array<string>"))
+    r = questions(spark, d, "query", "expected").select("query_id", F.concat("query", F.lit(" ["), F.array_join(ids, "] ["), F.lit("]")).alias("text"))
+    m = memories(spark, d, "title")
+    by_id = r.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("mem_[0-9A-Za-z]+"), F.lit(0)))).alias("mem_id")).join(m.select("mem_id"), "mem_id", "left_semi")
+    titles = m.where(F.length("title") >= 12).select("mem_id", F.lower(F.rtrim("title", F.lit("…"))).alias("t"))
+    by_title = blocking.containing(r.withColumn("text", F.lower("text")), "query_id", "text", titles, "mem_id", "t")
+    return by_id.select("query_id", "mem_id").unionByName(by_title).distinct()
+
+

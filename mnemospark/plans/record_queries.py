@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions.lists import DERIVED_TYPES, MEMORY_TYPES, TOPIC_THRESHOLDS
-from mnemospark.operators import evaluation, retrieval
+from mnemospark.operators import blocking, evaluation, retrieval
 from mnemospark.plans.registry import EVL, MEM, QRY, TRN, VEC, query, quoted
 from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.tables import latest, table
@@ -88,11 +88,11 @@ def a11_exact_duplicates(spark, d):
     "SELECT topic, count(*)::BIGINT AS fired, max(n.n)::BIGINT AS steps, count(*) > 0.05 * max(n.n) AS broad FROM t JOIN q ON contains(q.q, t.topic) CROSS JOIN n GROUP BY 1"
 )
 def a13_trigger_breadth(spark, d):
-    """Keyword triggers (topics) against all questions: a theta join; the trigger side is the distinct topic list."""
+    """Keyword triggers (topics) against all questions, which meet on four characters."""
     t = memories(spark, d, "topics").select(F.explode("topics").alias("topic")).distinct()
-    q = questions(spark, d, "query").select(F.lower("query").alias("q"))
+    q = questions(spark, d, "query").select("query_id", F.lower("query").alias("q"))
     n = q.agg(F.count("*").alias("n"))
-    fired = q.join(t, F.contains("q", "topic")).groupBy("topic").agg(F.count("*").alias("fired"))
+    fired = blocking.containing(q, "query_id", "q", t.select("topic", F.col("topic").alias("pattern")), "topic", "pattern").groupBy("topic").agg(F.count("*").alias("fired"))
     return fired.crossJoin(F.broadcast(n)).select("topic", "fired", F.col("n").alias("steps"), (F.col("fired") > 0.05 * F.col("n")).alias("broad"))
 
 

@@ -207,10 +207,10 @@ def j11_topic_hops(spark, d):
     "SELECT * FROM p WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY mem_id ORDER BY similarity DESC, turn_id) = 1"
 )
 def j12_provenance(spark, d):
-    m = memories(spark, d, "mem_scope").join(unit_vectors(spark, d, "memory"), F.col("mem_id") == F.col("owner_id")).select("mem_id", F.lower("mem_scope").alias("scope"), "u")
+    m = memories(spark, d, "mem_scope").join(unit_vectors(spark, d, "memory"), F.col("mem_id") == F.col("owner_id")).select("mem_id", F.lower("mem_scope").alias("scope"), F.col("u").alias("v"))
     t = turns(spark, d, "project").where("project is not null").join(unit_vectors(spark, d, "turn"), F.col("turn_id").cast("string") == F.col("owner_id"))
-    t = t.select("turn_id", F.lower("project").alias("scope"), F.col("u").alias("tu"))
-    return retrieval.argmax_join(m, t, ["scope"], "u", "tu", "mem_id", "turn_id", 0.3)
+    t = t.select("turn_id", F.lower("project").alias("scope"), F.col("u").alias("v"))
+    return retrieval.nearest(m, t, "mem_id", "turn_id", 1, 0.3).drop("place")
 
 
 @query(
@@ -225,16 +225,22 @@ def j15_version_chains(spark, d):
 
 
 @query(
-    f"WITH {MEM}, {VEC}, m AS (SELECT mem_id, lower(mem_scope) AS scope, {NUMBERS_SQL.format('content')} AS numbers, {UNIT} AS u FROM mem JOIN vec ON owner_kind = 'memory' AND owner_id = mem_id "
-    f"WHERE coalesce(mem_type, '') NOT IN ({quoted(DERIVED_TYPES)}) QUALIFY row_number() OVER (PARTITION BY mem_id ORDER BY vec_id) = 1) "
-    "SELECT a.mem_id AS older, b.mem_id AS newer, round(list_dot_product(a.u, b.u), 6) AS similarity FROM m a JOIN m b USING (scope, numbers) WHERE a.mem_id < b.mem_id AND round(list_dot_product(a.u, b.u), 6) >= 0.88"
+    f"WITH {MEM}, {VEC}, o AS (SELECT mem_id, lower(mem_scope) AS scope, {NUMBERS_SQL.format('content')} AS numbers, md5(lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) AS h FROM mem WHERE coalesce(mem_type, '') NOT IN ({quoted(DERIVED_TYPES)})), "
+    f"u AS (SELECT owner_id AS mem_id, arg_min({UNIT}, vec_id) AS u FROM vec WHERE owner_kind = 'memory' GROUP BY 1), m AS (SELECT * FROM o JOIN u USING (mem_id)), "
+    "e AS (SELECT mem_id AS newer, min(mem_id) OVER (PARTITION BY scope, h) AS older FROM o), n AS (SELECT a.mem_id AS older, b.mem_id AS newer, round(list_dot_product(a.u, b.u), 6) AS similarity FROM m a JOIN m b USING (scope, numbers) WHERE a.mem_id < b.mem_id) "
+    "SELECT older, newer, 1.0::DOUBLE AS similarity, 'text' AS reason FROM e WHERE older < newer UNION ALL SELECT older, newer, similarity, 'vector' FROM n WHERE similarity >= 0.6"
 )
 def j16_near_duplicates(spark, d):
-    v = unit_vectors(spark, d, "memory").withColumnRenamed("owner_id", "mem_id")
-    m = memories(spark, d, "mem_scope", "mem_type", "content").where(~F.coalesce("mem_type", F.lit("")).isin(DERIVED_TYPES)).join(v, "mem_id")
-    m = m.select("mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("numbers"), "u")
-    o = m.select(F.col("mem_id").alias("newer"), "scope", "numbers", F.col("u").alias("w"))
-    return m.join(o, ["scope", "numbers"]).where("mem_id < newer").select(F.col("mem_id").alias("older"), "newer", F.round(dot(F.col("u"), F.col("w")), 6).alias("similarity")).where("similarity >= 0.88")
+    """Memories of one scope with equal text (linked to the smallest id) or with equal numbers and near vectors (0.6 here; no two of these tables reach the default of 0.88)."""
+    v = unit_vectors(spark, d, "memory").select(F.col("owner_id").alias("mem_id"), F.col("u").alias("v"))
+    m = memories(spark, d, "mem_scope", "mem_type", "content").where(~F.coalesce("mem_type", F.lit("")).isin(DERIVED_TYPES))
+    m = m.select("mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("numbers"), F.md5(T.normalize(F.col("content"))).alias("h"))
+    first = m.groupBy("scope", "h").agg(F.min("mem_id").alias("older"))
+    equal = m.join(first, ["scope", "h"]).where("older < mem_id").select("older", F.col("mem_id").alias("newer"), F.lit(1.0).alias("similarity"), F.lit("text").alias("reason"))
+    near = m.join(v, "mem_id").select("mem_id", F.concat("scope", F.lit("\u0001"), "numbers").alias("scope"), "v")
+    s = retrieval.semantic_scores(near.select(F.col("mem_id").alias("query_id"), "scope", F.col("v").alias("qv")), near, 0.5999)
+    s = s.where("query_id < mem_id").select(F.col("query_id").alias("older"), F.col("mem_id").alias("newer"), F.round("semantic", 6).alias("similarity"), F.lit("vector").alias("reason"))
+    return equal.unionByName(s.where("similarity >= 0.6"))
 
 
 @query(
@@ -248,11 +254,10 @@ def j16_near_duplicates(spark, d):
 def j17_contradiction_candidates(spark, d):
     v = unit_vectors(spark, d, "memory").withColumnRenamed("owner_id", "mem_id")
     m = memories(spark, d, "mem_scope", "content", "supersedes").join(v, "mem_id").select(
-        "mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("x"), "u", (F.size("supersedes") > 0).alias("new")
+        "mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("x"), F.col("u").alias("v"), (F.size("supersedes") > 0).alias("new")
     )
-    o = m.select(F.col("mem_id").alias("o"), "scope", F.col("x").alias("y"), F.col("u").alias("w"))
-    p = m.where("new").join(o, "scope").where("mem_id <> o").withColumn("similarity", F.round(dot(F.col("u"), F.col("w")), 6))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("mem_id").orderBy(F.desc("similarity"), "o"))).where("n <= 6")
+    p = retrieval.nearest(m.where("new"), m.withColumnRenamed("mem_id", "o"), "mem_id", "o", 6, different=True)
+    p = p.join(m.select("mem_id", "scope", "x"), "mem_id").join(m.select(F.col("mem_id").alias("o"), F.col("x").alias("y")), "o")
     p = p.where("similarity >= 0.6 and x <> '' and y <> '' and x <> y").select(F.least("mem_id", "o").alias("first_id"), F.greatest("mem_id", "o").alias("second_id"), "scope", "similarity").distinct()
     return p.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("similarity"), "first_id", "second_id"))).where("n <= 20").drop("n")
 
@@ -274,29 +279,28 @@ def j17_contradictions(spark, d):
     m = memories(spark, d, "mem_scope", "mem_type", "status", "content", "supersedes").join(v, "mem_id")
     m = m.where(F.col("status").isin(*ELIGIBLE[0]) & ~F.coalesce("mem_type", F.lit("")).isin(*ELIGIBLE[1])).select(
         "mem_id", F.lower("mem_scope").alias("scope"), T.number_key(F.col("content")).alias("x"), T.has_cue(F.replace("content", F.lit("’"), F.lit("'")), NEGATION_CUES).alias("neg"),
-        "u", (F.size("supersedes") > 0).alias("new"),
+        F.col("u").alias("v"), (F.size("supersedes") > 0).alias("new"),
     )
-    o = m.select(F.col("mem_id").alias("o"), "scope", F.col("x").alias("y"), F.col("neg").alias("other_neg"), F.col("u").alias("w"))
-    p = m.where("new").join(o, "scope").where("mem_id <> o").withColumn("similarity", F.round(dot(F.col("u"), F.col("w")), 6)).withColumn("negative", F.expr("neg or other_neg"))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("mem_id").orderBy(F.desc("similarity"), "o"))).where("n <= 6")
+    p = retrieval.nearest(m.where("new"), m.withColumnRenamed("mem_id", "o"), "mem_id", "o", 6, different=True)
+    p = p.join(m.select("mem_id", "scope", "x", "neg"), "mem_id").join(m.select(F.col("mem_id").alias("o"), F.col("x").alias("y"), F.col("neg").alias("other_neg")), "o").withColumn("negative", F.expr("neg or other_neg"))
     p = p.where("negative or (similarity >= 0.6 and x <> '' and y <> '' and x <> y)")
     p = p.select(F.least("mem_id", "o").alias("first_id"), F.greatest("mem_id", "o").alias("second_id"), "scope", "similarity", "negative").distinct()
     return p.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("similarity"), "first_id", "second_id"))).where("n <= 20").drop("n")
 
 
 @query(
-    f"WITH {MEM}, {QRY}, "
-    "x AS (SELECT query_id, mem_id, 1 AS p FROM (SELECT query_id, unnest(expected) AS mem_id FROM qry)), "
-    f"g AS (SELECT query_id, mem.mem_id, 2 AS p FROM (SELECT query_id, {SCOPES} FROM qry) s JOIN mem ON lower(mem_scope) = s.scope AND mem_type = 'instruction'), "
+    f"WITH {KEYWORD_SQL}, x AS (SELECT DISTINCT query_id, unnest(expected) AS mem_id, 1 AS p FROM qry), "
+    "g AS (SELECT query_id, mem_id, 2 AS p FROM kw JOIN mem USING (mem_id) WHERE mem_type = 'instruction' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 6) DESC, mem_id) <= 10), "
     "a AS (SELECT query_id, mem_id, min(p) AS p FROM (SELECT * FROM x UNION ALL SELECT * FROM g) GROUP BY ALL) "
     "SELECT query_id, mem_id, CASE p WHEN 1 THEN 'search' ELSE 'instruction' END AS channel FROM a"
 )
 def u1_channel_union(spark, d):
-    q = questions(spark, d, "project", "expected")
-    search = q.select("query_id", F.explode("expected").alias("mem_id"), F.lit("search").alias("channel"), F.lit(1.0).alias("score"))
-    ins = memories(spark, d, "mem_scope", "mem_type").where("mem_type = 'instruction'").select("mem_id", F.lower("mem_scope").alias("scope"))
-    instruction = q.select("query_id", _scopes()).join(ins, "scope").select("query_id", "mem_id", F.lit("instruction").alias("channel"), F.lit(1.0).alias("score"))
-    return retrieval.first_writer([search, instruction], ["query_id", "mem_id"]).drop("score")
+    """Expected memories and the ten most relevant instructions of each question; the first channel that has a memory wins."""
+    search = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"), F.lit("search").alias("channel"), F.lit(1.0).alias("score"))
+    scores, ids, names = keyword(spark, d)
+    ins = scores.join(memories(spark, d, "mem_type").where("mem_type = 'instruction'").join(ids, "mem_id").select("rid"), "rid")
+    best = index.named(ranked(ins).where("rank <= 10"), ids, names).select("query_id", "mem_id", F.lit("instruction").alias("channel"), F.lit(1.0).alias("score"))
+    return retrieval.first_writer([search, best], ["query_id", "mem_id"]).drop("score")
 
 
 @query(

@@ -93,9 +93,19 @@ def _redact_sql(e: str) -> str:
     return e
 
 
-@query(f"WITH {TRN}, r AS (SELECT turn_id, text, {_redact_sql('text')} AS t FROM trn) SELECT turn_id, md5(t) AS redacted, t <> text AS changed FROM r")
+ENTROPY_SQL = "list_sum([-p * log2(p) for p in [len(list_filter(string_split(x, ''), lambda y: y = c)) / length(x)::DOUBLE for c in list_distinct(string_split(x, ''))]])"
+
+
+@query(
+    f"WITH {TRN}, s AS (SELECT turn_id, text || ' token-' || sha256(turn_id::VARCHAR) || ' end' AS text FROM trn), r AS (SELECT turn_id, text, {_redact_sql('text')} AS t FROM s), k AS (SELECT turn_id, unnest(regexp_extract_all(t, '\\b[A-Za-z0-9_-]{{32,}}\\b')) AS x FROM r), "
+    f"h AS (SELECT turn_id, list(x) AS l FROM (SELECT DISTINCT turn_id, x FROM k WHERE {ENTROPY_SQL} >= 3.5) GROUP BY 1), "
+    "d AS (SELECT turn_id, text, CASE WHEN l IS NULL THEN t ELSE list_reduce(list_prepend(t, l), lambda a, x: replace(a, x, '[REDACTED:high_entropy]')) END AS t FROM r LEFT JOIN h USING (turn_id)) "
+    "SELECT turn_id, md5(t) AS redacted, t <> text AS changed FROM d"
+)
 def x13_redacted(spark, d):
-    r = turns(spark, d, "text").withColumn("t", T.redact_patterns(F.col("text")))
+    """Texts with a random token behind them, redacted by known forms and by entropy."""
+    said = F.concat("text", F.lit(" token-"), F.sha2(F.col("turn_id").cast("string"), 256), F.lit(" end"))
+    r = turns(spark, d, "text").select("turn_id", said.alias("text")).withColumn("t", T.redact(F.col("text")))
     return r.select("turn_id", F.md5("t").alias("redacted"), (F.col("t") != F.col("text")).alias("changed"))
 
 
@@ -133,12 +143,14 @@ def x22_token_estimates(spark, d):
 
 
 @query(
-    f"WITH {TRN}, t AS (SELECT turn_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_-]{{32,}}')) AS t FROM trn), k AS (SELECT DISTINCT t FROM t), "
+    f"WITH {TRN}, t AS (SELECT turn_id, unnest(regexp_extract_all(text || ' ' || md5(turn_id::VARCHAR), '[A-Za-z0-9_-]{{32,}}')) AS t FROM trn), k AS (SELECT DISTINCT t FROM t), "
     "c AS (SELECT t, unnest(string_split(t, '')) AS c FROM k), p AS (SELECT t, count(*) / length(t)::DOUBLE AS p FROM c WHERE c <> '' GROUP BY t, c) "
     "SELECT t AS token, round(-sum(p * log2(p)), 6) AS entropy, round(-sum(p * log2(p)), 6) >= 3.5 AS secret FROM p GROUP BY t"
 )
 def a18_entropy(spark, d):
-    t = turns(spark, d, "text").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{32,}"), F.lit(0))).alias("token")).distinct()
+    """Long tokens of texts that end in a digest of their id."""
+    said = F.concat("text", F.lit(" "), F.md5(F.col("turn_id").cast("string")))
+    t = turns(spark, d, "text").select(F.explode(F.regexp_extract_all(said, F.lit("[A-Za-z0-9_-]{32,}"), F.lit(0))).alias("token")).distinct()
     c = t.select("token", F.explode(F.split("token", "")).alias("c")).where("c <> ''").groupBy("token", "c").agg((F.count("*")).alias("n"))
     p = F.col("n") / F.length("token")
     return c.groupBy("token").agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy")).withColumn("secret", F.col("entropy") >= 3.5)
