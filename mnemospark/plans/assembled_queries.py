@@ -14,7 +14,7 @@ from mnemospark.plans.retrieval_queries import KEYWORD_SQL, SCOPES, SEMANTIC_SQL
 from mnemospark.plans.text_queries import APOSTROPHE, _cue_sql, memories, questions, turns
 from mnemospark.sources.tables import table
 
-NAMED = "regexp_matches(lower(query), '(^|[^\\p{L}\\p{N}])' || lower(topic) || '($|[^\\p{L}\\p{N}])')"
+NAMED = "CASE WHEN contains(lower(query), lower(topic)) THEN regexp_matches(lower(query), '(^|[^\\p{L}\\p{N}])' || lower(topic) || '($|[^\\p{L}\\p{N}])') ELSE false END"
 RANKED_SQL = f"""{KEYWORD_SQL}, i AS (SELECT query_id, query, {_cue_sql('query', INTENT_CUES['temporal'])} AS tmp, {_cue_sql('query', INTENT_CUES['aggregate'])} AS agg FROM qry),
 f AS (SELECT query_id, mem_id, round(keyword, 6) AS k, mem_type, status, tmp, agg FROM kw JOIN i USING (query_id) JOIN mem USING (mem_id)
   WHERE coalesce(mem_type, '') NOT IN ('summary', 'rule') AND (status IN ('active', 'contested') OR tmp AND status = 'superseded')),
@@ -139,17 +139,17 @@ def a20_replay(spark, d):
 
 @query(
     f"WITH {RANKED_SQL}, x AS (SELECT query_id, unnest(list_distinct(expected)) AS mem_id FROM qry) "
-    "SELECT x.query_id, x.mem_id, f.k AS keyword FROM x JOIN f USING (query_id, mem_id) ANTI JOIN ranked USING (query_id, mem_id) WHERE f.k >= 0.3"
+    "SELECT x.query_id, x.mem_id, f.k AS keyword FROM x JOIN f USING (query_id, mem_id) ANTI JOIN (SELECT * FROM ranked WHERE position <= 2) USING (query_id, mem_id) WHERE f.k >= 0.3"
 )
 def c14_missed_recalls(spark, d):
-    """Expected memories that a search accepted but did not show: what a trigger should bring back."""
+    """Expected memories that a search accepted but not among its first two: what a trigger should bring back."""
     x = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"))
     scores = written(candidate_scores(spark, d), "accepted")
     m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
     flags = asked(spark, d).select("query_id", "past").distinct()
     seen = assembled.usable(scores.where("keyword >= 0.3").join(x, ["query_id", "mem_id"]).join(m.where("coalesce(kind, '') <> 'rule'"), "mem_id").join(flags, "query_id"))
     shown = assembled.ranked(scores, m, entities(spark, d), asked(spark, d))
-    return seen.join(shown.select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
+    return seen.join(shown.where("position <= 2").select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
 
 
 BLOCK_SQL = (
