@@ -55,17 +55,18 @@ def entity_hits(asked: DataFrame, entities: DataFrame, found: DataFrame, limit:
 def entity_hops(asked: DataFrame, seeds: DataFrame, entities: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """(query_id, mem_id, score): one step along the entities of the best hits.
 
-    ``seeds``: query_id, mem_id, score. Entities of more than ``HOP_MOST`` memories link everything and are left out, as are those
+    ``seeds``: query_id, mem_id, score. Entities of more than ``HOP_MOST`` memories in a question's scopes link everything and are left out, as are those
     the question names itself; a memory counts ``HOP`` of its best source.
     """
-    e = entities.where(~F.coalesce("kind", F.lit("")).isin(DERIVED_TYPES) & F.col("status").isin("active", "contested")).withColumn("entity", F.lower("entity"))
-    rare = e.select("mem_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= HOP_MOST).select("entity")
-    e = e.join(rare, "entity").select("mem_id", "scope", "entity").distinct()
+    e = entities.where(~F.coalesce("kind", F.lit("")).isin(DERIVED_TYPES) & F.col("status").isin("active", "contested"))
+    e = e.select("mem_id", "scope", F.lower("entity").alias("entity")).distinct()
     via = first(seeds, ["query_id"], [F.desc("score"), "mem_id"], HOP_SEEDS).join(e.select("mem_id", "entity"), "mem_id")
-    via = via.groupBy("query_id", "entity").agg(F.max("score").alias("score"))
+    via = via.groupBy("query_id", "entity").agg(F.max("score").alias("score")).join(asked.select("query_id", "scope"), "query_id")
+    via = via.join(e.groupBy("scope", "entity").agg(F.count("*").alias("n")), ["scope", "entity"])
+    via = via.withColumn("n", F.sum("n").over(Window.partitionBy("query_id", "entity"))).where(F.col("n") <= HOP_MOST).drop("n")
     texts = asked.select("query_id", "text").distinct()
     said = blocking.naming(texts, "query_id", "text", e.select("entity"), "entity")
-    via = via.join(said, ["query_id", "entity"], "left_anti").join(asked.select("query_id", "scope"), "query_id")
+    via = via.join(said, ["query_id", "entity"], "left_anti")
     linked = via.join(e, ["scope", "entity"]).groupBy("query_id", "mem_id").agg(F.max("score").alias("score"))
     linked = linked.join(found.select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti")
     return first(linked, ["query_id"], [F.desc("score"), "mem_id"], max(limit // 4, 3)).select("query_id", "mem_id", (F.col("score") * HOP).alias("score"))

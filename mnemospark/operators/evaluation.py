@@ -50,3 +50,29 @@ def largest_remainder(counts: DataFrame, key: str, count: str, total: int) -> Da
     left = F.lit(total) - F.sum("_seats").over(Window.partitionBy())
     order = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("_exact") - F.col("_seats"), 9)), key))
     return q.withColumn("_left", left).withColumn("_order", order).select(key, count, (F.col("_seats") + (F.col("_order") <= F.col("_left")).cast("bigint")).alias("seats"))
+
+
+def aligned(reference: list[str], lines: list[str], same) -> list[str]:
+    """Answer lines with each replaced by the first unused reference event that ``same(event, line)`` accepts; blank and unmatched lines stay."""
+    left = dict.fromkeys(range(len(reference)))
+    out = []
+    for line in lines:
+        hit = next((i for i in left if same(reference[i], line)), None) if line.strip() else None
+        if hit is not None:
+            del left[hit]
+        out.append(line if hit is None else reference[hit])
+    return out
+
+
+def ordering(reference: list[str], system: list[str]) -> dict[str, float]:
+    """Precision, recall and F1 of the events named, Kendall tau-b of both over all events (missing ones tie at the end), and tau normalised to [0, 1]."""
+    both = set(reference) & set(system)
+    p, r = len(both) / max(len(set(system)), 1), len(both) / max(len(set(reference)), 1)
+    union = list(dict.fromkeys([*reference, *system]))
+    rank = lambda of: [of.index(x) if x in of else len(of) for x in union]
+    a, b = rank(reference), rank(system)
+    sign = lambda x: (x > 0) - (x < 0)
+    pairs = [(sign(a[i] - a[j]), sign(b[i] - b[j])) for i in range(len(a)) for j in range(i)]
+    n1, n2 = sum(x != 0 for x, _ in pairs), sum(y != 0 for _, y in pairs)
+    tau = sum(x * y for x, y in pairs) / (n1 * n2) ** 0.5 if n1 and n2 else 0.0
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0, "tau": tau, "normalised": (tau + 1) / 2}

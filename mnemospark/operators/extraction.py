@@ -207,7 +207,11 @@ ENTRY = "topic string, name string, value string, effective string, kind string,
 def dossier_records(replies: DataFrame, most: int = 120) -> DataFrame:
     """(scope, session_id, place, topic, kind, label, text, date, n) of model replies (scope, session_id, reply); malformed and incomplete records are dropped, at most ``most`` a session."""
     r = F.from_json("reply", DOSSIER)
-    entries = F.concat(*[F.transform(F.coalesce(r[s], F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.from_json(x, ENTRY).alias("e"))) for s, k in (("values", "value"), ("items", "item"), ("events", "event"), ("stages", "stage"))])
+
+    def section(name: str) -> Column:
+        return F.transform(F.coalesce(r[name], F.array().cast("array<string>")), lambda x: F.struct(F.lit(name[:-1]).alias("kind"), F.from_json(x, ENTRY).alias("e")))
+
+    entries = F.concat(*map(section, ("values", "items", "events", "stages")))
     rows = replies.select("scope", "session_id", F.posexplode(entries).alias("place", "x")).select("scope", "session_id", "place", F.col("x.kind").alias("what"), F.col("x.e").alias("e"))
     text = F.trim(F.when(F.col("what") == "value", F.col("e.value")).when(F.col("what") == "item", F.col("e.item")).when(F.col("what") == "event", F.col("e.event")).otherwise(F.col("e.summary")))
     label = F.trim(F.when(F.col("what") == "value", F.col("e.name")).when(F.col("what") == "item", F.col("e.kind")))

@@ -43,13 +43,13 @@ def built(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("rid", "mem_id"), written(post, "postings")
 
 
-def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = RecallConfig(), exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def keyword_scores(docs: DataFrame, questions: DataFrame, cfg: RecallConfig = RecallConfig(), exact: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, memory ids, question ids) of docs (mem_id, scope, text) and questions (query_id, project, text).
 
     scores (qid, rid, keyword): share of the question's idf mass that matches * (0.8 + 0.2 * bm25 / greatest bm25 of the
-    question's candidates). Rows are numbered, so only numbers take part in the large join and aggregation.
+    question's candidates); ``index``: what ``built`` gave for docs. Rows are numbered, so only numbers take part in the large join and aggregation.
     """
-    ids, post = built(docs)
+    ids, post = index or built(docs)
     average = post.select("rid", "len").distinct().agg(F.avg("len")).first()[0] or 0.0
     total = ids.count()
     df = post.groupBy("term").agg(F.count("*").alias("df"))

@@ -66,9 +66,10 @@ def r3_ranked_recall(spark, d):
 @query(
     f"WITH {RANKED_SQL}, e8 AS (SELECT query_id, mem_id, score, channel FROM (SELECT * FROM pool UNION ALL SELECT * FROM ent)), "
     f"sd AS (SELECT query_id, mem_id, score FROM e8 JOIN mem USING (mem_id) WHERE coalesce(mem_type, '') NOT IN ({quoted(DERIVED_TYPES)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 8), "
-    f"lt AS (SELECT DISTINCT mem_id, scope, lower(topic) AS topic FROM mt WHERE coalesce(mem_type, '') NOT IN ({quoted(DERIVED_TYPES)}) AND status IN ('active', 'contested')), rt AS (SELECT topic FROM (SELECT DISTINCT mem_id, topic FROM lt) GROUP BY 1 HAVING count(*) <= 12), "
-    "el AS (SELECT * FROM lt SEMI JOIN rt USING (topic)), via AS (SELECT query_id, topic, max(score) AS score FROM sd JOIN el USING (mem_id) GROUP BY ALL), "
-    f"vq AS (SELECT via.*, query FROM via JOIN i USING (query_id) WHERE length(topic) < 3 OR NOT {NAMED}), "
+    f"lt AS (SELECT DISTINCT mem_id, scope, lower(topic) AS topic FROM mt WHERE coalesce(mem_type, '') NOT IN ({quoted(DERIVED_TYPES)}) AND status IN ('active', 'contested')), "
+    "el AS (SELECT * FROM lt), via AS (SELECT query_id, topic, max(score) AS score FROM sd JOIN el USING (mem_id) GROUP BY ALL), cn AS (SELECT scope, topic, count(*) AS n FROM el GROUP BY ALL), "
+    "vn AS (SELECT via.query_id, via.topic FROM via JOIN qs2 USING (query_id) JOIN cn USING (scope, topic) GROUP BY ALL HAVING sum(n) <= 12), "
+    f"vq AS (SELECT via.*, query FROM via SEMI JOIN vn USING (query_id, topic) JOIN i USING (query_id) WHERE length(topic) < 3 OR NOT {NAMED}), "
     "ln AS (SELECT qs2.query_id, el.mem_id, max(score) AS score FROM vq JOIN qs2 USING (query_id) JOIN el ON el.scope = qs2.scope AND el.topic = vq.topic GROUP BY ALL) "
     "SELECT query_id, mem_id, round(score * 0.7, 6)::DOUBLE AS score FROM ln ANTI JOIN e8 USING (query_id, mem_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) <= 3"
 )
@@ -139,17 +140,16 @@ def a20_replay(spark, d):
 
 @query(
     f"WITH {RANKED_SQL}, x AS (SELECT query_id, unnest(list_distinct(expected)) AS mem_id FROM qry) "
-    "SELECT x.query_id, x.mem_id, f.k AS keyword FROM x JOIN f USING (query_id, mem_id) ANTI JOIN (SELECT * FROM ranked WHERE position <= 2) USING (query_id, mem_id) WHERE f.k >= 0.3"
+    "SELECT x.query_id, x.mem_id, f.k AS keyword FROM x JOIN f USING (query_id, mem_id) ANTI JOIN ranked USING (query_id, mem_id)"
 )
 def c14_missed_recalls(spark, d):
-    """Expected memories that a search accepted but not among its first two: what a trigger should bring back."""
+    """Expected memories that share words with a question but were not shown: what a trigger should bring back."""
     x = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"))
-    scores = written(candidate_scores(spark, d), "accepted")
-    m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
-    flags = asked(spark, d).select("query_id", "past").distinct()
-    seen = assembled.usable(scores.where("keyword >= 0.3").join(x, ["query_id", "mem_id"]).join(m.where("coalesce(kind, '') <> 'rule'"), "mem_id").join(flags, "query_id"))
-    shown = assembled.ranked(scores, m, entities(spark, d), asked(spark, d))
-    return seen.join(shown.where("position <= 2").select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
+    scores, ids, names = keyword(spark, d)
+    m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status").where("coalesce(kind, '') <> 'rule'")
+    seen = x.join(ids, "mem_id").join(names, "query_id").join(scores, ["qid", "rid"]).select("query_id", "mem_id", "keyword")
+    seen = assembled.usable(seen.join(m, "mem_id").join(asked(spark, d).select("query_id", "past").distinct(), "query_id"))
+    return seen.join(ranked(spark, d).select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
 
 
 BLOCK_SQL = (

@@ -11,7 +11,7 @@ from mnemospark.operators import extraction, logs, triggers
 from mnemospark.plans.registry import EVL, MEM, QRY, SQL, TRN, query, quoted
 from mnemospark.plans.retrieval_queries import ELIGIBLE, KEYWORD_SQL, j17_contradictions, j8_semantic_recall, keyword, o1_topic_groups, r7_turn_recall
 from mnemospark.operators import index
-from mnemospark.plans.text_queries import _cue_sql, memories, questions, turns
+from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.tables import latest, table
 
 
@@ -150,16 +150,15 @@ TIMELINE_CHARS = 6000
 
 @query(
     f"WITH {KEYWORD_SQL}, s AS (SELECT mem_id, lower(mem_scope) AS scope, substr(created_at, 1, 10) AS said, content, row_number() OVER (PARTITION BY lower(mem_scope) ORDER BY created_at, mem_id) AS session, count(*) OVER (PARTITION BY lower(mem_scope)) AS n "
-    f"FROM mem WHERE mem_type IN ('fact', 'summary') AND status IN ('active', 'contested')), e AS (SELECT *, least(6000 // n, 400) AS each FROM s), q AS (SELECT query_id, coalesce(lower(project), 'global') AS scope FROM qry WHERE {_cue_sql('query', INTENT_CUES['overview'])} OR {_cue_sql('query', INTENT_CUES['aggregate'])}), "
+    f"FROM mem WHERE mem_type IN ('fact', 'summary') AND status IN ('active', 'contested')), e AS (SELECT *, least(6000 // n, 400) AS each FROM s), q AS (SELECT query_id, coalesce(lower(project), 'global') AS scope FROM qry), "
     "r AS (SELECT query_id, session, said, content, each FROM q JOIN e USING (scope) WHERE each >= 140 UNION ALL SELECT query_id, session, said, content, 140 FROM (SELECT q.query_id, e.*, row_number() OVER (PARTITION BY q.query_id ORDER BY round(kw.keyword, 6) DESC, e.mem_id) AS k "
     "FROM q JOIN e USING (scope) JOIN kw ON kw.query_id = q.query_id AND kw.mem_id = e.mem_id WHERE each < 140) WHERE k <= 42), "
     "l AS (SELECT query_id, session, '- Session ' || session || ' [' || coalesce(said, 'date unknown') || '] ' || CASE WHEN length(content) > each THEN substr(content, 1, each::INT) || '…' ELSE content END AS line FROM r) "
     "SELECT query_id, count(*)::INT AS lines, md5(string_agg(line, chr(10) ORDER BY session)) AS text FROM l GROUP BY 1"
 )
 def w14_timelines(spark, d):
-    """Timelines for questions about how things went or how many there were; facts serve as session summaries beside the few that there are."""
-    q = questions(spark, d, "project", "query")
-    q = q.where(T.has_cue(F.col("query"), INTENT_CUES["overview"]) | T.has_cue(F.col("query"), INTENT_CUES["aggregate"])).select("query_id", F.coalesce(F.lower("project"), F.lit("global")).alias("scope"))
+    """The timeline of every question's scope; facts serve as session summaries beside the few that there are."""
+    q = questions(spark, d, "project").select("query_id", F.coalesce(F.lower("project"), F.lit("global")).alias("scope"))
     s = memories(spark, d, "mem_scope", "mem_type", "status", "created_at", "content").where("mem_type in ('fact', 'summary') and status in ('active', 'contested')")
     s = s.select("mem_id", F.lower("mem_scope").alias("scope"), "created_at", F.substring("created_at", 1, 10).alias("said"), "content")
     scores, ids, names = keyword(spark, d)

@@ -48,8 +48,37 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+_kept: dict[tuple, object] = {}
+FILES = 1000
+
+
+def signature(df: DataFrame) -> tuple | None:
+    """Names, sizes and times of the files a table is read from; None where there are none or more than ``FILES``."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not 0 < len(files) <= FILES:
+        return None
+    out = []
+    for f in sorted(files):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
+def kept(name: str, tables: list[DataFrame], make):
+    """``make()``, or what it gave before in this session for the same files: an index is built once and read by every query that needs it."""
+    signs = [signature(t) for t in tables]
+    if None in signs:
+        return make()
+    key = (name, tables[0].sparkSession.sparkContext.applicationId, *signs)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def release() -> None:
     """Delete all tables written so far; call it when the results that read them are stored. Runs at exit, too."""
+    _kept.clear()
     while _tables:
         try:
             _delete(*_tables.pop())

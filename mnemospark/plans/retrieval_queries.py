@@ -9,7 +9,7 @@ from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES, NEGATION_CUES
 from mnemospark.functions import text as T
 from mnemospark.functions.vectors import dot, normalized, usable
 from mnemospark.operators import index, retrieval
-from mnemospark.plans.lineage import written
+from mnemospark.plans.lineage import kept, written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
 from mnemospark.plans.text_queries import APOSTROPHE, BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
 from mnemospark.sources.tables import latest, table
@@ -38,7 +38,8 @@ kw AS (SELECT query_id, mem_id, round(matched / mass * (0.8 + 0.2 * bm25 / max(b
 def keyword(spark, d):
     docs = memories(spark, d, "title", "content", "mem_scope").select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"))
     asked = questions(spark, d, "project", "query").select("query_id", "project", F.col("query").alias("text"))
-    scores, ids, names = index.keyword_scores(docs, asked)
+    built = kept("memories", [table(spark, d, "memories")], lambda: index.built(docs))
+    scores, ids, names = index.keyword_scores(docs, asked, index=built)
     return scores.withColumn("keyword", F.round("keyword", 6)), ids, names
 
 
@@ -470,7 +471,8 @@ def r7_turn_recall(spark, d):
     t = turns(spark, d, "project", "session_id", "text")
     docs = t.select(F.col("turn_id").alias("mem_id"), F.coalesce(F.lower("project"), F.lit(index.NOWHERE)).alias("scope"), "text")
     asked = questions(spark, d, "project", "query").select("query_id", "project", F.col("query").alias("text"))
-    scores, ids, names = index.keyword_scores(docs, asked, exact=True)
+    built = kept("turns", [table(spark, d, "turns")], lambda: index.built(docs))
+    scores, ids, names = index.keyword_scores(docs, asked, exact=True, index=built)
     strong = scores.withColumn("keyword", F.round("keyword", 6)).where("keyword >= 0.3")
     hits = index.named(strong, ids, names).withColumnRenamed("mem_id", "turn_id").join(t.select("turn_id", "session_id"), "turn_id")
     first = F.row_number().over(Window.partitionBy("query_id", "session_id").orderBy(F.desc("keyword"), "turn_id"))
