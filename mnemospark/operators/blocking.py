@@ -14,19 +14,19 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: str, pattern: str, on: tuple[str, ...] = ()) -> DataFrame:
+def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: str, pattern: str, on: tuple[str, ...] = (), gram: int = GRAM) -> DataFrame:
     """(key, name) of the texts that contain a pattern; columns ``on`` must be equal. Empty patterns are contained nowhere.
 
-    A text that contains a pattern contains its first ``GRAM`` characters (all of a shorter one): texts meet patterns on these,
-    and only such candidates are tested. Texts move once, for their candidates.
+    A text that contains a pattern contains its last ``gram`` characters (all of a shorter one; ends differ more than beginnings): texts meet
+    patterns on these, and only such candidates are tested. Texts move once, for their candidates.
     """
-    size = F.least(F.length(pattern), F.lit(GRAM))
+    size = F.least(F.length(pattern), F.lit(gram))
     p = patterns.where(F.length(pattern) > 0).select(name, pattern, *on).distinct()
-    sizes = sorted(r[0] for r in p.select(size.alias("n")).distinct().collect())  # GRAM values at most
+    sizes = sorted(r[0] for r in p.select(size.alias("n")).distinct().collect())  # gram values at most
     if not sizes:
         return texts.join(p, list(on)).select(key, name).limit(0) if on else texts.select(key).crossJoin(p.select(name)).limit(0)
     t = texts.where(F.length(text) > 0).select(key, *on, F.explode(F.concat(*[grams(F.col(text), n) for n in sizes])).alias("_gram"))
-    p = p.withColumn("_gram", F.substring(F.col(pattern), F.lit(1), size))
+    p = p.withColumn("_gram", F.right(F.col(pattern), size))
     met = t.join(p, [*on, "_gram"]).select(key, name, pattern).distinct()
     return met.join(texts.select(key, text).distinct(), key).where(F.contains(F.col(text), F.col(pattern))).select(key, name).distinct()
 

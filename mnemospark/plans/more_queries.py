@@ -134,7 +134,7 @@ def c24_citations(spark, d):
     m = memories(spark, d, "title")
     by_id = r.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("mem_[0-9A-Za-z]+"), F.lit(0)))).alias("mem_id")).join(m.select("mem_id"), "mem_id", "left_semi")
     titles = m.where(F.length("title") >= 12).select("mem_id", F.lower(F.rtrim("title", F.lit("…"))).alias("t"))
-    by_title = blocking.containing(r.withColumn("text", F.lower("text")), "query_id", "text", titles, "mem_id", "t")
+    by_title = blocking.containing(r.withColumn("text", F.lower("text")), "query_id", "text", titles, "mem_id", "t", gram=11)
     return by_id.select("query_id", "mem_id").unionByName(by_title).distinct()
 
 
