@@ -129,22 +129,27 @@ def pieces(sizes: DataFrame, packs: DataFrame) -> DataFrame:
 def packed(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     """Every piece with its container: pack_name, capacity, container, doc_id, piece, tokens, fill, open."""
     items = pieces(sizes, packs)
-    # the pieces of the smallest container, the most there are
-    least = packs.where((F.col("capacity_tokens") >= 1) & F.col("pack_name").isNotNull()).agg(F.min("capacity_tokens")).first()[0]
-    number = sizes.where("tokens > 0").agg(F.sum(F.ceil(F.col("tokens") / F.lit(least or 1)))).first()[0] or 0
+    good = packs.where((F.col("capacity_tokens") >= 1) & F.col("pack_name").isNotNull())
+    capacities = sorted(r[0] for r in good.select("capacity_tokens").distinct().limit(PACKS).collect())  # pieces() has checked their number
+    number = [F.sum(F.ceil(F.col("tokens") / F.lit(c))) for c in capacities]
+    dealt = dict(zip(capacities, sizes.where("tokens > 0").agg(*number).first())) if capacities else {}
 
-    def deal(rows: DataFrame, count: int, salt: int) -> DataFrame:
+    def deal(rows: DataFrame, counts: dict[int, int], salt: int) -> DataFrame:
         # full pieces of one document go to many partitions, too
-        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(_parts(count))).cast("int"))
+        parts = F.lit(1)
+        for c, n in counts.items():
+            parts = F.when(F.col("capacity") == c, _parts(n or 0)).otherwise(parts)
+        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), parts).cast("int"))
 
     def pack(rows: DataFrame, tag: str) -> DataFrame:
         return written(rows.groupBy("pack_name", "part").applyInPandas(_packed(tag), PLACED), "p7-placed")
 
-    def bins(rows: DataFrame) -> tuple[int, int]:
-        # a container's rows are in one file; its first piece stands for it
-        return tuple(rows.agg(F.count_distinct("pack_name", "container"), F.count("*")).first())
+    def bins(rows: DataFrame) -> tuple[int, dict[int, int]]:
+        """Containers of all packs, and the pieces of each capacity."""
+        per = rows.groupBy("capacity").agg(F.count_distinct("pack_name", "container").alias("bins"), F.count("*").alias("n")).collect()
+        return sum(r["bins"] for r in per), {r["capacity"]: r["n"] for r in per}
 
-    state = pack(deal(items, number, 0), "r0")
+    state = pack(deal(items, dealt, 0), "r0")
     done, loose = state.where("not open"), state.where("open")
     before, rows = bins(loose)
     stalled = i = 0
