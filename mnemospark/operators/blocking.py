@@ -9,26 +9,60 @@ GRAM = 4
 HAN = "[⺀-鿿가-힯]"
 
 
+SLOTS = 1 << 24
+
+
+def slots(terms: DataFrame) -> bytes:
+    """The set of the slots of hashes (term): a bit each, 2 MB however many there are."""
+    slot = F.col("term").bitwiseAND(SLOTS - 1) + 1
+    maps = terms.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+    bits = bytearray(SLOTS // 8)
+    for b, m in maps:
+        bits[(b - 1) * 4096 : b * 4096] = m
+    return bytes(bits)
+
+
+def asked_only(batches, bits: bytes):
+    """The rows with those of their ``terms`` whose slot is in the set; what is only taken for one of the set matches none later."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = np.frombuffer(bits, np.uint8)
+    for batch in batches:
+        lists = batch["terms"]
+        values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        slot = values & (SLOTS - 1)
+        good = (known[slot >> 3] >> (slot & 7)) & 1 == 1
+        ends = np.r_[0, np.cumsum(good)][at - at[0]]
+        kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[good]))
+        yield pa.RecordBatch.from_arrays([kept if n == "terms" else batch[n] for n in batch.schema.names], batch.schema.names)
+
+
 def grams(text: Column, n: int) -> Column:
     """Distinct substrings of n characters."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: str, pattern: str, on: tuple[str, ...] = (), gram: int = GRAM) -> DataFrame:
-    """(key, name) of the texts that contain a pattern; columns ``on`` must be equal. Empty patterns are contained nowhere.
+def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, name: str, pattern: str, on: tuple[str, ...] = (), gram: int = GRAM, kept: bool = False) -> DataFrame:
+    """(key, name) of the texts that contain a pattern, with ``kept`` also the columns ``on``, which must be equal. Empty patterns are contained nowhere.
 
     A text that contains a pattern contains its last ``gram`` characters (all of a shorter one; ends differ more than beginnings): texts meet
-    patterns on these, and only such candidates are tested. Texts move once, for their candidates.
+    patterns on the hashes of these, and only such candidates are tested. Of a text only the pieces move that some pattern may end with (a set of
+    ``SLOTS`` bits that every task gets); equal patterns meet it once, their names come last.
     """
     size = F.least(F.length(pattern), F.lit(gram))
-    p = patterns.where(F.length(pattern) > 0).select(name, pattern, *on).distinct()
-    sizes = sorted(r[0] for r in p.select(size.alias("n")).distinct().collect())  # gram values at most
+    named = patterns.where(F.length(pattern) > 0).select(name, F.col(pattern).alias("_pattern"), *on).distinct()
+    p = named.select("_pattern", *on).distinct().withColumn("_gram", F.xxhash64(F.right("_pattern", F.least(F.length("_pattern"), F.lit(gram)))))
+    sizes = sorted(r[0] for r in patterns.where(F.length(pattern) > 0).select(size.alias("n")).distinct().collect())  # gram values at most
     if not sizes:
-        return texts.join(p, list(on)).select(key, name).limit(0) if on else texts.select(key).crossJoin(p.select(name)).limit(0)
-    t = texts.where(F.length(text) > 0).select(key, *on, F.explode(F.concat(*[grams(F.col(text), n) for n in sizes])).alias("_gram"))
-    p = p.withColumn("_gram", F.right(F.col(pattern), size))
-    met = t.join(p, [*on, "_gram"]).select(key, name, pattern).distinct()
-    return met.join(texts.select(key, text).distinct(), key).where(F.contains(F.col(text), F.col(pattern))).select(key, name).distinct()
+        return texts.join(named, list(on)).select(key, *(on if kept else ()), name).limit(0) if on else texts.select(key).crossJoin(named.select(name)).limit(0)
+    bits = slots(p.select(F.col("_gram").alias("term")))
+    pieces = F.concat(*[grams(F.col(text), n) for n in sizes])
+    t = texts.where(F.length(text) > 0).select(key, *on, F.array_distinct(F.transform(pieces, lambda g: F.xxhash64(g))).alias("terms"))
+    t = t.mapInArrow(lambda batches: asked_only(batches, bits), t.schema).select(key, *on, F.explode("terms").alias("_gram"))
+    met = t.join(p, [*on, "_gram"]).select(key, *on, "_pattern").distinct()
+    met = met.join(texts.select(key, text).distinct(), key).where(F.contains(F.col(text), F.col("_pattern"))).select(key, *on, "_pattern")
+    return met.join(named, ["_pattern", *on]).select(key, *(on if kept else ()), name).distinct()
 
 
 def naming(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, on: tuple[str, ...] = ()) -> DataFrame:

@@ -43,6 +43,46 @@ def keyword(spark, d):
     return scores.withColumn("keyword", F.round("keyword", 6)), ids, names
 
 
+def stored(spark, d):
+    docs = memories(spark, d, "title", "content", "mem_scope", "mem_type", "status").select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"), F.col("mem_type").alias("kind"), "status")
+    return kept("stored", [table(spark, d, "memories")], lambda: index.stored(docs, "kind", "status"))
+
+
+def searched(spark, d, each, schema, asked=None):
+    """What ``each`` takes of the keyword candidates of every question (``index.searched``)."""
+    return index.searched(stored(spark, d), asked_with(spark, d) if asked is None else asked, each, schema)
+
+
+def asked_with(spark, d, *more):
+    """Questions for a search, with more columns that ``each`` sees; expressions over project and query."""
+    wanted = ["expected"] * ("expected" in more)
+    return questions(spark, d, "project", "query", *wanted).select("query_id", "project", F.col("query").alias("text"), *more)
+
+
+def _kinds(docs):
+    """What a search asks of the documents of a task, once for all questions: live, superseded, summaries."""
+    import numpy as np
+
+    if "live" not in docs:
+        docs |= {"live": np.isin(docs["status"].astype(str), ("active", "contested")), "old": docs["status"] == "superseded", "summary": docs["kind"] == "summary"}
+    return docs
+
+
+def best_of(most):
+    """Of each question's candidates the ``most`` best."""
+
+    def each(q, number, k, docs, place):
+        at = index.leading(number, k, place, most)
+        return [number[at], k[at]]
+
+    return each
+
+
+def first_rows(rows, most, score="keyword", item="mem_id"):
+    """The ``most`` best rows of each question with their rank, after those of each block of documents."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), item))).where(F.col("rank") <= most)
+
+
 def ranked(scores):
     """Rank of each candidate of a question; numbers follow the ids, so they break ties."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("keyword"), "rid")))
@@ -53,8 +93,8 @@ def ranked(scores):
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, mem_id) AS n FROM r) WHERE n <= 3"
 )
 def r1_keyword_recall(spark, d):
-    scores, ids, names = keyword(spark, d)
-    return index.named(ranked(scores).where("rank <= 3"), ids, names).select("query_id", "mem_id", "keyword", "rank")
+    best = searched(spark, d, best_of(3), "mem_id string, keyword double")
+    return first_rows(best, 3).select("query_id", "mem_id", "keyword", "rank")
 
 
 METRICS_SQL = f"""WITH {KEYWORD_SQL}, r AS (SELECT query_id, mem_id, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword, 6) DESC, mem_id) AS n FROM kw),
@@ -69,9 +109,33 @@ def a19_retrieval_metrics(spark, d):
     from mnemospark.operators.evaluation import retrieval_metrics
 
     gold = questions(spark, d, "category", "expected").where(F.size("expected") > 0)
-    scores, ids, names = keyword(spark, d)
-    e = gold.select("query_id", F.explode("expected").alias("mem_id")).join(ids, "mem_id").join(names, "query_id")
-    return retrieval_metrics(e.join(ranked(scores), ["qid", "rid"]).select("query_id", "mem_id", "rank"), gold)
+    asked = asked_with(spark, d, "expected").where(F.size("expected") > 0)
+    best = searched(spark, d, best_expected, "mem_id string, keyword double, above bigint", asked)
+    if index.blocks(stored(spark, d)) > 1:  # those above it are in all blocks
+        best = written(first_rows(best, 1).select("query_id", "mem_id", "keyword"), "best")
+        above = searched(spark, d, better, "above bigint", asked.join(best.withColumnRenamed("mem_id", "than"), "query_id"))
+        best = best.join(above.groupBy("query_id").agg(F.sum("above").alias("above")), "query_id")
+    return retrieval_metrics(best.select("query_id", "mem_id", (F.col("above") + 1).alias("rank")), gold)
+
+
+def best_expected(q, number, k, docs, place):
+    """The best of a question's expected memories among its candidates, and how many are before it."""
+    import numpy as np
+
+    if "number" not in docs:
+        docs["number"] = {m: n for n, m in enumerate(q["ids"].to_pylist())}
+    at = np.flatnonzero(np.isin(number, [docs["number"][m] for m in q["expected"] if m in docs["number"]]))
+    if not len(at):
+        return None
+    one = at[index.leading(number[at], k[at], place, 1)]
+    return [number[one], k[one], [np.count_nonzero((k > k[one]) | (k == k[one]) & (place[number] < place[number[one]]))]]
+
+
+def better(q, number, k, docs, place):
+    """How many candidates are before the memory ``than`` with the score ``keyword``."""
+    import numpy as np
+
+    return [[np.count_nonzero((k > q["keyword"]) | (k == q["keyword"]) & (place[number] < np.searchsorted(q["by_id"], q["than"])))]]
 
 
 @query(
@@ -165,28 +229,48 @@ def j8_semantic_recall(spark, d):
     "SELECT query_id, mem_id, score, reason, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS n FROM a) WHERE n <= 10"
 )
 def r2_hybrid_recall(spark, d):
-    scores, ids, names = keyword(spark, d)
-    near = semantic(spark, d).join(ids, "mem_id").join(names, "query_id").select("qid", "rid", "semantic")
+    near = written(semantic(spark, d), "near")
+    asked = asked_with(spark, d).join(near.groupBy("query_id").agg(F.collect_list("mem_id").alias("near")), "query_id", "left")
     # what either side accepts; then the similarity of pairs that only the keywords found is looked up
-    pairs = scores.join(near, ["qid", "rid"], "full").where("keyword >= 0.3 or semantic is not null")
-    pairs = written(index.named(pairs, ids, names), "candidates")
-    asked, stored, own = semantic_sides(spark, d)
-    only = pairs.where("semantic is null").select("query_id", "mem_id").join(stored, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
+    pairs = searched(spark, d, accepted_or_near, "mem_id string, keyword double", asked).join(near, ["query_id", "mem_id"], "full")
+    pairs = written(pairs, "candidates")
+    asked, vectors, own = semantic_sides(spark, d)
+    only = pairs.where("semantic is null").select("query_id", "mem_id").join(vectors, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
     looked = only.select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("looked"))
     pairs = pairs.join(looked, ["query_id", "mem_id"], "left").withColumn("semantic", F.coalesce("semantic", "looked"))
     hits = retrieval.scored(pairs).withColumn("score", F.round("score", 6))
     return index.top(hits, "query_id", "score", "mem_id", 10).select("query_id", "mem_id", "score", "reason", "rank")
 
 
+def accepted_or_near(q, number, k, docs, place):
+    """Candidates that the keywords alone accept, and those that are near by their vectors."""
+    import numpy as np
+
+    good = k >= 0.3
+    if q["near"]:
+        if "number" not in docs:
+            docs["number"] = {m: n for n, m in enumerate(q["ids"].to_pylist())}
+        good |= np.isin(number, [docs["number"][m] for m in q["near"] if m in docs["number"]])
+    return [number[good], k[good]]
+
+
 @query(
     f"WITH {KEYWORD_SQL}, r AS (SELECT query_id, mem_id, round(keyword, 6) AS k FROM kw), b AS (SELECT query_id, max(k) AS best FROM r GROUP BY 1) "
     "SELECT query_id, count(*) FILTER (k >= 0.8 * best)::BIGINT AS kept, count(*)::BIGINT AS candidates FROM r JOIN b USING (query_id) GROUP BY 1"
 )
 def f8_relative_cutoff(spark, d):
-    scores, _, names = keyword(spark, d)
-    best = F.max("keyword").over(Window.partitionBy("qid"))
-    per = scores.withColumn("best", best).groupBy("qid").agg(F.count_if(F.col("keyword") >= 0.8 * F.col("best")).alias("kept"), F.count("*").alias("candidates"))
-    return per.join(names, "qid").select("query_id", "kept", "candidates")
+    near = searched(spark, d, near_best, "keyword double, n bigint, candidates bigint")
+    best = F.max("keyword").over(Window.partitionBy("query_id"))
+    near = near.withColumn("best", best).groupBy("query_id")
+    return near.agg(F.coalesce(F.sum(F.when(F.col("keyword") >= 0.8 * F.col("best"), F.col("n"))), F.lit(0)).alias("kept"), F.sum("candidates").alias("candidates"))
+
+
+def near_best(q, number, k, docs, place):
+    """The scores from 0.8 of the best of these candidates on with their counts; the number of candidates is in the first row."""
+    import numpy as np
+
+    score, n = np.unique(k[k >= 0.8 * k.max()], return_counts=True)
+    return [score, n, [len(k)] + [0] * (len(score) - 1)]
 
 
 @query(
@@ -298,12 +382,16 @@ def j17_contradictions(spark, d):
 def u1_channel_union(spark, d):
     """Expected memories and the ten most relevant instructions of each question; the first channel that has a memory wins."""
     search = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"), F.lit("search").alias("channel"), F.lit(1.0).alias("score"))
-    scores, ids, names = keyword(spark, d)
-    ins = scores.join(memories(spark, d, "mem_type").where("mem_type = 'instruction'").join(ids, "mem_id").select("rid"), "rid")
-    best = index.named(ranked(ins).where("rank <= 10"), ids, names).select("query_id", "mem_id", F.lit("instruction").alias("channel"), F.lit(1.0).alias("score"))
+    best = first_rows(searched(spark, d, instructions, "mem_id string, keyword double"), 10).select("query_id", "mem_id", F.lit("instruction").alias("channel"), F.lit(1.0).alias("score"))
     return retrieval.first_writer([search, best], ["query_id", "mem_id"]).drop("score")
 
 
+def instructions(q, number, k, docs, place):
+    """The ten best instructions."""
+    own = docs["kind"][number] == "instruction"
+    return best_of(10)(q, number[own], k[own], docs, place)
+
+
 @query(
     f"WITH {TRN} SELECT turn_id, row_number() OVER (PARTITION BY lower(project) ORDER BY session_id, turn_no, turn_id)::INT AS number FROM trn"
 )
@@ -448,14 +536,22 @@ BOOST = "CASE WHEN agg AND mem_type IN ('digest', 'dossier') THEN 0.15 ELSE 0 EN
 )
 def r6_adjusted_recall(spark, d):
     """Keyword recall of usable memories: superseded ones count 0.9 and only for questions about time, digests gain 0.15 for questions about totals."""
-    scores, ids, names = keyword(spark, d)
-    q = questions(spark, d, "query").select("query_id", T.has_cue(F.col("query"), INTENT_CUES["temporal"]).alias("tmp"), T.has_cue(F.col("query"), INTENT_CUES["aggregate"]).alias("agg"))
-    asked = names.join(q, "query_id")
-    m = memories(spark, d, "mem_type", "status").where((F.coalesce("mem_type", F.lit("")) != "summary") & F.col("status").isin("active", "contested", "superseded")).join(ids, "mem_id")
-    old = F.col("status") == "superseded"
-    boost = F.when(F.col("agg") & F.col("mem_type").isin("digest", "dossier"), 0.15).otherwise(0.0)
-    s = scores.join(m, "rid").join(asked, "qid").where(~old | F.col("tmp")).withColumn("score", F.round(F.col("keyword") * F.when(old, 0.9).otherwise(1.0) + boost, 6))
-    return index.top(s, "query_id", "score", "mem_id", 3).select("query_id", "mem_id", "score", "rank")
+    cue = lambda name: T.has_cue(F.col("query"), INTENT_CUES[name])
+    best = searched(spark, d, adjusted, "mem_id string, score double", asked_with(spark, d, cue("temporal").alias("past"), cue("aggregate").alias("aggregate")))
+    return first_rows(best, 3, "score").select("query_id", "mem_id", "score", "rank")
+
+
+def adjusted(q, number, k, docs, place):
+    """The three best usable candidates by their adjusted score."""
+    import numpy as np
+
+    m = _kinds(docs)
+    if "digest" not in m:
+        m["digest"] = np.isin(m["kind"].astype(str), ("digest", "dossier"))
+    good = ~m["summary"][number] & (m["live"][number] | (m["old"][number] & bool(q["past"])))
+    number, k = number[good], k[good]
+    score = k * np.where(m["old"][number], 0.9, 1.0) + np.where(m["digest"][number] & bool(q["aggregate"]), 0.15, 0.0)
+    return best_of(3)(q, number, np.floor(score * 1e6 + 0.5) / 1e6, docs, place)
 
 
 TURN_SQL = KEYWORD_SQL.replace(terms_sql("mem", "mem_id", BODY, ", lower(mem_scope) AS scope"), terms_sql("(SELECT turn_id, text, coalesce(lower(project), '-') AS scope FROM trn)", "turn_id", "text", ", scope")).replace(MEM, TRN)
@@ -469,11 +565,28 @@ TURN_SQL = TURN_SQL.replace("mem_id", "turn_id").replace("FROM mem)", "FROM trn)
 def r7_turn_recall(spark, d):
     """Conversation turns of the question's own project by keyword, at most one per session."""
     t = turns(spark, d, "project", "session_id", "text")
-    docs = t.select(F.col("turn_id").alias("mem_id"), F.coalesce(F.lower("project"), F.lit(index.NOWHERE)).alias("scope"), "text")
-    asked = questions(spark, d, "project", "query").select("query_id", "project", F.col("query").alias("text"))
-    built = kept("turns", [table(spark, d, "turns")], lambda: index.built(docs))
-    scores, ids, names = index.keyword_scores(docs, asked, exact=True, index=built)
-    strong = scores.withColumn("keyword", F.round("keyword", 6)).where("keyword >= 0.3")
-    hits = index.named(strong, ids, names).withColumnRenamed("mem_id", "turn_id").join(t.select("turn_id", "session_id"), "turn_id")
+    docs = t.select(F.col("turn_id").cast("string").alias("mem_id"), F.coalesce(F.lower("project"), F.lit(index.NOWHERE)).alias("scope"), "text", "session_id", "turn_id")
+    rows = kept("stored turns", [table(spark, d, "turns")], lambda: index.stored(docs, "session_id", "turn_id"))
+    kind = dict(rows.dtypes)
+    hits = index.searched(rows, asked_with(spark, d), per_session, f"turn_id {kind['turn_id']}, session_id {kind['session_id']}, keyword double", exact=True)
     first = F.row_number().over(Window.partitionBy("query_id", "session_id").orderBy(F.desc("keyword"), "turn_id"))
     return index.top(hits.withColumn("n", first).where("n = 1"), "query_id", "keyword", "turn_id", 5).select("query_id", "turn_id", "keyword", "rank")
+
+
+def per_session(q, number, k, docs, place):
+    """The five best turns with a score of 0.3 or more, one of a session; ties by turn_id."""
+    import numpy as np
+
+    good = np.flatnonzero(k >= 0.3)
+    if not len(good):
+        return None
+    order = good[np.lexsort((docs["turn_id"][number[good]], -k[good]))]
+    seen, out = set(), []
+    for at in order:
+        session = docs["session_id"][number[at]]
+        if session not in seen:
+            seen.add(session)
+            out.append(at)
+            if len(out) == 5:
+                break
+    return [docs["turn_id"][number[out]], docs["session_id"][number[out]], k[out]]

@@ -74,3 +74,26 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(want.columns) == cols
     show = lambda r: tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r)
     assert sorted(map(show, df.select(*cols).collect())) == sorted(map(show, want.select(*[f'"{c}"' for c in cols]).fetchall()))
+
+
+@pytest.mark.parametrize("docs_at_once", [100_000, 40])
+def test_search_takes_from_candidates_where_they_meet(spark, monkeypatch, docs_at_once):
+    from mnemospark.operators import index
+
+    words = ["deploy", "canary", "release", "branch_lock", "cache", "表格", "running", "policies"]
+    rows = [(f"m{i:03d}", ("global", "web", "api")[i % 3], " ".join(words[(i * k + k) % 8] for k in range(1, 2 + i % 6))) for i in range(150)] + [("n", None, "deploy"), ("o", "web", "")]
+    docs = spark.createDataFrame(rows, "mem_id string, scope string, text string")
+    asked = spark.createDataFrame([("a", "Web", "deploy the canary 表格"), ("b", None, "locks of a branch_lock policy"), ("c", "api", "zebra"), ("d", "Global", "cache release")], "query_id string, project string, text string")
+    scores, ids, names = index.keyword_scores(docs, asked)
+    want = {(r["query_id"], r["mem_id"]): r["keyword"] for r in index.named(scores, ids, names).collect()}
+    monkeypatch.setattr(index, "DOCS", docs_at_once)
+    took = lambda q, number, k, docs, place: [number, k]
+    got = index.searched(index.stored(docs), asked, took, "mem_id string, keyword double")
+    assert len(want) > 100
+    found = {(r["query_id"], r["mem_id"]): r["keyword"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x], abs=1e-6) for x in want)
+    top = {(q, m) for q in "abd" for m in [m for _, m in sorted((-round(v, 6), m) for (p, m), v in want.items() if p == q)][:3]}
+    from mnemospark.plans.retrieval_queries import best_of, first_rows
+
+    best = first_rows(index.searched(index.stored(docs), asked, best_of(3), "mem_id string, keyword double"), 3)
+    assert {(r["query_id"], r["mem_id"]) for r in best.collect()} == top
