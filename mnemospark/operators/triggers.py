@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.lists import GENERIC_COMMANDS
@@ -42,16 +42,22 @@ def fired(steps: DataFrame, memories: DataFrame, before_action: bool | None = No
     if before_action is not None:
         t = t.where(F.coalesce("t.before_action", F.lit(False)) == before_action)
     t = t.select("mem_id", "scope", F.col("t.id").alias("trigger_id"), F.col("t.kind").alias("kind"), F.col("t.pattern").alias("pattern"), F.lower("t.pattern").alias("low"))
-    t = t.withColumn("name", F.struct("mem_id", "trigger_id"))
+    t = t.distinct().withColumn("name", F.struct("mem_id", "trigger_id"))
+    t = t.withColumn("once", F.count("*").over(Window.partitionBy("mem_id", "trigger_id")) == 1)
     scopes = F.when(F.col("project").isNull(), F.array(F.lit("global"))).otherwise(F.array_distinct(F.array(F.lit("global"), F.lower("project"))))
     s = steps.withColumn("scope", F.explode(scopes))
     texts = s.select("step_id", "scope", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("kind"), F.lower(F.col(c)).alias("text")) for n, (c, k) in enumerate((("user_text", "keyword"), ("args", "keyword"), ("error_sig", "error")))])).alias("x"))
     texts = texts.select(F.struct("step_id", "scope", "x.n").alias("key"), "scope", F.col("x.kind").alias("kind"), F.col("x.text").alias("text")).where("text is not null")
-    words = blocking.containing(texts, "key", "text", t.where(F.col("kind").isin("keyword", "error")), "name", "low", ("scope", "kind")).select("key.step_id", "name")
-    tools = s.select("step_id", "scope", F.lower("tool").alias("low")).join(t.where("kind = 'tool'"), ["scope", "low"]).select("step_id", "name")
+    patterns = t.where(F.col("kind").isin("keyword", "error")).select("scope", "kind", "low").distinct()
+    met = blocking.containing(texts, "key", "text", patterns.withColumn("pattern", F.col("low")), "low", "pattern", ("scope", "kind"), kept=True)
+    met = met.select("key.step_id", "scope", "kind", "low").distinct()  # what a text holds; its triggers come last, as hits can be many
+    words = met.join(t, ["scope", "kind", "low"]).select("step_id", "name", "once")
+    tools = s.select("step_id", "scope", F.lower("tool").alias("low")).join(t.where("kind = 'tool'"), ["scope", "low"]).select("step_id", "name", "once")
     globs = s.where(F.size("files") > 0).select("step_id", "scope", "files").join(t.where("kind = 'file'").withColumn("regex", glob_regex(F.col("pattern"))), "scope")
-    files = globs.where(F.exists("files", lambda f: F.regexp_like(f, F.col("regex")))).select("step_id", "name")
-    return words.unionByName(tools).unionByName(files).distinct().select("step_id", "name.mem_id", "name.trigger_id")
+    files = globs.where(F.exists("files", lambda f: F.regexp_like(f, F.col("regex")))).select("step_id", "name", "once")
+    hits = words.unionByName(tools).unionByName(files)
+    hits = hits.where("once").unionByName(hits.where("not once").distinct())
+    return hits.select("step_id", "name.mem_id", "name.trigger_id")
 
 
 def mentions(text: Column, entity: Column) -> Column:
