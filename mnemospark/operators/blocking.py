@@ -76,8 +76,10 @@ def naming(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, o
     low = F.lower(F.col(text))
     runs = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     signs = F.regexp_extract_all(low, F.lit(HAN), F.lit(0))
-    t = texts.select(key, *on, F.explode(F.array_distinct(F.concat(runs, signs))).alias("_word"))
     first = F.when(F.col(name).rlike(HAN), F.regexp_extract(F.lower(name), HAN, 0)).otherwise(F.regexp_extract(F.lower(name), r"[\p{L}\p{N}]+", 0))
-    n = names.select(name, *on).distinct().withColumn("_word", first).where("_word <> ''")
+    n = names.select(name, *on).distinct().withColumn("_word", first).where("_word <> ''").withColumn("_word", F.xxhash64("_word"))
+    bits = slots(n.select(F.col("_word").alias("term")))
+    t = texts.select(key, *on, F.array_distinct(F.transform(F.concat(runs, signs), lambda w: F.xxhash64(w))).alias("terms"))
+    t = t.mapInArrow(lambda batches: asked_only(batches, bits), t.schema).select(key, *on, F.explode("terms").alias("_word"))
     met = t.join(n, [*on, "_word"]).select(key, name).distinct()
     return met.join(texts.select(key, text).distinct(), key).where(mentions(F.col(text), F.col(name))).select(key, name).distinct()
