@@ -10,7 +10,7 @@ from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES, NEGATION_CUES
 from mnemospark.operators import assembled, blocking, index, retrieval
 from mnemospark.plans.lineage import written
 from mnemospark.plans.registry import MEM, QRY, TRN, query, quoted
-from mnemospark.plans.retrieval_queries import KEYWORD_SQL, SCOPES, SEMANTIC_SQL, UNIT, VEC, _scopes, keyword, semantic_sides, unit_vectors
+from mnemospark.plans.retrieval_queries import KEYWORD_SQL, SCOPES, SEMANTIC_SQL, UNIT, VEC, _kinds, _scopes, asked_with, searched, semantic_sides, unit_vectors
 from mnemospark.plans.text_queries import APOSTROPHE, _cue_sql, memories, questions, turns
 from mnemospark.sources.tables import table
 
@@ -45,16 +45,33 @@ def entities(spark, d):
 
 
 def candidate_scores(spark, d):
-    """Keyword scores that a search can use: accepted ones, and those of instructions."""
-    scores, ids, names = keyword(spark, d)
-    ins = memories(spark, d, "mem_type").where("mem_type = 'instruction'").join(ids, "mem_id").select("rid", F.lit(True).alias("ins"))
-    kept = scores.join(ins, "rid", "left").where("keyword >= 0.3 or ins")
-    return index.named(kept, ids, names).select("query_id", "mem_id", "keyword")
+    """Keyword scores that a search can use: of each question's usable memories the best instructions and the pool of accepted ones. ``wanted``: of an expected memory; ``used``: of those."""
+    cue = lambda name: T.has_cue(F.col("query"), INTENT_CUES[name])
+    a = asked_with(spark, d, "expected", cue("temporal").alias("past"), cue("aggregate").alias("aggregate"))
+    return searched(spark, d, pooled, "mem_id string, keyword double, used int, wanted int", a)
+
+
+def pooled(q, number, k, docs, place):
+    import numpy as np
+
+    m = _kinds(docs)
+    if "rule" not in m:
+        m |= {"rule": m["kind"] == "rule", "instruction": m["kind"] == "instruction", "number": {x: n for n, x in enumerate(q["ids"].to_pylist())}}
+    good = ~m["summary"][number] & ~m["rule"][number] & (m["live"][number] | (m["old"][number] & bool(q["past"])))
+    number, k = number[good], k[good]
+    used, wanted = np.zeros(len(k), np.int32), np.zeros(len(k), np.int32)
+    for at, most in ((np.flatnonzero(m["instruction"][number]), assembled.INSTRUCTIONS), (np.flatnonzero(k >= 0.3), 96 if q["aggregate"] else 48)):
+        used[at[index.leading(number[at], k[at], place, most)]] = 1
+    if q["expected"]:
+        wanted[np.isin(number, [m["number"][x] for x in q["expected"] if x in m["number"]])] = 1
+    out = np.flatnonzero(used | wanted)
+    return [number[out], k[out], used[out], wanted[out]]
 
 
-def ranked(spark, d, hops=False):
+def ranked(spark, d, hops=False, scores=None):
     m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
-    return assembled.ranked(written(candidate_scores(spark, d), "accepted"), m, entities(spark, d), asked(spark, d), hops=hops)
+    scores = written(candidate_scores(spark, d), "accepted") if scores is None else scores
+    return assembled.ranked(scores.where("used = 1").select("query_id", "mem_id", "keyword"), m, entities(spark, d), asked(spark, d), hops=hops)
 
 
 @query(f"WITH {RANKED_SQL} SELECT * FROM ranked")
@@ -76,7 +93,7 @@ def r3_ranked_recall(spark, d):
 def j11_entity_hops(spark, d):
     """One step along the entities of each question's best hits: score, no entity of the question itself, none already found."""
     m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
-    scores, e, q = written(candidate_scores(spark, d), "accepted"), entities(spark, d), asked(spark, d)
+    scores, e, q = written(candidate_scores(spark, d).where("used = 1").drop("used", "wanted"), "accepted"), entities(spark, d), asked(spark, d)
     flags = q.select("query_id", "past", "aggregate").distinct()
     all_ = assembled.usable(scores.join(m.where("coalesce(kind, '') <> 'rule'"), "mem_id").join(flags, "query_id")).where("keyword >= 0.3")
     found = assembled.first(all_, ["query_id"], [F.desc("keyword"), "mem_id"], F.when(F.col("aggregate"), 96).otherwise(48))
@@ -144,12 +161,9 @@ def a20_replay(spark, d):
 )
 def c14_missed_recalls(spark, d):
     """Expected memories that share words with a question but were not shown: what a trigger should bring back."""
-    x = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"))
-    scores, ids, names = keyword(spark, d)
-    m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status").where("coalesce(kind, '') <> 'rule'")
-    seen = x.join(ids, "mem_id").join(names, "query_id").join(scores, ["qid", "rid"]).select("query_id", "mem_id", "keyword")
-    seen = assembled.usable(seen.join(m, "mem_id").join(asked(spark, d).select("query_id", "past").distinct(), "query_id"))
-    return seen.join(ranked(spark, d).select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
+    scores = written(candidate_scores(spark, d), "accepted")
+    seen = scores.where("wanted = 1").select("query_id", "mem_id", "keyword")
+    return seen.join(ranked(spark, d, scores=scores).select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").select("query_id", "mem_id", "keyword")
 
 
 BLOCK_SQL = (
