@@ -38,6 +38,47 @@ def asked_only(batches, bits: bytes):
         yield pa.RecordBatch.from_arrays([kept if n == "terms" else batch[n] for n in batch.schema.names], batch.schema.names)
 
 
+COMMON = 1 << 16
+
+
+def common(df: DataFrame) -> bytes:
+    """The ``COMMON`` most frequent hashes of (term, df), in order: half a MB at most."""
+    import numpy as np
+
+    got = df.orderBy(F.desc("df"), "term").limit(COMMON).select("term").collect()
+    return np.sort(np.array([r[0] for r in got], np.int64)).tobytes()
+
+
+def shortened(batches, most: bytes):
+    """The rows with their common ``terms`` as two-byte places in ``most`` in a column ``common``; rarer ones stay as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = np.frombuffer(most, np.int64)
+    for batch in batches:
+        lists = batch["terms"]
+        values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        place = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        short = known[place] == values if len(known) else np.zeros(len(values), bool)
+        ends = np.r_[0, np.cumsum(short)][at - at[0]]
+        codes = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(place[short].astype(np.uint16).tobytes())])
+        rest = pa.ListArray.from_arrays(pa.array((at - at[0] - ends).astype(np.int32)), pa.array(values[~short]))
+        names = [n for n in batch.schema.names if n != "common"]
+        yield pa.RecordBatch.from_arrays([*(rest if n == "terms" else batch[n] for n in names), codes], [*names, "common"])
+
+
+def whole(short, rest, most: bytes):
+    """(row, term): the terms that ``shortened`` put into a column of codes and one of hashes; those of a term in the order of the rows."""
+    import numpy as np
+
+    n = len(rest)
+    ends, sizes = np.frombuffer(short.buffers()[1], np.int32)[short.offset : short.offset + n + 1], np.diff(rest.offsets.to_numpy())
+    data = short.buffers()[2]
+    codes = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint16) if data is not None and n else np.zeros(0, np.uint16)
+    row = np.concatenate([np.repeat(np.arange(n), np.diff(ends) // 2), np.repeat(np.arange(n), sizes)])
+    return row, np.concatenate([np.frombuffer(most, np.int64)[codes], rest.flatten().to_numpy()])
+
+
 def grams(text: Column, n: int) -> Column:
     """Distinct substrings of n characters."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))

@@ -97,3 +97,38 @@ def test_search_takes_from_candidates_where_they_meet(spark, monkeypatch, docs_a
 
     best = first_rows(index.searched(index.stored(docs), asked, best_of(3), "mem_id string, keyword double"), 3)
     assert {(r["query_id"], r["mem_id"]) for r in best.collect()} == top
+
+
+def test_terms_travel_once_and_short(spark, monkeypatch):
+    """Documents reach one task for very many questions, and most of their terms as two bytes; before, each 4 096 questions got copies of 8-byte hashes."""
+    from mnemospark.operators import index
+
+    docs = spark.range(60).selectExpr("concat('m', id) AS mem_id", "'p' AS scope", "concat('word', id % 7, ' other', id % 5, ' alone', id) AS text")
+    asked = spark.range(9000).selectExpr("concat('q', id) AS query_id", "'p' AS project", "concat('word', id % 7, ' alone', id % 60) AS text")
+    seen, meet = [], index._meet
+
+    def counting(left, right, *more):
+        seen.append(right.selectExpr("count(*)", "sum(size(terms))", "sum(length(common))").first())
+        return meet(left, right, *more)
+
+    monkeypatch.setattr(index, "_meet", counting)
+    took = lambda q, number, k, docs, place: [number, k]
+    assert index.searched(index.stored(docs), asked, took, "mem_id string, keyword double").count() > 9000
+    copies, rare, short = seen[0]
+    assert copies == 60 and rare == 0 and short == 2 * 60 * 2
+
+
+def test_shortened_terms_are_the_same():
+    import numpy as np
+    import pyarrow as pa
+
+    from mnemospark.operators import blocking
+
+    most = np.array([-5, 3, 9], np.int64).tobytes()
+    rows = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c", "d"]), pa.array([[9, 7, -5, 9], [], [8], [3]], pa.list_(pa.int64()))], ["id", "terms"])
+    for batch in (rows, rows.slice(1), rows.slice(2, 1)):
+        for given in (most, b""):
+            (out,) = blocking.shortened([batch], given)
+            row, term = blocking.whole(out["common"], out["terms"], given)
+            assert [sorted(term[row == n].tolist()) for n in range(len(batch))] == [sorted(x) for x in batch["terms"].to_pylist()]
+            assert given == b"" or set(out["terms"].flatten().to_pylist()) <= {7, 8}
