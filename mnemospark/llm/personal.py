@@ -13,8 +13,7 @@ each chain given the messages.
 
 Nothing is labelled by hand. A lexicon of given and family names (a name is a run of words that an
 address beside it spells, or that fills a field of a card, header or list) is counted over
-all rows in one pre-aggregated pass, with thresholds on common words as shares of the rows; the ``NAMED`` most
-frequent entries are used.
+all rows in one pre-aggregated pass, with thresholds on common words as shares of the rows; every name so found is used.
 A bounded sample (``SAMPLE`` rows of each table in hash order, of at most ``LONGEST`` characters) is labelled by
 seeds, which also give a number's kind to its other occurrences in the record. The chain weights are fitted to these by maximum
 likelihood; then the skip potentials, by the same likelihood under loopy beliefs, with the context of every
@@ -54,7 +53,6 @@ STEPS = 40
 EPOCHS = 10
 CACHE = 300_000
 COMMON = 25
-NAMED = 300_000
 TALLY = 200_000
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -230,7 +228,7 @@ def _tallied(frames):
 
 
 def counted(frames: list[tuple[DataFrame, str, str]], rows: int) -> Lexicon:
-    """The lexicon of all rows. Only names and words above their share of the rows are collected, ``NAMED`` at most, the most frequent first."""
+    """The lexicon of all rows, as ``lexicon`` makes it of their tally; only its words are collected: all names, and the common words, which are bounded by their share of the rows."""
     scale = max(1.0, rows / (2 * SAMPLE))
     all_ = None
     for df, key, text in frames:
@@ -238,11 +236,14 @@ def counted(frames: list[tuple[DataFrame, str, str]], rows: int) -> Lexicon:
         all_ = one if all_ is None else all_.unionByName(one)
     of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
     per = all_.groupBy("word").agg(*[of(k).alias(k) for k in TALLIES])
-    named = (F.col("given") + F.col("family") > 0) | (F.col("first") >= 2) | (F.col("last") >= 2) | (F.col("han") >= 2)
-    kept = per.where(named | (F.col("lower") >= 3 * scale) | ((F.col("caps") > 0) & (F.col("caps") + F.col("lower") >= COMMON * scale)))
-    got = kept.orderBy(F.desc(sum(F.col(k) for k in TALLIES)), "word").limit(NAMED).collect()
-    counts = {k: Counter({r["word"]: r[k] for r in got if r[k]}) for k in TALLIES}
-    return lexicon(counts, scale)
+    twice = lambda c: F.when(F.col(c) >= 2, F.col(c)).otherwise(0)
+    c = per.select("word", "caps", "lower", "han", (F.col("given") + twice("first")).alias("g"), (F.col("family") + twice("last")).alias("f"))
+    given, family = (F.col("g") > 0) & (F.col("g") >= F.col("f")), F.col("f") > F.col("g")
+    common = ~given & ~family & (((F.col("caps") > 0) & (F.col("caps") + F.col("lower") >= COMMON * scale)) | (F.col("lower") >= 3 * scale))
+    name = (F.length("word") > 2) & (F.col("lower") <= 3 * F.greatest("g", "f") + 20 * scale)
+    kinds = {"given": given & name, "family": family & name, "common": common, "han": (F.col("han") >= 2) & (F.length("word") > 2)}
+    got = c.select("word", *(x.alias(k) for k, x in kinds.items())).where("given or family or common or han").toArrow()
+    return Lexicon(*(set(got.filter(got[k])["word"].to_pylist()) for k in kinds))
 
 
 # classes of runs without white space

@@ -328,3 +328,18 @@ def test_lexicon_counts_all_rows(spark, monkeypatch):
     assert {"silas", "petra"} <= lex.given and {"wexlaw", "maridew"} <= lex.family and "client" in lex.common
     halves = P.tally([r[1] for r in rows[150:]], P.tally([r[1] for r in rows[:150]]))
     assert P.lexicon(halves).names == P.learned([r[1] for r in rows if r[1]]).names
+
+
+def test_every_name_of_all_rows_is_in_the_lexicon(spark, monkeypatch):
+    """No cut by frequency: names of many rows are those that one tally of all texts gives; before, only the ``NAMED`` most frequent entries were kept."""
+    from mnemospark.llm import personal
+
+    monkeypatch.setattr(personal, "NAMED", 5, raising=False)
+    letters = "abcdefghij"
+    texts = [f"From: Qu{letters[i]}ro Zo{letters[i]}ski <x@y.org> met the the the the team" for i in range(10) for _ in range(2)]
+    texts += ["Write to Anna Bergmann annabergmann@mail.org or Bergmann Anna", "联系人：王小明，电话 13800000000", "联系人：王小明，电话 13800000001", "no name", ""]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "From: Left Out <x@y.org>")], "id long, text string")
+    got, want = personal.counted([(df, "id", "text")], len(texts)), personal.learned(texts)
+    for part in ("given", "family", "common", "han"):
+        assert getattr(got, part) == getattr(want, part)
+    assert len(got.given) == 11 and len(got.family) == 11
