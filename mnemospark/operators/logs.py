@@ -11,6 +11,7 @@ from mnemospark.functions.text import date_start, unfence
 RELEVANT = 20
 LINE, NOTE_LINE = 700, 500
 LEAST_LINE, MOST_LINE = 140, 400
+TOLD = 4096  # questions of a task that writes timelines, about
 
 
 def message_line(number: Column, said: Column, text: Column, note: Column | None = None) -> Column:
@@ -58,20 +59,34 @@ def timelines(questions: DataFrame, summaries: DataFrame, relevance: DataFrame,
     ``questions``: query_id, scope; ``summaries``: mem_id, scope, created_at, said, content; ``relevance``: query_id, mem_id, score. Lines share the space, at most ``MOST_LINE``
     characters each; where that leaves fewer than ``LEAST_LINE``, the most relevant ``chars / LEAST_LINE`` keep that many. Sessions keep their numbers.
     """
+    import pandas as pd
+
     n = F.count("*").over(Window.partitionBy("scope"))
     s = summaries.withColumn("session", F.row_number().over(Window.partitionBy("scope").orderBy("created_at", "mem_id"))).withColumn("n", n)
     few = s.withColumn("each", F.least(F.floor(F.lit(chars) / F.col("n")), F.lit(MOST_LINE)).cast("int"))
-    roomy = questions.join(few.where(F.col("each") >= LEAST_LINE), "scope")
+    size = F.greatest("each", F.lit(LEAST_LINE))
+    body = F.when(F.length("content") > size, F.concat(F.substring(F.col("content"), F.lit(1), size), F.lit("…"))).otherwise(F.col("content"))
+    line = F.concat(F.lit("- Session "), F.col("session").cast("string"), F.lit(" ["), F.coalesce("said", F.lit("date unknown")), F.lit("] "), body)
+    few = few.select("scope", "mem_id", "session", "each", line.alias("line"))  # cut before the lines meet the questions
     keep = max(chars // LEAST_LINE, 1)
-    tight = few.where(F.col("each") < LEAST_LINE).withColumn("each", F.lit(LEAST_LINE))
-    chosen = questions.join(relevance, "query_id").join(tight, ["scope", "mem_id"])
+    tight = few.where(F.col("each") < LEAST_LINE)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("session", "line"))), lambda x: x["line"]), "\n").alias("text")
+    roomy = questions.join(few.where(F.col("each") >= LEAST_LINE).groupBy("scope").agg(F.count("*").cast("int").alias("lines"), text), "scope")  # one text a scope
+    chosen = questions.join(relevance, "query_id").join(tight.select("scope", "mem_id", "session"), ["scope", "mem_id"])
     chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "mem_id"))).where(F.col("r") <= keep)
-    columns = ["query_id", "session", "said", "content", "each"]
-    rows = roomy.select(columns).unionByName(chosen.select(columns))
-    body = F.when(F.length("content") > F.col("each"), F.concat(F.substring(F.col("content"), F.lit(1), F.col("each")), F.lit("…"))).otherwise(F.col("content"))
-    line = F.concat(F.lit("- Session "), F.col("session").cast("string"), F.lit(" ["), F.coalesce("said", F.lit("date unknown")), F.lit("] "), body)
-    lines = F.sort_array(F.collect_list(F.struct("session", line.alias("line"))))
-    return rows.groupBy("query_id").agg(F.count("*").cast("int").alias("lines"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    chosen = chosen.groupBy("query_id", "scope").agg(F.sort_array(F.collect_list("session")).alias("sessions"))
+    # numbers of sessions meet the lines of their scope: the lines move once for ``TOLD`` questions, not with each
+    cuts = questions.groupBy("scope").agg(F.ceil(F.count("*") / TOLD).cast("int").alias("cuts"))
+    asks = chosen.join(cuts, "scope").select("scope", F.pmod(F.xxhash64("query_id"), F.col("cuts")).cast("int").alias("cut"), "query_id", "sessions")
+    told = tight.join(cuts, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "session", "line")
+    asks, told = asks.toDF(*asks.columns), told.toDF(*told.columns)
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        line = dict(zip(t["session"], t["line"]))
+        return pd.DataFrame({"query_id": q["query_id"].reset_index(drop=True), "lines": pd.Series([len(x) for x in q["sessions"]], dtype="int32"), "text": pd.Series(["\n".join(line[n] for n in x) for x in q["sessions"]], dtype="object")})
+
+    texts = asks.groupBy("scope", "cut").cogroup(told.groupBy("scope", "cut")).applyInPandas(run, f"query_id {dict(questions.dtypes)['query_id']}, lines int, text string")
+    return texts.unionByName(roomy.select("query_id", "lines", "text"))
 
 
 def topic_order(hits: DataFrame) -> DataFrame:

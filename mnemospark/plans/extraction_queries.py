@@ -9,8 +9,7 @@ from mnemospark.functions import text as T
 from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES
 from mnemospark.operators import extraction, logs, triggers
 from mnemospark.plans.registry import EVL, MEM, QRY, SQL, TRN, query, quoted
-from mnemospark.plans.retrieval_queries import ELIGIBLE, KEYWORD_SQL, j17_contradictions, j8_semantic_recall, keyword, o1_topic_groups, r7_turn_recall
-from mnemospark.operators import index
+from mnemospark.plans.retrieval_queries import ELIGIBLE, KEYWORD_SQL, _kinds, asked_with, best_of, j17_contradictions, j8_semantic_recall, o1_topic_groups, r7_turn_recall, searched
 from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.tables import latest, table
 
@@ -161,11 +160,24 @@ def w14_timelines(spark, d):
     q = questions(spark, d, "project").select("query_id", F.coalesce(F.lower("project"), F.lit("global")).alias("scope"))
     s = memories(spark, d, "mem_scope", "mem_type", "status", "created_at", "content").where("mem_type in ('fact', 'summary') and status in ('active', 'contested')")
     s = s.select("mem_id", F.lower("mem_scope").alias("scope"), "created_at", F.substring("created_at", 1, 10).alias("said"), "content")
-    scores, ids, names = keyword(spark, d)
-    near = index.named(scores.join(names.join(q, "query_id").select("qid"), "qid", "left_semi"), ids, names).select("query_id", "mem_id", F.col("keyword").alias("score"))
+    # only scopes with too many sessions for all of them choose by relevance
+    tight = s.groupBy("scope").count().where(F.floor(F.lit(TIMELINE_CHARS) / F.col("count")) < logs.LEAST_LINE).select("scope")
+    asked = asked_with(spark, d).withColumn("scope", F.coalesce(F.lower("project"), F.lit("global"))).join(tight, "scope", "left_semi").drop("scope")
+    near = searched(spark, d, of_timeline, "mem_id string, keyword double", asked).withColumnRenamed("keyword", "score")
     return logs.timelines(q, s, near, TIMELINE_CHARS).select("query_id", "lines", F.md5("text").alias("text"))
 
 
+def of_timeline(q, number, k, docs, place):
+    """The best sessions of the question's own scope, as many as a tight timeline has lines."""
+    import numpy as np
+
+    m = _kinds(docs)
+    if "session" not in m:
+        m["session"] = m["live"] & np.isin(m["kind"].astype(str), ("fact", "summary"))
+    good = m["session"][number] & (number >= q["own"].start) & (number < q["own"].stop)
+    return best_of(max(TIMELINE_CHARS // logs.LEAST_LINE, 1))(q, number[good], k[good], docs, place)
+
+
 @query()
 def w15_message_logs(spark, d):
     """The user's messages for each question within 4 000 characters: the most relevant, or the whole record of questions about how things went."""

@@ -264,3 +264,17 @@ def test_written_tables_are_released(spark):
     assert os.path.isdir(path)
     lineage.release()
     assert not os.path.isdir(path)
+
+
+def test_timelines_of_a_tight_scope_are_written_where_its_lines_are(spark, monkeypatch):
+    """Questions bring numbers of sessions and meet each line of their scope once a task; before, every question moved the text of its sessions."""
+    from mnemospark.operators import logs
+
+    monkeypatch.setattr(logs, "TOLD", 2)
+    s = spark.createDataFrame([(f"m{i}", "p", f"2025-01-{i + 1:02d}", f"2025-01-{i + 1:02d}", "x" * 200 + str(i)) for i in range(9)], "mem_id string, scope string, created_at string, said string, content string")
+    q = spark.createDataFrame([(f"q{i}", "p") for i in range(7)], "query_id string, scope string")
+    near = spark.createDataFrame([(f"q{i}", f"m{(i + j) % 9}", 1.0 - j / 10) for i in range(7) for j in range(4)], "query_id string, mem_id string, score double")
+    got = {r["query_id"]: (r["lines"], r["text"]) for r in logs.timelines(q, s, near, 300).collect()}
+    for i in range(7):
+        sessions = sorted([(i + j) % 9 for j in range(2)])
+        assert got[f"q{i}"] == (2, "\n".join(f"- Session {n + 1} [2025-01-{n + 1:02d}] {'x' * 140}…" for n in sessions))
