@@ -75,24 +75,30 @@ def entity_hops(asked: DataFrame, seeds: DataFrame, entities: DataFrame, found:
 def ranked(scores: DataFrame, memories: DataFrame, entities: DataFrame, asked: DataFrame, limit: int = 10, cfg: RecallConfig = RecallConfig(), hops: bool = False) -> DataFrame:
     """(query_id, position, mem_id, channel, score): instructions first, then hits by score.
 
-    ``scores``: query_id, mem_id, keyword; ``memories``: mem_id, kind, status; ``asked``: query_id, scope, text, past, aggregate
+    ``scores``: query_id, mem_id, keyword, and kind and status where they are known there; ``memories``: mem_id, kind, status; ``asked``: query_id, scope, text, past, aggregate
     (a row for each scope). Pool: three times the greater of ``limit`` and ``POOL``, twice that for totals; result: ``limit``, half as much again
     for totals; at most ``INSTRUCTIONS`` instructions, most relevant first, whatever their score.
     """
     flags = asked.select("query_id", "past", "aggregate").distinct()
-    known = memories.where(F.coalesce("kind", F.lit("")) != "rule")
-    all_ = usable(scores.join(known, "mem_id").join(flags, "query_id"))
+    known = scores if "kind" in scores.columns else scores.join(memories, "mem_id")
+    all_ = usable(known.where(F.coalesce("kind", F.lit("")) != "rule").join(flags, "query_id"))
     best = [F.desc("keyword"), "mem_id"]
+    # whether a row is one of the instructions is seen where the rows of its question are
+    instruction = F.coalesce(F.col("kind") == "instruction", F.lit(False))
+    all_ = all_.withColumn("n", F.row_number().over(Window.partitionBy("query_id", instruction).orderBy(*best))).withColumn("leading", instruction & (F.col("n") <= INSTRUCTIONS))
     pool = max(limit, POOL) * 3
-    instructions = first(all_.where("kind = 'instruction'"), ["query_id"], best, INSTRUCTIONS).select("query_id", "mem_id", "n")
-    search = first(all_.where(F.col("keyword") >= cfg.min_keyword_fallback), ["query_id"], best, F.when(F.col("aggregate"), 2 * pool).otherwise(pool))
-    search = search.withColumn("score", F.col("keyword") * F.when(F.col("status") == "superseded", SUPERSEDED).otherwise(1.0)).select("query_id", "mem_id", "score", F.lit("search").alias("channel"))
+    instructions = all_.where("leading").select("query_id", "mem_id", "n")
+    search = first(all_.drop("n").where(F.col("keyword") >= cfg.min_keyword_fallback), ["query_id"], best, F.when(F.col("aggregate"), 2 * pool).otherwise(pool))
+    search = search.withColumn("score", F.col("keyword") * F.when(F.col("status") == "superseded", SUPERSEDED).otherwise(1.0)).select("query_id", "mem_id", "score", F.lit("search").alias("channel"), "kind", "aggregate", "leading")
     named = entity_hits(asked, entities, search, limit, 2 * pool).select("query_id", "mem_id", F.lit(ENTITY_SCORE).alias("score"), F.lit("entity").alias("channel"))
-    found = search.unionByName(named)
+    columns = ["query_id", "mem_id", "score", "channel"]
     if hops:
+        found = search.select(columns).unionByName(named)
         seeds = found.join(memories.where(~F.coalesce("kind", F.lit("")).isin(DERIVED_TYPES)).select("mem_id"), "mem_id")
-        found = found.unionByName(entity_hops(asked, seeds, entities, found, limit).withColumn("channel", F.lit("hop")))
-    found = found.join(instructions.select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").join(memories.select("mem_id", "kind"), "mem_id").join(flags, "query_id")
+        named = named.unionByName(entity_hops(asked, seeds, entities, found, limit).withColumn("channel", F.lit("hop")))
+    named = named.join(memories.select("mem_id", "kind"), "mem_id").join(flags.select("query_id", "aggregate"), "query_id")
+    shown = named.where("kind = 'instruction'").join(instructions.select("query_id", "mem_id"), ["query_id", "mem_id"], "left_anti").unionByName(named.where("coalesce(kind, '') <> 'instruction'").select("query_id", "mem_id", "score", "channel", "kind", "aggregate"))
+    found = search.where(~F.col("leading")).drop("leading").unionByName(shown)
     boost = F.when(F.col("aggregate") & F.col("kind").isin("digest", "dossier"), DIGEST_BOOST).otherwise(0.0)
     found = found.withColumn("score", F.round(F.col("score") + boost, 6))
     hits = first(found, ["query_id"], [F.desc("score"), "mem_id"], F.when(F.col("aggregate"), limit * 3 // 2).otherwise(limit))

@@ -48,7 +48,7 @@ def candidate_scores(spark, d):
     """Keyword scores that a search can use: of each question's usable memories the best instructions and the pool of accepted ones. ``wanted``: of an expected memory; ``used``: of those."""
     cue = lambda name: T.has_cue(F.col("query"), INTENT_CUES[name])
     a = asked_with(spark, d, "expected", cue("temporal").alias("past"), cue("aggregate").alias("aggregate"))
-    return searched(spark, d, pooled, "mem_id string, keyword double, used int, wanted int", a)
+    return searched(spark, d, pooled, "mem_id string, keyword double, used int, wanted int, kind string, status string", a)
 
 
 def pooled(q, number, k, docs, place):
@@ -65,13 +65,13 @@ def pooled(q, number, k, docs, place):
     if q["expected"]:
         wanted[np.isin(number, [m["number"][x] for x in q["expected"] if x in m["number"]])] = 1
     out = np.flatnonzero(used | wanted)
-    return [number[out], k[out], used[out], wanted[out]]
+    return [number[out], k[out], used[out], wanted[out], m["kind"][number[out]], m["status"][number[out]]]
 
 
 def ranked(spark, d, hops=False, scores=None):
     m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
     scores = written(candidate_scores(spark, d), "accepted") if scores is None else scores
-    return assembled.ranked(scores.where("used = 1").select("query_id", "mem_id", "keyword"), m, entities(spark, d), asked(spark, d), hops=hops)
+    return assembled.ranked(scores.where("used = 1").select("query_id", "mem_id", "keyword", "kind", "status"), m, entities(spark, d), asked(spark, d), hops=hops)
 
 
 @query(f"WITH {RANKED_SQL} SELECT * FROM ranked")
@@ -95,7 +95,7 @@ def j11_entity_hops(spark, d):
     m = memories(spark, d, "mem_type", "status").select("mem_id", F.col("mem_type").alias("kind"), "status")
     scores, e, q = written(candidate_scores(spark, d).where("used = 1").drop("used", "wanted"), "accepted"), entities(spark, d), asked(spark, d)
     flags = q.select("query_id", "past", "aggregate").distinct()
-    all_ = assembled.usable(scores.join(m.where("coalesce(kind, '') <> 'rule'"), "mem_id").join(flags, "query_id")).where("keyword >= 0.3")
+    all_ = assembled.usable(scores.where("coalesce(kind, '') <> 'rule'").join(flags, "query_id")).where("keyword >= 0.3")
     found = assembled.first(all_, ["query_id"], [F.desc("keyword"), "mem_id"], F.when(F.col("aggregate"), 96).otherwise(48))
     found = found.select("query_id", "mem_id", (F.col("keyword") * F.when(F.col("status") == "superseded", 0.9).otherwise(1.0)).alias("score"))
     found = found.unionByName(assembled.entity_hits(q, e, found, 10, 96).withColumn("score", F.lit(0.4)))
