@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def slots(terms: DataFrame) -> bytes:
     return bytes(bits)
 
 
+def in_slots(hashes: Column, bits: bytes) -> Column:
+    """Whether the slot of a hash is in the set."""
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        import numpy as np
+
+        slot = values.to_numpy() & (SLOTS - 1)
+        return pd.Series((np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7)) & 1 == 1)
+
+    return test(hashes)
+
+
 def asked_only(batches, bits: bytes):
     """The rows with those of their ``terms`` whose slot is in the set; what is only taken for one of the set matches none later."""
     import numpy as np
@@ -41,12 +54,12 @@ def asked_only(batches, bits: bytes):
 COMMON = 1 << 16
 
 
-def common(df: DataFrame) -> bytes:
-    """The ``COMMON`` most frequent hashes of (term, df), in order: half a MB at most."""
+def common(df: DataFrame) -> tuple[bytes, bytes]:
+    """The ``COMMON`` most frequent hashes of (term, df), in order, and how frequent they are: a MB at most."""
     import numpy as np
 
-    got = df.orderBy(F.desc("df"), "term").limit(COMMON).select("term").collect()
-    return np.sort(np.array([r[0] for r in got], np.int64)).tobytes()
+    got = np.array(sorted(df.orderBy(F.desc("df"), "term").limit(COMMON).select("term", "df").collect()), np.int64).reshape(-1, 2)
+    return got[:, 0].tobytes(), got[:, 1].tobytes()
 
 
 def shortened(batches, most: bytes):

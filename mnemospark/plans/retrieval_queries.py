@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from mnemospark.operators import index, retrieval
 from mnemospark.plans.lineage import kept, written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
 from mnemospark.plans.text_queries import APOSTROPHE, BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
-from mnemospark.sources.tables import latest, table
+from mnemospark.sources.tables import latest, latest_texts, table
 
 SCOPES = "unnest(CASE WHEN project IS NULL OR project = 'global' THEN ['global'] ELSE ['global', lower(project)] END) AS scope"
 
@@ -43,9 +45,13 @@ def keyword(spark, d):
     return scores.withColumn("keyword", F.round("keyword", 6)), ids, names
 
 
-def stored(spark, d):
-    docs = memories(spark, d, "title", "content", "mem_scope", "mem_type", "status").select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"), F.col("mem_type").alias("kind"), "status")
-    return kept("stored", [table(spark, d, "memories")], lambda: index.stored(docs, "kind", "status"))
+def stored(spark, d, kind="stored", docs=None, *more):
+    """What gives the stored memories (or other documents) for the slots of the asked terms; once for the same files and slots."""
+    if docs is None:
+        m = latest_texts(table(spark, d, "memories"), "mem_id", "ingested_at", "mem_id", "title", "content", "mem_scope", "mem_type", "status")
+        docs, more = m.select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"), F.col("mem_type").alias("kind"), "status"), ("kind", "status")
+    tables = {"stored turns": ["turns"]}.get(kind, ["memories"])
+    return lambda bits: kept(f"{kind} {hashlib.sha256(bits).hexdigest()}", [table(spark, d, t) for t in tables], lambda: index.stored(docs, *more, bits=bits))
 
 
 def searched(spark, d, each, schema, asked=None):
@@ -55,8 +61,9 @@ def searched(spark, d, each, schema, asked=None):
 
 def asked_with(spark, d, *more):
     """Questions for a search, with more columns that ``each`` sees; expressions over project and query."""
-    wanted = ["expected"] * ("expected" in more)
-    return questions(spark, d, "project", "query", *wanted).select("query_id", "project", F.col("query").alias("text"), *more)
+    wanted = [c for c in more if isinstance(c, str) and c == "expected"]  # a column compared with a name has no truth value
+    q = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "project", "query", *wanted)
+    return q.select("query_id", "project", F.col("query").alias("text"), *more)
 
 
 def _kinds(docs):
@@ -111,7 +118,7 @@ def a19_retrieval_metrics(spark, d):
     gold = questions(spark, d, "category", "expected").where(F.size("expected") > 0)
     asked = asked_with(spark, d, "expected").where(F.size("expected") > 0)
     best = searched(spark, d, best_expected, "mem_id string, keyword double, above bigint", asked)
-    if index.blocks(stored(spark, d)) > 1:  # those above it are in all blocks
+    if index.blocks(memories(spark, d, "mem_scope").select(F.lower("mem_scope").alias("scope"))) > 1:  # those above it are in all blocks
         best = written(first_rows(best, 1).select("query_id", "mem_id", "keyword"), "best")
         above = searched(spark, d, better, "above bigint", asked.join(best.withColumnRenamed("mem_id", "than"), "query_id"))
         best = best.join(above.groupBy("query_id").agg(F.sum("above").alias("above")), "query_id")
@@ -564,10 +571,10 @@ TURN_SQL = TURN_SQL.replace("mem_id", "turn_id").replace("FROM mem)", "FROM trn)
 )
 def r7_turn_recall(spark, d):
     """Conversation turns of the question's own project by keyword, at most one per session."""
-    t = turns(spark, d, "project", "session_id", "text")
+    t = latest_texts(table(spark, d, "turns"), "turn_id", "ingested_at", "turn_id", "project", "session_id", "text")
     docs = t.select(F.col("turn_id").cast("string").alias("mem_id"), F.coalesce(F.lower("project"), F.lit(index.NOWHERE)).alias("scope"), "text", "session_id", "turn_id")
-    rows = kept("stored turns", [table(spark, d, "turns")], lambda: index.stored(docs, "session_id", "turn_id"))
-    kind = dict(rows.dtypes)
+    rows = stored(spark, d, "stored turns", docs, "session_id", "turn_id")
+    kind = dict(docs.dtypes)
     hits = index.searched(rows, asked_with(spark, d), per_session, f"turn_id {kind['turn_id']}, session_id {kind['session_id']}, keyword double", exact=True)
     first = F.row_number().over(Window.partitionBy("query_id", "session_id").orderBy(F.desc("keyword"), "turn_id"))
     return index.top(hits.withColumn("n", first).where("n = 1"), "query_id", "keyword", "turn_id", 5).select("query_id", "turn_id", "keyword", "rank")

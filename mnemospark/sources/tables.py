@@ -25,3 +25,18 @@ def latest(df: DataFrame, key: str, version: str, *columns: str) -> DataFrame:
         .agg(best)
         .select(key, *[F.col(f"_best.{c}").alias(c) for c in columns if c != key])
     )
+
+
+def latest_texts(df: DataFrame, key: str, version: str, *columns: str) -> DataFrame:
+    """As ``latest``, for columns that are large: only rows whose key may occur more than once move.
+
+    Keys are counted by their hashes; those of repeated keys are a set of slots of fixed size that every task gets.
+    """
+    from mnemospark.operators.blocking import in_slots, slots
+
+    hashed = F.xxhash64(key)
+    df = df.where(F.col(key).isNotNull()).select(key, *dict.fromkeys([version, *(c for c in columns if c != key)]))
+    often = df.select(hashed.alias("term")).groupBy("term").count().where("count > 1")
+    flagged = df.withColumn("_often", in_slots(hashed, slots(often)))
+    names = [key, *(c for c in columns if c != key)]
+    return flagged.where("not _often").select(*names).unionByName(latest(flagged.where("_often"), key, version, *columns).select(*names))
