@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES, NEGATION_CUES
 from mnemospark.functions import text as T
-from mnemospark.functions.vectors import dot, normalized, usable
+from mnemospark.functions.vectors import normalized, usable
 from mnemospark.operators import index, retrieval
 from mnemospark.plans.lineage import kept, written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
@@ -61,8 +61,7 @@ def searched(spark, d, each, schema, asked=None):
 
 def asked_with(spark, d, *more):
     """Questions for a search, with more columns that ``each`` sees; expressions over project and query."""
-    wanted = [c for c in more if isinstance(c, str) and c == "expected"]  # a column compared with a name has no truth value
-    q = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "project", "query", *wanted)
+    q = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "project", "query", "expected")  # scans read what is used
     return q.select("query_id", "project", F.col("query").alias("text"), *more)
 
 
@@ -204,6 +203,13 @@ def unit_vectors(spark, d, kind):
     return one.select("owner_id", normalized(F.col("x.vector")).alias("u"))
 
 
+def raw_vectors(spark, d, kind):
+    """(owner_id, v): the vectors of ``unit_vectors`` as stored; only those of owners with several move."""
+    v = latest_texts(table(spark, d, "index_vectors"), "vec_id", "embedded_at", "vec_id", "owner_id", "owner_kind", "vector")
+    v = v.where((F.col("owner_kind") == kind) & usable(F.col("vector"), 64)).select("owner_id", (-F.col("vec_id")).alias("first"), F.col("vector").alias("v"))
+    return latest_texts(v, "owner_id", "first", "owner_id", "v")
+
+
 def semantic_sides(spark, d):
     """(asked, stored, own): question vectors by scope, memory vectors by scope, the memory a question's vector is from."""
     v = unit_vectors(spark, d, "memory").withColumnRenamed("owner_id", "mem_id")
@@ -236,29 +242,57 @@ def j8_semantic_recall(spark, d):
     "SELECT query_id, mem_id, score, reason, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS n FROM a) WHERE n <= 10"
 )
 def r2_hybrid_recall(spark, d):
-    near = written(semantic(spark, d), "near")
-    asked = asked_with(spark, d).join(near.groupBy("query_id").agg(F.collect_list("mem_id").alias("near")), "query_id", "left")
-    # what either side accepts; then the similarity of pairs that only the keywords found is looked up
-    pairs = searched(spark, d, accepted_or_near, "mem_id string, keyword double", asked).join(near, ["query_id", "mem_id"], "full")
-    pairs = written(pairs, "candidates")
-    asked, vectors, own = semantic_sides(spark, d)
-    only = pairs.where("semantic is null").select("query_id", "mem_id").join(vectors, "mem_id").join(asked.select("query_id", "scope", "qv", "own"), ["query_id", "scope"]).where("mem_id <> own")
-    looked = only.select("query_id", "mem_id", dot(F.col("qv"), F.col("v")).alias("looked"))
-    pairs = pairs.join(looked, ["query_id", "mem_id"], "left").withColumn("semantic", F.coalesce("semantic", "looked"))
-    hits = retrieval.scored(pairs).withColumn("score", F.round("score", 6))
-    return index.top(hits, "query_id", "score", "mem_id", 10).select("query_id", "mem_id", "score", "reason", "rank")
-
-
-def accepted_or_near(q, number, k, docs, place):
-    """Candidates that the keywords alone accept, and those that are near by their vectors."""
+    best = first_rows(searched_with_vectors(spark, d, fused, "mem_id string, score double, reason int"), 10, "score")
+    return best.select("query_id", "mem_id", "score", F.element_at(F.array(*map(F.lit, REASONS)), F.col("reason") + 1).alias("reason"), "rank")
+
+
+REASONS = ("both", "keyword", "semantic")
+
+
+def searched_with_vectors(spark, d, each, schema, *more):
+    """As ``searched``, where questions and memories meet with their vectors, too; ``more``: columns of memories that ``each`` sees, expressions over those named here."""
+    v = raw_vectors(spark, d, "memory")
+    m = latest_texts(table(spark, d, "memories"), "mem_id", "ingested_at", "mem_id", "title", "content", "mem_scope", "mem_type", "created_at")
+    docs = m.select("mem_id", F.lower("mem_scope").alias("scope"), body().alias("text"), *more)
+    names = [c for c in docs.columns if c not in ("mem_id", "scope", "text")]
+    q = asked_with(spark, d, F.get("expected", F.lit(0)).alias("source")).join(v.select(F.col("owner_id").alias("source"), F.col("v").alias("qv")), "source", "left")
+
+    def rows(bits):
+        own = v.withColumnRenamed("owner_id", "mem_id")
+        return written(index.stored(docs, *names, bits=bits).join(own, "mem_id", "left"), "vectors")
+
+    return index.searched(rows, q, each, schema)
+
+
+def without_own(q, docs):
+    """The cosines of a question's documents; none with the memory its vector is from."""
+    import numpy as np
+
+    if "number" not in docs:
+        docs["number"] = {m: n for n, m in enumerate(q["ids"].to_pylist())}
+    return np.where(q["near"] == docs["number"].get(q["source"], -1), np.nan, q["semantic"])
+
+
+def fused(q, number, k, docs, place):
+    """The ten best of what the keywords or the vectors accept."""
     import numpy as np
 
-    good = k >= 0.3
-    if q["near"]:
-        if "number" not in docs:
-            docs["number"] = {m: n for n, m in enumerate(q["ids"].to_pylist())}
-        good |= np.isin(number, [docs["number"][m] for m in q["near"] if m in docs["number"]])
-    return [number[good], k[good]]
+    s = np.full(len(k), np.nan)
+    times = np.ones(len(k), np.int64)
+    if "semantic" in q:
+        near, cosine = q["near"], without_own(q, docs)
+        at = np.full(len(place), -1)
+        at[near] = np.arange(len(near))
+        s = cosine[at[number]]
+        other = cosine >= 0.25
+        other[at[number]] = False
+        number, k, s = np.r_[number, near[other]], np.r_[k, np.zeros(other.sum())], np.r_[s, cosine[other]]
+        times = np.where(np.isnan(s), 1, q["times"][at[number]])
+    good = (s >= 0.25) | (k >= 0.3)
+    number, k, s = (np.repeat(x[good], times[good]) for x in (number, k, s))
+    score = np.floor(np.where(np.isnan(s), 0.25 * k, 0.75 * s + 0.25 * k) * 1e6 + 0.5) / 1e6
+    at = index.leading(number, score, place, 10)
+    return [number[at], score[at], np.where(k[at] > 0, np.where(s[at] > 0, 0, 1), 2).astype(np.int32)]
 
 
 @query(

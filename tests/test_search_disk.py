@@ -39,3 +39,52 @@ def test_terms_without_documents_stay(spark, monkeypatch):
     left = {r["query_id"]: r for r in seen[0]}
     assert None not in left and (left["a"]["absent"], len(left["a"]["common"]), left["a"]["terms"]) == (2, 4, [])
     assert left["b"]["absent"] == 2
+
+
+def _small_tables(at, spark):
+    import datetime as dt
+
+    day, w = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc), ["deploy", "canary", "release", "branch", "cache"]
+    vector = lambda i: [float((i * (k + 3)) % 11 - 4) for k in range(64)]
+    kinds = ("fact", "instruction", "summary", "rule")
+    mem = [(f"m{i:02d}", ("global", "web", "api")[i % 3], kinds[i % 4], f"about {w[i % 5]}", f"{w[i % 5]} {w[(i * 3) % 5]} number{i % 7}", "active", "2024-12-15", day) for i in range(40)]
+    qry = [(f"q{i}", (None, "web", "Global", "api", "other")[i % 5], f"{w[i % 5]} and number{i % 9} {'nothing' * (i % 2)}", [f"m{(i * 7) % 40:02d}"] if i % 4 else [], day) for i in range(20)]
+    vec = [(i, f"m{i % 40:02d}", "memory", vector(i), day) for i in range(36)] + [(100 + i, f"m{i:02d}", "memory", vector(i + 50), day) for i in range(3)]
+    for name, rows, schema in (
+        ("memories", mem, "mem_id string, mem_scope string, mem_type string, title string, content string, status string, created_at string, ingested_at timestamp"),
+        ("queries", qry, "query_id string, project string, query string, expected array<string>, added_at timestamp"),
+        ("index_vectors", vec, "vec_id long, owner_id string, owner_kind string, vector array<float>, embedded_at timestamp"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def _same_as_sql(spark, at, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for t in ("memories", "queries", "index_vectors"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    got = entry.queries()[name](spark, at)
+    show = lambda r: tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r)
+    cols = sorted(got.columns)
+    want = con.sql(entry.oracle_sql()[name]).select(*[f'"{c}"' for c in cols]).fetchall()
+    rows = got.select(*cols).collect()
+    assert want and sorted(map(show, rows)) == sorted(map(show, want))
+    return rows
+
+
+@pytest.mark.parametrize("docs_at_once", [100_000, 5])
+def test_vectors_and_words_meet_in_one_task(spark, tmp_path, monkeypatch, docs_at_once):
+    """r2: no table of pairs is written; before, all near pairs and all candidates were."""
+    from mnemospark.operators import index
+    from mnemospark.plans import retrieval_queries
+
+    at, tables = _small_tables(tmp_path, spark), []
+    monkeypatch.setattr(index, "DOCS", docs_at_once)
+    monkeypatch.setattr(retrieval_queries, "written", lambda df, tag="t", **x: tables.append(tag) or index.written(df, tag, **x))
+    rows = _same_as_sql(spark, at, "r2_hybrid_recall")
+    assert len({r["reason"] for r in rows}) == 3 and tables == ["vectors"]
