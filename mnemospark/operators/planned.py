@@ -36,12 +36,16 @@ def planned(hits: DataFrame, plans: DataFrame, limit: int) -> DataFrame:
 
 
 def packed(hits: DataFrame, budget: int) -> DataFrame:
-    """(question_id, rank, id, kind, tokens) to the hits that fit each question's budget, in packing order."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank")
-        kept = pack([{"id": i, "tokens": t, "kind": k} for i, t, k in zip(f["id"], f["tokens"], f["kind"])], budget)
-        rows = [(f["question_id"].iloc[0], h["id"], n) for n, h in enumerate(kept, 1)]
-        return pd.DataFrame(rows, columns=["question_id", "id", "position"])
-
-    return hits.groupBy("question_id").applyInPandas(run, "question_id string, id string, position int")
+    """(question_id, rank, id, kind, tokens) to the hits that fit each question's budget, in packing order. Lists of many questions are packed in one batch."""
+    lists = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "kind", "tokens"))).alias("l"))
+    lists = lists.select("question_id", *[F.col(f"l.{c}").alias(c) for c in ("id", "kind", "tokens")])
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for question, *columns in zip(f["question_id"], f["id"], f["kind"], f["tokens"]):
+                kept = pack([{"id": i, "kind": k, "tokens": t} for i, k, t in zip(*columns)], budget)
+                rows += [(question, h["id"], n) for n, h in enumerate(kept, 1)]
+            yield pd.DataFrame(rows, columns=["question_id", "id", "position"])
+
+    return lists.mapInPandas(run, "question_id string, id string, position int")

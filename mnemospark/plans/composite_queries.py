@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.operators import blocking, classifier, consolidation, dossiers, excerpts, planned, retrieval, triggers
 from mnemospark.plans.registry import MEM, QRY, TRN, query
-from mnemospark.plans.retrieval_queries import j8_semantic_recall, r1_keyword_recall, r2_hybrid_recall, unit_vectors
+from mnemospark.plans.retrieval_queries import first_rows, fused, j8_semantic_recall, r1_keyword_recall, searched_with_vectors, unit_vectors
 from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.events import opened, sealed
 from mnemospark.sources.tables import table
@@ -101,9 +101,15 @@ def x21_outlines(spark, d):
 @query()
 def r13_packed_results(spark, d):
     """Hybrid results with the questions' excerpts, packed into 300 tokens each."""
-    hits = r2_hybrid_recall(spark, d).select(F.col("query_id").alias("question_id"), "mem_id", "rank")
-    m = memories(spark, d, "mem_type", "content").select("mem_id", T.estimated_tokens(F.col("content")).alias("tokens"), F.when(F.col("mem_type") == "rule", "leading").when(F.col("mem_type") == "summary", "excerpt").otherwise("memory").alias("kind"))
-    return planned.packed(hits.join(m, "mem_id").select("question_id", "rank", F.col("mem_id").alias("id"), "kind", "tokens"), 300)
+    kind = F.when(F.col("mem_type") == "rule", "leading").when(F.col("mem_type") == "summary", "excerpt").otherwise("memory")
+    more = T.estimated_tokens(F.col("content")).cast("bigint").alias("tokens"), kind.alias("kind")  # known where the candidates are
+    hits = searched_with_vectors(spark, d, fused_with_sizes, "mem_id string, score double, reason int, kind string, tokens bigint", *more)
+    return planned.packed(first_rows(hits, 10, "score").select(F.col("query_id").alias("question_id"), "rank", F.col("mem_id").alias("id"), "kind", "tokens"), 300)
+
+
+def fused_with_sizes(q, number, k, docs, place):
+    got = fused(q, number, k, docs, place)
+    return [*got, docs["kind"][got[0]], docs["tokens"][got[0]]]
 
 
 @query()
