@@ -7,9 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators import blocking, classifier, consolidation, dossiers, excerpts, planned, retrieval, triggers
+from mnemospark.operators import blocking, classifier, consolidation, dossiers, excerpts, index, planned, retrieval, triggers
 from mnemospark.plans.registry import MEM, QRY, TRN, query
-from mnemospark.plans.retrieval_queries import first_rows, fused, j8_semantic_recall, r1_keyword_recall, searched_with_vectors, unit_vectors
+from mnemospark.plans.retrieval_queries import first_rows, fused, j8_semantic_recall, searched_with_vectors, unit_vectors, without_own
 from mnemospark.plans.text_queries import memories, questions, turns
 from mnemospark.sources.events import opened, sealed
 from mnemospark.sources.tables import table
@@ -115,14 +115,29 @@ def fused_with_sizes(q, number, k, docs, place):
 @query()
 def r15_planned_search(spark, d):
     """Two queries per question, keyword and semantic, with the month before the question as the plan's window."""
-    k = r1_keyword_recall(spark, d).select("query_id", F.lit(0).alias("query_no"), "mem_id", F.col("keyword").alias("score"))
-    s = j8_semantic_recall(spark, d).select("query_id", F.lit(1).alias("query_no"), "mem_id", F.col("semantic").alias("score"))
-    hits = k.unionByName(s).join(memories(spark, d, "created_at"), "mem_id").select(F.col("query_id").alias("question_id"), "query_no", "mem_id", "score", F.substring("created_at", 1, 10).alias("date"))
+    hits = searched_with_vectors(spark, d, either_way, "mem_id string, query_no int, score double, date string", F.substring("created_at", 1, 10).alias("date"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "mem_id"))
+    hits = hits.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("query_no") == 0, 3).otherwise(5)).drop("rank").withColumnRenamed("query_id", "question_id")
     day = lambda n: F.date_format(F.date_sub(F.to_date("added_at"), n), "yyyy-MM-dd")
     plans = questions(spark, d, "added_at").select(F.col("query_id").alias("question_id"), day(30).alias("after"), day(0).alias("before"))
     return planned.planned(hits, plans, 4)
 
 
+def either_way(q, number, k, docs, place):
+    """The three best by keyword (query 0) and the five nearest (query 1)."""
+    import numpy as np
+
+    one = index.leading(number, k, place, 3)
+    number, k, no = number[one], k[one], np.zeros(len(one), np.int32)
+    if "semantic" in q:
+        cosine = without_own(q, docs)
+        good = cosine >= 0.25
+        near, s = np.repeat(q["near"][good], q["times"][good]), np.repeat(np.floor(cosine[good] * 1e6 + 0.5) / 1e6, q["times"][good])
+        five = index.leading(near, s, place, 5)
+        number, k, no = np.r_[number, near[five]], np.r_[k, s[five]], np.r_[no, np.ones(len(five), np.int32)]
+    return [number, no, k, docs["date"][number]]
+
+
 @query()
 def r9_time_chains(spark, d):
     """Chains of near statements with different numbers among each question's semantic hits, oldest first."""

@@ -88,3 +88,17 @@ def test_vectors_and_words_meet_in_one_task(spark, tmp_path, monkeypatch, docs_a
     monkeypatch.setattr(retrieval_queries, "written", lambda df, tag="t", **x: tables.append(tag) or index.written(df, tag, **x))
     rows = _same_as_sql(spark, at, "r2_hybrid_recall")
     assert len({r["reason"] for r in rows}) == 3 and tables == ["vectors"]
+
+
+def test_packing_and_planning_read_one_search(spark, tmp_path, monkeypatch):
+    """r13, r15: one search gives what is packed or planned; before, r15 had a search by words and one by vectors, r13 moved all texts to the hits."""
+    from mnemospark.operators import index, retrieval
+    from mnemospark.plans import composite_queries as c
+
+    at, seen, searched = _small_tables(tmp_path, spark), [], index.searched
+    monkeypatch.setattr(index, "searched", lambda *x, **y: seen.append(1) or searched(*x, **y))
+    monkeypatch.setattr(retrieval, "semantic_scores", None)
+    r2 = {(r["query_id"], r["mem_id"]) for r in c.searched_with_vectors(spark, at, c.fused, "mem_id string, score double, reason int").collect()}
+    assert {(r["question_id"], r["id"]) for r in c.r13_packed_results(spark, at).collect()} == r2  # all fit
+    got = c.r15_planned_search(spark, at).collect()
+    assert len(seen) == 3 and max(r["position"] for r in got) == 4
