@@ -422,15 +422,21 @@ def j17_contradictions(spark, d):
 )
 def u1_channel_union(spark, d):
     """Expected memories and the ten most relevant instructions of each question; the first channel that has a memory wins."""
-    search = questions(spark, d, "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"), F.lit("search").alias("channel"), F.lit(1.0).alias("score"))
-    best = first_rows(searched(spark, d, instructions, "mem_id string, keyword double"), 10).select("query_id", "mem_id", F.lit("instruction").alias("channel"), F.lit(1.0).alias("score"))
-    return retrieval.first_writer([search, best], ["query_id", "mem_id"]).drop("score")
+    search = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "expected").select("query_id", F.explode(F.array_distinct("expected")).alias("mem_id"), F.lit("search").alias("channel"))
+    best = first_rows(searched(spark, d, instructions, "mem_id string, keyword double, wanted int", asked_with(spark, d, "expected")), 10)
+    # what is expected, too, is known where the candidates are: nothing is compared afterwards
+    return search.unionByName(best.where("wanted = 0").select("query_id", "mem_id", F.lit("instruction").alias("channel")))
 
 
 def instructions(q, number, k, docs, place):
-    """The ten best instructions."""
-    own = docs["kind"][number] == "instruction"
-    return best_of(10)(q, number[own], k[own], docs, place)
+    """The ten best instructions, and whether each is expected."""
+    import numpy as np
+
+    if "number" not in docs:
+        docs |= {"instruction": docs["kind"] == "instruction", "number": {m: n for n, m in enumerate(q["ids"].to_pylist())}}
+    own = docs["instruction"][number]
+    best, score = best_of(10)(q, number[own], k[own], docs, place)
+    return [best, score, np.isin(best, [docs["number"][m] for m in q["expected"] or () if m in docs["number"]]).astype(np.int32)]
 
 
 @query(

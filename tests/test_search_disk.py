@@ -47,7 +47,7 @@ def _small_tables(at, spark):
     day, w = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc), ["deploy", "canary", "release", "branch", "cache"]
     vector = lambda i: [float((i * (k + 3)) % 11 - 4) for k in range(64)]
     kinds = ("fact", "instruction", "summary", "rule")
-    mem = [(f"m{i:02d}", ("global", "web", "api")[i % 3], kinds[i % 4], f"about {w[i % 5]}", f"{w[i % 5]} {w[(i * 3) % 5]} number{i % 7}", "active", "2024-12-15", day) for i in range(40)]
+    mem = [(f"m{i:02d}", ("global", "web", "api")[i % 3], kinds[i % 4], f"about {w[i % 5]}", f"{w[i % 5]} {w[(i * 3) % 5]} number{i % 7} rare{i}", "active", "2024-12-15", day) for i in range(40)]
     qry = [(f"q{i}", (None, "web", "Global", "api", "other")[i % 5], f"{w[i % 5]} and number{i % 9} {'nothing' * (i % 2)}", [f"m{(i * 7) % 40:02d}"] if i % 4 else [], day) for i in range(20)]
     vec = [(i, f"m{i % 40:02d}", "memory", vector(i), day) for i in range(36)] + [(100 + i, f"m{i:02d}", "memory", vector(i + 50), day) for i in range(3)]
     for name, rows, schema in (
@@ -102,3 +102,13 @@ def test_packing_and_planning_read_one_search(spark, tmp_path, monkeypatch):
     assert {(r["question_id"], r["id"]) for r in c.r13_packed_results(spark, at).collect()} == r2  # all fit
     got = c.r15_planned_search(spark, at).collect()
     assert len(seen) == 3 and max(r["position"] for r in got) == 4
+
+
+@pytest.mark.parametrize("docs_at_once", [100_000, 5])
+def test_channels_are_told_apart_in_the_search(spark, tmp_path, monkeypatch, docs_at_once):
+    """u1: an instruction that is expected is marked where it is found; before, both channels were sorted by question and memory."""
+    from mnemospark.operators import index, retrieval
+
+    monkeypatch.setattr(index, "DOCS", docs_at_once)
+    monkeypatch.setattr(retrieval, "first_writer", None)
+    assert {r["channel"] for r in _same_as_sql(spark, _small_tables(tmp_path, spark), "u1_channel_union")} == {"search", "instruction"}
