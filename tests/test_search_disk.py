@@ -112,3 +112,16 @@ def test_channels_are_told_apart_in_the_search(spark, tmp_path, monkeypatch, doc
     monkeypatch.setattr(index, "DOCS", docs_at_once)
     monkeypatch.setattr(retrieval, "first_writer", None)
     assert {r["channel"] for r in _same_as_sql(spark, _small_tables(tmp_path, spark), "u1_channel_union")} == {"search", "instruction"}
+
+
+@pytest.mark.parametrize("docs_at_once", [100_000, 5])
+def test_cutoff_reads_asked_terms_only(spark, tmp_path, monkeypatch, docs_at_once):
+    """f8: the stored index has the asked terms, no others; before, it had every term as text."""
+    from mnemospark.operators import index
+
+    tables, written = {}, index.written
+    monkeypatch.setattr(index, "DOCS", docs_at_once)
+    monkeypatch.setattr(index, "written", lambda df, tag="t", **x: tables.setdefault(tag, written(df, tag, **x)))
+    _same_as_sql(spark, _small_tables(tmp_path, spark), "f8_relative_cutoff")
+    got = tables["index"].agg(F.sum("len"), F.sum(F.size("terms"))).first()
+    assert dict(tables["index"].dtypes)["terms"] == "array<bigint>" and got[1] < got[0] == 40 * 5
