@@ -125,3 +125,22 @@ def test_cutoff_reads_asked_terms_only(spark, tmp_path, monkeypatch, docs_at_onc
     _same_as_sql(spark, _small_tables(tmp_path, spark), "f8_relative_cutoff")
     got = tables["index"].agg(F.sum("len"), F.sum(F.size("terms"))).first()
     assert dict(tables["index"].dtypes)["terms"] == "array<bigint>" and got[1] < got[0] == 40 * 5
+
+
+def test_turns_keep_asked_terms_only(spark, tmp_path, monkeypatch):
+    """r7: texts of turns do not move and their index has the asked terms only; before, both were whole."""
+    import datetime as dt
+
+    from mnemospark.operators import index
+    from mnemospark.plans import retrieval_queries
+
+    at, day = _small_tables(tmp_path, spark), dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(i, f"s{i % 4}", "web", f"deploy number{i % 9} unasked{i}", day) for i in range(60)] + [(3, "s3", "web", "canary", day + dt.timedelta(1))]
+    spark.createDataFrame(rows, "turn_id long, session_id string, project string, text string, ingested_at timestamp").write.parquet(f"{at}/turns.parquet")
+    tables, written = {}, index.written
+    monkeypatch.setattr(index, "written", lambda df, tag="t", **x: tables.setdefault(tag, written(df, tag, **x)))
+    monkeypatch.setattr(retrieval_queries, "turns", None)
+    got = retrieval_queries.r7_turn_recall(spark, at).collect()
+    assert got and len({(r["query_id"], r["rank"]) for r in got}) == len(got)
+    sizes = tables["index"].agg(F.sum("len"), F.sum(F.size("terms"))).first()
+    assert sizes[0] == 59 * 3 + 1 and sizes[1] < sizes[0] - 50
