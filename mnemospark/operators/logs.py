@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import date_start, unfence
+from mnemospark.operators import blocking
+from mnemospark.plans.lineage import written
 
 RELEVANT = 20
 LINE, NOTE_LINE = 700, 500
@@ -21,36 +23,65 @@ def message_line(number: Column, said: Column, text: Column, note: Column | None
     return F.concat(F.lit("- #"), number.cast("string"), F.lit(" ["), F.coalesce(said, F.lit("date unknown")), F.lit("] "), F.replace(F.concat(cut, tail), F.lit("\n"), F.lit(" ")))
 
 
-def message_log(questions: DataFrame, ranked: DataFrame, turns: DataFrame, chars: int) -> DataFrame:
+def message_log(questions: DataFrame, ranked: DataFrame, turns: DataFrame, chars: int, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, kept, total, text): the user's messages for a question, in conversation order, within ``chars``.
 
     ``questions``: query_id, scope, whole, notes; ``ranked``: query_id, ranking, place, turn_id (rankings of the question and of its sub-queries);
-    ``turns``: turn_id, scope, number, said, text, note. Rankings take turns, each message once; a whole record is followed by the
-    messages that no ranking has, others keep the ``RELEVANT`` first. Messages go in while they fit, a longer one is skipped. A line has ``LEAST``
-    characters at least, so only the first ``chars`` / 10 messages of a question can matter: no more are put together.
+    ``turns``: turn_id, scope, number, said, text, note; or turn_id, scope, number, full (whether there is a text) beside ``texts``: turn_id, said, text, note.
+    Rankings take turns, each message once; a whole record is followed by the messages that no ranking has, others keep the ``RELEVANT`` first.
+    Messages go in while they fit, a longer one is skipped. A line has ``LEAST`` characters at least, so only the first ``chars`` / 10 messages of a
+    question can matter: only these lines are made, and those of a scope move once for ``TOLD`` questions, not with each.
     """
+    if texts is None:
+        turns, texts = turns.select("turn_id", "scope", "number", F.coalesce(F.col("text") != "", F.lit(False)).alias("full")), turns.select("turn_id", "said", "text", "note")
     once = ranked.groupBy("query_id", "turn_id").agg(F.min(F.struct("place", "ranking")).alias("at"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
-    first = once.withColumn("order", order).join(questions.select("query_id", "whole"), "query_id").where(F.col("whole") | (F.col("order") <= RELEVANT)).select("query_id", "turn_id", "order")
+    first = once.withColumn("order", order).join(questions.select("query_id", "whole"), "query_id").where(F.col("whole") | (F.col("order") <= RELEVANT))
+    first = written(first.select("query_id", "turn_id", "order"), "ranked")
     most = chars // 10 + 1
-    spare = turns.where("text <> ''").withColumn("seat", F.row_number().over(Window.partitionBy("scope").orderBy("number")))
-    counted = first.groupBy("query_id").agg(F.count("*").alias("listed"))
-    rest = questions.where("whole").join(counted, "query_id", "left").join(spare, "scope").where(F.col("seat") <= most + F.coalesce("listed", F.lit(0)))
-    rest = rest.join(first.select("query_id", "turn_id"), ["query_id", "turn_id"], "left_anti").select("query_id", "turn_id", (F.lit(1 << 30) + F.col("seat")).alias("order"))
-    lines = first.unionByName(rest).join(questions.select("query_id", "notes"), "query_id").join(turns, "turn_id")
-    lines = lines.select("query_id", "order", "number", message_line(F.col("number"), F.col("said"), F.col("text"), F.when(F.col("notes"), F.col("note"))).alias("line"))
-    totals = questions.join(turns.where("text <> ''").groupBy("scope").agg(F.count("*").alias("total")), "scope").select("query_id", "total")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        spent, kept = 0, []
-        for r in f.sort_values("order").itertuples(index=False):
-            if spent + len(r.line) + 1 <= chars:
-                spent += len(r.line) + 1
-                kept.append((r.number, r.line))
-        kept.sort()
-        return pd.DataFrame({"query_id": [f["query_id"].iloc[0]], "kept": [len(kept)], "text": ["\n".join(x for _, x in kept)]})
-
-    return lines.groupBy("query_id").applyInPandas(run, "query_id string, kept int, text string").join(totals, "query_id").select("query_id", "kept", "total", "text")
+    counted = first.groupBy("query_id").agg(F.count("*").cast("int").alias("listed"))
+    bound = questions.where("whole").join(counted, "query_id", "left").groupBy("scope").agg(F.max(F.coalesce("listed", F.lit(0))).alias("listed"))
+    spare = turns.where("full").withColumn("seat", F.row_number().over(Window.partitionBy("scope").orderBy("number")))
+    spare = written(spare.join(bound, "scope").where(F.col("seat") <= most + F.col("listed")).select("scope", "turn_id", "seat"), "spare")
+    wanted = first.select("turn_id").unionByName(spare.select("turn_id")).distinct()
+    bits = blocking.slots(wanted.select(F.xxhash64("turn_id").alias("term")))
+    some = texts.where(blocking.in_slots(F.xxhash64("turn_id"), bits)).join(wanted, "turn_id").join(turns.select("turn_id", "number"), "turn_id")
+    of = lambda note: message_line(F.col("number"), F.col("said"), F.col("text"), note)
+    lines = written(some.select("turn_id", "number", of(None).alias("line"), of(F.col("note")).alias("noted")), "lines")
+    own = first.join(lines, "turn_id").join(questions.select("query_id", "notes"), "query_id")
+    own = own.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("order", "turn_id", "number", F.when(F.col("notes"), F.col("noted")).otherwise(F.col("line")).alias("line")))).alias("own"))
+    totals = turns.where("full").groupBy("scope").agg(F.count("*").alias("total"))
+    asks = questions.join(own, "query_id", "left").where(F.col("whole") | F.col("own").isNotNull()).join(totals, "scope")
+    cuts = questions.groupBy("scope").agg(F.ceil(F.count("*") / TOLD).cast("int").alias("cuts"))
+    asks = asks.join(cuts, "scope").select("scope", F.pmod(F.xxhash64("query_id"), F.col("cuts")).cast("int").alias("cut"), "query_id", "whole", "notes", "total", *[F.col(f"own.{c}").alias(c) for c in ("turn_id", "number", "line")])
+    told = spare.join(lines, "turn_id").join(cuts, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "seat", "turn_id", "number", "line", "noted")
+    asks, told = asks.toDF(*asks.columns), told.toDF(*told.columns)
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seat")
+        spares = {notes: list(zip(t["turn_id"], t["number"], t["noted" if notes else "line"])) for notes in (False, True)}
+        shortest = {notes: min((len(x[2]) for x in spares[notes]), default=0) for notes in spares}
+        out = []
+        for query, whole, notes, total, *listed in q[["query_id", "whole", "notes", "total", "turn_id", "number", "line"]].itertuples(index=False):
+            listed = list(zip(*listed)) if listed[0] is not None else []
+            if not listed and not spares[bool(notes)]:
+                continue
+            seen, spent, kept = {x[0] for x in listed}, 0, []
+            for turn, number, line in listed:
+                if spent + len(line) + 1 <= chars:
+                    spent += len(line) + 1
+                    kept.append((number, line))
+            for turn, number, line in spares[bool(notes)][: most + len(listed)] if whole else ():
+                if spent + shortest[bool(notes)] + 1 > chars:
+                    break
+                if turn not in seen and spent + len(line) + 1 <= chars:
+                    spent += len(line) + 1
+                    kept.append((number, line))
+            kept.sort()
+            out.append((query, len(kept), total, "\n".join(x for _, x in kept)))
+        return pd.DataFrame(out, columns=["query_id", "kept", "total", "text"])
+
+    return asks.groupBy("scope", "cut").cogroup(told.groupBy("scope", "cut")).applyInPandas(run, f"query_id {dict(questions.dtypes)['query_id']}, kept int, total bigint, text string")
 
 
 def timelines(questions: DataFrame, summaries: DataFrame, relevance: DataFrame, chars: int) -> DataFrame:

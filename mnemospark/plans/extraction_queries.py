@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES
 from mnemospark.operators import extraction, logs, triggers
+from mnemospark.plans.lineage import written
 from mnemospark.plans.registry import EVL, MEM, QRY, SQL, TRN, query, quoted
 from mnemospark.plans.retrieval_queries import ELIGIBLE, KEYWORD_SQL, _kinds, asked_with, best_of, j17_contradictions, j8_semantic_recall, o1_topic_groups, r7_turn_recall, searched
 from mnemospark.plans.text_queries import memories, questions, turns
-from mnemospark.sources.tables import latest, table
+from mnemospark.sources.tables import latest, latest_texts, table
 
 
 def evaluated(spark, d, *columns):
@@ -181,17 +182,22 @@ def of_timeline(q, number, k, docs, place):
 @query()
 def w15_message_logs(spark, d):
     """The user's messages for each question within 4 000 characters: the most relevant, or the whole record of questions about how things went."""
-    q = questions(spark, d, "project", "query").where("project is not null")
+    q = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "project", "query").where("project is not null")
     cue = lambda n: T.has_cue(F.col("query"), INTENT_CUES[n])
     q = q.select(
         "query_id", F.lower("project").alias("scope"), (cue("overview") | cue("mention_order") | cue("aggregate")).alias("whole"),
         (cue("conversation") | (cue("overview") & ~cue("aggregate") & ~cue("mention_order"))).alias("notes"),
     )
+    q = written(q, "questions")  # read again and again
     ranked = r7_turn_recall(spark, d).join(q.select("query_id"), "query_id", "left_semi").select("query_id", F.lit(0).alias("ranking"), F.col("rank").alias("place"), "turn_id")
     number = F.row_number().over(Window.partitionBy(F.lower("project")).orderBy("session_id", "turn_no", "turn_id"))
-    t = turns(spark, d, "project", "session_id", "turn_no", "observed_at", "text", "note", "outline").where("project is not null")
-    t = t.select("turn_id", F.lower("project").alias("scope"), number.alias("number"), F.col("observed_at").alias("said"), "text", F.coalesce("note", "outline").alias("note"))
-    return logs.message_log(q, ranked, t, 4000)
+    raw = table(spark, d, "turns")
+    # texts stay where they are: the number of a turn needs none
+    t = latest_texts(raw, "turn_id", "ingested_at", "turn_id", "project", "session_id", "turn_no", "observed_at", "text", "note", "outline").where("project is not null")
+    texts = t.select("turn_id", F.col("observed_at").alias("said"), "text", F.coalesce("note", "outline").alias("note"))
+    t = t.select("turn_id", "project", "session_id", "turn_no", F.coalesce(F.col("text") != "", F.lit(False)).alias("full"))
+    t = written(t.select("turn_id", F.lower("project").alias("scope"), number.alias("number"), "full"), "numbers")
+    return logs.message_log(q, ranked, t, 4000, texts)
 
 
 @query()

@@ -127,6 +127,21 @@ def test_cutoff_reads_asked_terms_only(spark, tmp_path, monkeypatch, docs_at_onc
     assert dict(tables["index"].dtypes)["terms"] == "array<bigint>" and got[1] < got[0] == 40 * 5
 
 
+def test_lines_of_a_scope_are_made_once(spark, monkeypatch):
+    """w15: questions about the whole record share the lines of their scope; before, each got copies of up to 401 lines."""
+    from mnemospark.operators import logs
+
+    tables, written = {}, logs.written
+    monkeypatch.setattr(logs, "written", lambda df, tag="t", **x: tables.setdefault(tag, written(df, tag, **x)))
+    t = spark.range(600).selectExpr("id AS turn_id", "if(id < 590, 'p', 'r') AS scope", "cast(id + 1 as int) AS number", "'2025' AS said", "repeat('x', cast(id % 9 as int)) AS text", "if(id % 2 = 0, 'yes', null) AS note")
+    q = spark.range(30).selectExpr("concat('q', id) AS query_id", "'p' AS scope", "id > 0 AS whole", "id % 2 = 0 AS notes")
+    ranked = spark.createDataFrame([("q0", 0, 1, 580), ("q1", 0, 1, 581)], "query_id string, ranking int, place int, turn_id long")
+    got = {r["query_id"]: r for r in logs.message_log(q, ranked, t, 4000).collect()}
+    assert len(got) == 30 and got["q0"]["text"] == "- #581 [2025] xxxx → Assistant: yes"
+    assert got["q1"]["text"].endswith("- #582 [2025] xxxxx") and got["q1"]["kept"] > 150 and len(got["q1"]["text"]) <= 4000
+    assert tables["lines"].count() == 402 + 2  # before: 29 times that many rows with texts
+
+
 def test_turns_keep_asked_terms_only(spark, tmp_path, monkeypatch):
     """r7: texts of turns do not move and their index has the asked terms only; before, both were whole."""
     import datetime as dt
