@@ -11,7 +11,7 @@ from mnemospark.functions.lists import DERIVED_TYPES, INTENT_CUES, NEGATION_CUES
 from mnemospark.functions import text as T
 from mnemospark.functions.vectors import normalized, usable
 from mnemospark.operators import index, retrieval
-from mnemospark.plans.lineage import kept, written
+from mnemospark.plans.lineage import discard, kept, written
 from mnemospark.plans.registry import MEM, QRY, TRN, VEC, query, quoted, terms_sql
 from mnemospark.plans.text_queries import APOSTROPHE, BODY, NUMBERS_SQL, _cue_sql, body, memories, questions, turns
 from mnemospark.sources.tables import latest, latest_texts, table
@@ -259,7 +259,10 @@ def searched_with_vectors(spark, d, each, schema, *more):
 
     def rows(bits):
         own = v.withColumnRenamed("owner_id", "mem_id")
-        return written(index.stored(docs, *names, bits=bits).join(own, "mem_id", "left"), "vectors")
+        bare = index.stored(docs, *names, bits=bits)
+        both = written(bare.join(own, "mem_id", "left"), "vectors")
+        discard(bare)
+        return both
 
     return index.searched(rows, q, each, schema)
 
