@@ -310,9 +310,11 @@ def f8_relative_cutoff(spark, d):
 
 
 def near_best(q, number, k, docs, place):
-    """The scores from 0.8 of the best of these candidates on with their counts; the number of candidates is in the first row."""
+    """The best score, how many are from 0.8 of it on, the number of candidates; of one of several blocks each score from there on with its count, the number of candidates in the first row."""
     import numpy as np
 
+    if q["whole"]:
+        return [[k.max()], [np.count_nonzero(k >= 0.8 * k.max())], [len(k)]]
     score, n = np.unique(k[k >= 0.8 * k.max()], return_counts=True)
     return [score, n, [len(k)] + [0] * (len(score) - 1)]
 

@@ -127,6 +127,19 @@ def test_cutoff_reads_asked_terms_only(spark, tmp_path, monkeypatch, docs_at_onc
     assert dict(tables["index"].dtypes)["terms"] == "array<bigint>" and got[1] < got[0] == 40 * 5
 
 
+@pytest.mark.parametrize("docs_at_once", [100_000, 5])
+def test_cutoff_takes_one_row_of_a_question(spark, tmp_path, monkeypatch, docs_at_once):
+    """f8: the search gives a row for each question whose scopes are not cut; before, one for each score near the best."""
+    from mnemospark.operators import index
+
+    hits, searched = [], index.searched
+    monkeypatch.setattr(index, "DOCS", docs_at_once)
+    monkeypatch.setattr(index, "searched", lambda *x, **y: hits.append(searched(*x, **y)) or hits[0])
+    rows = _same_as_sql(spark, _small_tables(tmp_path, spark), "f8_relative_cutoff")
+    n = hits[0].count()
+    assert n == len(rows) if docs_at_once > 40 else n > len(rows)
+
+
 def test_lines_of_a_scope_are_made_once(spark, monkeypatch):
     """w15: questions about the whole record share the lines of their scope; before, each got copies of up to 401 lines."""
     from mnemospark.operators import logs
