@@ -172,3 +172,23 @@ def test_turns_keep_asked_terms_only(spark, tmp_path, monkeypatch):
     assert got and len({(r["query_id"], r["rank"]) for r in got}) == len(got)
     sizes = tables["index"].agg(F.sum("len"), F.sum(F.size("terms"))).first()
     assert sizes[0] == 59 * 3 + 1 and sizes[1] < sizes[0] - 50
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_only_large_scopes_are_cut(spark, monkeypatch, exact):
+    """r7: questions and documents of small scopes meet once; before, one scope over ``DOCS`` made all meet twice, and all questions once for each block."""
+    from mnemospark.operators import index
+
+    docs = spark.createDataFrame([(f"m{i:03d}", ("big", "small", "global")[min(i // 30, 2) if i < 40 else 0], f"deploy word{i % 5} more{i % 7} {'pad ' * (i % 4)}") for i in range(60)], "mem_id string, scope string, text string")
+    asked = spark.createDataFrame([(f"q{i}", ("big", "small", "Small", "none")[i % 4], f"deploy word{i % 5} more{i % 7} unknown") for i in range(24)], "query_id string, project string, text string")
+    took, schema = lambda q, number, k, docs, place: [number, k], "mem_id string, keyword double"
+    run = lambda: sorted(map(tuple, index.searched(lambda bits: index.stored(docs, bits=bits), asked, took, schema, exact=exact).collect()))
+    want = run()
+    seen, meet = [], index._meet
+    monkeypatch.setattr(index, "_meet", lambda left, right, *more: seen.append((left.where("query_id is not null").collect(), right.collect())) or meet(left, right, *more))
+    monkeypatch.setattr(index, "DOCS", 20)
+    assert run() == want and len({r[0] for r in want}) == 18
+    (first, divided), (left, right) = seen
+    assert {r["query_id"] for r in first} == {f"q{i}" for i in range(0, 24, 4)} and {r["scope"] for r in divided} == {"big"}
+    assert len(left) == 6 * 3 + 18 and len({(r["bucket"], r["part"], r["mem_id"]) for r in right}) == len(right)
+    assert {r["part"] for r in right if r["scope"] == "small"} == {0} and {r["part"] for r in right if r["scope"] == "big"} == {0, 1, 2}
