@@ -13,11 +13,11 @@ HAN = "[⺀-鿿가-힯]"
 SLOTS = 1 << 24
 
 
-def slots(terms: DataFrame) -> bytes:
-    """The set of the slots of hashes (term): a bit each, 2 MB however many there are."""
-    slot = F.col("term").bitwiseAND(SLOTS - 1) + 1
+def slots(terms: DataFrame, size: int = SLOTS) -> bytes:
+    """The set of the slots of hashes (term): a bit each, 2 MB (``size`` bits) however many there are."""
+    slot = F.col("term").bitwiseAND(size - 1) + 1
     maps = terms.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    bits = bytearray(SLOTS // 8)
+    bits = bytearray(size // 8)
     for b, m in maps:
         bits[(b - 1) * 4096 : b * 4096] = m
     return bytes(bits)
@@ -119,6 +119,114 @@ def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, name:
     return met.join(named, ["_pattern", *on]).select(key, *(on if kept else ()), name).distinct()
 
 
+#: Bytes of text that are hashed at once, slots of a pattern in the set of all, bits of that set for each of its slots and at most (64 MB).
+HASHED, PROBES, SPARSE, LARGEST = 1 << 18, 4, 8, 1 << 29
+
+
+def _sums(data, most: int = HASHED):
+    """Of bytes: a function (start, size) -> hashes of the pieces there, each in a few steps whatever its size; the same bytes have the same hash anywhere."""
+    import numpy as np
+
+    n, base = max(len(data), most), 0x9E3779B97F4A7C15
+    known = getattr(_sums, "powers", ())
+    if len(known) != 3 or len(known[0]) < n + 1:
+        power = lambda b: np.r_[np.uint64(1), np.cumprod(np.full(n, b, np.uint64))]
+        _sums.powers = known = power(base), power(pow(base, -1, 1 << 64)), np.random.default_rng(1).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+    up, down, codes = known
+    sums = np.r_[np.uint64(0), np.cumsum(codes[data] * up[: len(data)])]
+    return lambda start, size: ((sums[start + size] - sums[start]) * down[start]) ^ (np.uint64(0xD6E8FEB86659FD93) * np.asarray(size).astype(np.uint64))
+
+
+def _slot(hashes, probe: int, bits: int):
+    """The slot of hashes for a probe, in a set of 2^bits."""
+    import numpy as np
+
+    factors = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
+    return (((hashes ^ (hashes >> np.uint64(32))) * np.uint64(factors[probe])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _runs(column):
+    """(first row, bytes, offsets) of runs of the rows of a text column, each of ``HASHED`` bytes or one longer text."""
+    import numpy as np
+
+    kind = np.int64 if column.type in ("large_string", "large_binary") else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data, row = np.frombuffer(column.buffers()[2] or b"", np.uint8), 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + HASHED, "right")) - 1)
+        yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
+        row = end
+
+
+def pattern_slots(batches, bits: int):
+    """The slots of patterns: ``PROBES`` of the whole and one of its last bytes, as many as the greatest power of two it has."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for _, data, at in _runs(batch["pattern"]):
+            hashed, size = _sums(data), np.diff(at)
+            last = 1 << (np.frexp(size)[1].astype(np.int64) - 1)
+            tail, full = hashed(at[1:] - last, last), hashed(at[:-1], size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_slot(tail, 0, bits), *(_slot(full, i + 1, bits) for i in range(PROBES))]))], ["term"])
+
+
+def pattern_pieces(batches, sizes: list[int], known: bytes, bits: int):
+    """(key, piece): the distinct pieces of a text whose slots are in the set. A piece is tried at the sizes of patterns, and only where its last bytes may end one."""
+    import numpy as np
+    import pyarrow as pa
+
+    seen = np.frombuffer(known, np.uint8)
+
+    def there(hashes, probe):
+        s = _slot(hashes, probe, bits)
+        return (seen[s >> 3] >> (s & 7)) & 1 == 1
+
+    octaves: dict[int, list[int]] = {}
+    for size in sizes:
+        if size:
+            octaves.setdefault(1 << (size.bit_length() - 1), []).append(size)
+    for batch in batches:
+        rows, pieces = list(range(len(batch))) * (0 in sizes), [b""] * (len(batch) * (0 in sizes))
+        for first, data, at in _runs(batch["text"]):
+            hashed = _sums(data)
+            row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            room = np.arange(1, len(data) + 1) - at[row]  # bytes of the own text up to and with this one
+            found = []
+            for last, those in octaves.items():
+                end = np.flatnonzero(room >= last) + 1
+                end = end[there(hashed(end - last, last), 0)]
+                for size in those:
+                    start = end[room[end - 1] >= size] - size
+                    for i in range(PROBES):
+                        if len(start):
+                            start = start[there(hashed(start, size), i + 1)]
+                    found += zip(row[start].tolist(), start.tolist(), (start + size).tolist())
+            raw = data.tobytes() if found else b""
+            for r, piece in {(r, raw[a:b]) for r, a, b in found}:
+                rows.append(first + r)
+                pieces.append(piece)
+        yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(rows, pa.int64())), pa.array(pieces, pa.binary())], ["key", "piece"])
+
+
+def pieces(texts: DataFrame, key: str, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """(key, pattern) of the texts that contain a pattern, and a few pieces of texts that are none: a join on the pattern drops them. Every text contains the empty pattern.
+
+    For joins of many long patterns, of which many end or begin alike: each piece of a text that has a pattern's size is looked up whole, in a
+    set of bits that every task gets (as many as the patterns ask for, ``LARGEST`` at most), so only what is contained moves, and no text.
+    A key has one text.
+    """
+    p = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("pattern"))
+    n, sizes = p.agg(F.count("*"), F.sort_array(F.collect_set(F.octet_length("pattern")))).first()
+    bits = min(max(SLOTS, (PROBES + 1) * SPARSE * n), LARGEST)
+    bits = (bits - 1).bit_length()
+    known = slots(p.where("pattern <> ''").mapInArrow(lambda batches: pattern_slots(batches, bits), "term long"), 1 << bits)
+    t = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = t.schema["key"].dataType.simpleString()
+    found = t.mapInArrow(lambda batches: pattern_pieces(batches, sizes, known, bits), f"key {kind}, piece binary")
+    return found.select(F.col("key").alias(key), F.col("piece").cast("string").alias(pattern))
+
+
 def naming(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, on: tuple[str, ...] = ()) -> DataFrame:
     """(key, name) of the texts that mention a name as whole words (``triggers.mentions``); columns ``on`` must be equal.
 

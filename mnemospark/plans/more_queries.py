@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators import blocking
+from mnemospark.plans.lineage import written
 from mnemospark.plans.record_queries import ARM, runs
 from mnemospark.plans.registry import EVL, MEM, QRY, TRN, query
 from mnemospark.plans.text_queries import memories, questions, turns
-from mnemospark.sources.tables import table
+from mnemospark.sources.tables import latest_texts, table
 
 
 @query(
@@ -130,11 +131,11 @@ def m10_utilities(spark, d):
 def c24_citations(spark, d):
     """Memories that a response cites by id or by a title of twelve characters or more (responses: questions with the ids of their answers)."""
     ids = F.coalesce("expected", F.array().cast("array<string>"))
-    r = questions(spark, d, "query", "expected").select("query_id", F.concat("query", F.lit(" ["), F.array_join(ids, "] ["), F.lit("]")).alias("text"))
-    m = memories(spark, d, "title")
-    by_id = r.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("mem_[0-9A-Za-z]+"), F.lit(0)))).alias("mem_id")).join(m.select("mem_id"), "mem_id", "left_semi")
-    titles = m.where(F.length("title") >= 12).select("mem_id", F.lower(F.rtrim("title", F.lit("…"))).alias("t"))
-    by_title = blocking.containing(r.withColumn("text", F.lower("text")), "query_id", "text", titles, "mem_id", "t", gram=11)
-    return by_id.select("query_id", "mem_id").unionByName(by_title).distinct()
-
-
+    r = latest_texts(table(spark, d, "queries"), "query_id", "added_at", "query_id", "query", "expected")
+    r = r.select("query_id", F.concat("query", F.lit(" ["), F.array_join(ids, "] ["), F.lit("]")).alias("text"))
+    m = written(memories(spark, d, "title").select("mem_id", F.when(F.length("title") >= 12, F.lower(F.rtrim("title", F.lit("…")))).alias("t")), "titles")
+    pieces = written(blocking.pieces(r.withColumn("text", F.lower("text")), "query_id", "text", m, "t"), "pieces")
+    by_title = pieces.join(m, "t").select("query_id", "mem_id")
+    by_id = r.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("mem_[0-9A-Za-z]+"), F.lit(0)))).alias("mem_id")).join(m, "mem_id")
+    by_id = by_id.join(pieces, ["query_id", "t"], "left_anti")  # cited by its title, too
+    return by_id.select("query_id", "mem_id").unionByName(by_title)

@@ -192,3 +192,26 @@ def test_only_large_scopes_are_cut(spark, monkeypatch, exact):
     assert {r["query_id"] for r in first} == {f"q{i}" for i in range(0, 24, 4)} and {r["scope"] for r in divided} == {"big"}
     assert len(left) == 6 * 3 + 18 and len({(r["bucket"], r["part"], r["mem_id"]) for r in right}) == len(right)
     assert {r["part"] for r in right if r["scope"] == "small"} == {0} and {r["part"] for r in right if r["scope"] == "big"} == {0, 1, 2}
+
+
+def test_only_what_is_cited_moves(spark, tmp_path, monkeypatch):
+    """c24: titles that end alike meet only the texts that hold them whole; before, each met all texts with its ending, which got its text, and a title of ellipses alone was cited nowhere."""
+    import datetime as dt
+
+    from mnemospark.operators import blocking
+    from mnemospark.plans import more_queries
+
+    at, day = _small_tables(tmp_path, spark), dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    ending, tables, written = "writes to the shared queue", {}, more_queries.written
+    titles = [f"step {i} {ending}…" for i in range(60)] + ["Просьба учесть…", "ab…………………………", "……………………………………", "short…", None, "Long " + "title " * 60, f"step 7 {ending}"]
+    mem = [(f"mem_{i}", x, day) for i, x in enumerate(titles)] + [("mem_3", "later title of this one", day + dt.timedelta(1)), (None, "step 1", day)]
+    asked = [f"Who says that STEP {i} {ending}, step {i} {ending}?" for i in range(0, 80, 7)] + ["просьба учесть: 请注意", "", None, "LONG " + "title " * 70, "x" * 300_000 + " step 9 " + ending]
+    qry = [(f"q{i}", x, [f"mem_{i}", "mem_none", f"mem_{i * 7}"] if i % 3 else None, day) for i, x in enumerate(asked)]
+    spark.createDataFrame(mem, "mem_id string, title string, ingested_at timestamp").coalesce(1).write.mode("overwrite").parquet(f"{at}/memories.parquet")
+    spark.createDataFrame(qry, "query_id string, query string, expected array<string>, added_at timestamp").coalesce(1).write.mode("overwrite").parquet(f"{at}/queries.parquet")
+    monkeypatch.setattr(more_queries, "written", lambda df, tag="t", **x: tables.setdefault(tag, written(df, tag, **x)))
+    monkeypatch.setattr(blocking, "containing", None)
+    rows = _same_as_sql(spark, at, "c24_citations")
+    cited = {(r["query_id"], r["mem_id"]) for r in rows}
+    assert len(cited) == len(rows) and {("q1", "mem_7"), ("q1", "mem_66"), ("q12", "mem_60"), ("q13", "mem_62"), ("q15", "mem_65"), ("q16", "mem_9")} <= cited and ("q2", "mem_0") not in cited
+    assert tables["titles"].count() == 67 and tables["pieces"].count() < 40  # before: 13 texts with 60 endings, and all texts
